@@ -24,8 +24,8 @@ def _owner(ad_id: Column) -> Column:
     return F.pmod(ad_id - 1, F.lit(ADVERTISERS_PER_ADS)) + 1
 
 
-def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "events").withColumns(
+def _typed(events: DataFrame) -> DataFrame:
+    return events.withColumns(
         {
             "ts": F.col("ts").cast("timestamp"),
             "k": F.get_json_object("props", "$.k").cast("long"),
@@ -34,7 +34,11 @@ def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def attempts(spark: SparkSession, sf_dir: str, shape: str = "sparse") -> DataFrame:
-    """Events as click attempts.
+    return attempts_of(table(spark, sf_dir, "events"), shape)
+
+
+def attempts_of(events: DataFrame, shape: str = "sparse") -> DataFrame:
+    """Events (a table or a stream) as click attempts.
 
     ``sparse``: 100 ads, 20 of them unknown. ``dense``: 5 ads. ``hot_key``: as dense, but a
     third of all attempts come from one user on one ad.
@@ -52,7 +56,7 @@ def attempts(spark: SparkSession, sf_dir: str, shape: str = "sparse") -> DataFra
         .when(F.pmod(event_id, F.lit(107)) == 0, "shed")
         .otherwise("ack")
     )
-    return _events(spark, sf_dir).select(
+    return _typed(events).select(
         event_id.cast("string").alias("click_id"),
         ad_id.cast("long").alias("ad_id"),
         user_id.alias("user_id"),
@@ -63,12 +67,16 @@ def attempts(spark: SparkSession, sf_dir: str, shape: str = "sparse") -> DataFra
 
 
 def clicks(spark: SparkSession, sf_dir: str, shape: str = "sparse", nulls: bool = False) -> DataFrame:
+    return clicks_of(table(spark, sf_dir, "events"), shape, nulls)
+
+
+def clicks_of(events: DataFrame, shape: str = "sparse", nulls: bool = False) -> DataFrame:
     """Attempts as click events; with ``nulls`` some lack a salt and so are malformed."""
     event_id = F.col("click_id").cast("long")
     salt = F.pmod(event_id, F.lit(12)).cast("int")
     if nulls:
         salt = F.when(F.pmod(event_id, F.lit(50)) != 0, salt)
-    return attempts(spark, sf_dir, shape).select(
+    return attempts_of(events, shape).select(
         "click_id",
         "ad_id",
         _owner(F.col("ad_id")).alias("advertiser_id"),
@@ -142,7 +150,7 @@ def ad_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def samples(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events as request samples of three runners."""
-    return _events(spark, sf_dir).select(
+    return _typed(table(spark, sf_dir, "events")).select(
         F.lit("http_req_duration").alias("metric_name"),
         F.lit("GET /click/{ad_id}").alias("name"),
         F.when(F.col("event_type") == "error", "503").otherwise("302").alias("status"),

@@ -335,8 +335,14 @@ SELECT ad_id, max(advertiser_id) AS advertiser_id, date_trunc('minute', clicked_
        count(*) AS click_count, date_trunc('minute', clicked_at) + INTERVAL 1 MINUTE AS updated_at
 FROM ({clicks}) GROUP BY ad_id, date_trunc('minute', clicked_at)
 """
-_KEPT_COUNTS_SQL = _COUNTS_OF.format(clicks=_KEPT_SQL)
-_ALL_COUNTS_SQL = _COUNTS_OF.format(clicks=inputs.clicks_sql())
+
+
+def counts_sql(clicks: str) -> str:
+    return _COUNTS_OF.format(clicks=clicks)
+
+
+_KEPT_COUNTS_SQL = counts_sql(_KEPT_SQL)
+_ALL_COUNTS_SQL = counts_sql(inputs.clicks_sql())
 
 
 def _minute_after() -> Column:
@@ -375,9 +381,7 @@ def _recount(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "repair_counts",
-    f"""
-SELECT * FROM ({_COUNTS_OF.format(clicks=f"SELECT * FROM ({_CLICKS_SQL}) WHERE salt IS NOT NULL")})
-""",
+    counts_sql(f"SELECT * FROM ({_CLICKS_SQL}) WHERE salt IS NOT NULL"),
 )
 def _repair_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     recounted = counting.recount(_clicks(spark, sf_dir), _minute_after())
@@ -780,7 +784,7 @@ def _create_advertisers(spark: SparkSession, sf_dir: str) -> DataFrame:
 # -- dedup and outcomes -----------------------------------------------------------------------
 
 
-def _walk_sql(shape: str, ttl_seconds: int, plain: bool = False) -> str:
+def walk_sql(shape: str, ttl_seconds: int, plain: bool = False) -> str:
     """Follows each (ad, user) attempt by attempt."""
     ok, ack = ("true", "true") if plain else ("a.dedup_ok", "a.produce = 'ack'")
     recorded = "'accepted'" if plain else "CASE WHEN a.produce = 'ack' THEN 'accepted' ELSE a.produce END"
@@ -809,17 +813,17 @@ def _dedup(spark: SparkSession, sf_dir: str, shape: str, ttl_seconds: int) -> Da
     return dedup.dedup_clicks(attempts, ttl_seconds)
 
 
-@query("dedup_clicks", _walk_sql("dense", 600, plain=True))
+@query("dedup_clicks", walk_sql("dense", 600, plain=True))
 def _dedup_clicks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _dedup(spark, sf_dir, "dense", 600)
 
 
-@query("dedup_clicks_daily", _walk_sql("dense", 86_400, plain=True))
+@query("dedup_clicks_daily", walk_sql("dense", 86_400, plain=True))
 def _dedup_clicks_daily(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _dedup(spark, sf_dir, "dense", 86_400)
 
 
-@query("dedup_clicks_hot_key", _walk_sql("hot_key", 3_600, plain=True))
+@query("dedup_clicks_hot_key", walk_sql("hot_key", 3_600, plain=True))
 def _dedup_clicks_hot_key(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _dedup(spark, sf_dir, "hot_key", 3_600)
 
@@ -828,7 +832,7 @@ def _classified_sql(shape: str, ttl_seconds: int) -> str:
     return f"""
 SELECT w.click_id, w.ad_id, w.user_id, w.attempted_at, ad.advertiser_id,
        CASE WHEN ad.id IS NULL THEN 'not_found' ELSE w.status END AS status
-FROM ({_walk_sql(shape, ttl_seconds)}) w LEFT JOIN ({_ACTIVE_SQL}) ad ON w.ad_id = ad.id
+FROM ({walk_sql(shape, ttl_seconds)}) w LEFT JOIN ({_ACTIVE_SQL}) ad ON w.ad_id = ad.id
 """
 
 
@@ -898,6 +902,10 @@ FROM (
 _INTERVALS_SQL = _intervals_sql(_DENSE_SQL)
 
 
+def hot_markings_sql() -> str:
+    return _INTERVALS_SQL
+
+
 @query("hot_markings", _INTERVALS_SQL)
 def _hot_markings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hot.hot_intervals(_dense(spark, sf_dir), HOT_RULES)
