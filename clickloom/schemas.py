@@ -27,10 +27,17 @@ CLICK_COUNTS = T.StructType(
 )
 
 COUNT_VERSIONS = T.StructType(
-    CLICK_COUNTS.fields
-    + [T.StructField("run_seq", T.LongType()), T.StructField("batch_id", T.LongType())]
+    [
+        *CLICK_COUNTS.fields,
+        T.StructField("run_seq", T.LongType()),
+        T.StructField("batch_id", T.LongType()),
+    ]
 )
 
+VERSION_LOG = T.StructType([*COUNT_VERSIONS.fields, T.StructField("part", T.TimestampType())])
+
+COUNTS_BY_DAY = T.StructType([*CLICK_COUNTS.fields, T.StructField("day", T.DateType())])
+
 ADS = T.StructType(
     [
         T.StructField("id", T.LongType()),

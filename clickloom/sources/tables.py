@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.types import StructType
 
-from clickloom.schemas import ADS, ADVERTISERS, CLICK_COUNTS
+from clickloom.schemas import ADS, ADVERTISERS, CLICK_COUNTS, COUNTS_BY_DAY
 
 
 def _read(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
@@ -22,9 +22,7 @@ def read_advertisers(spark: SparkSession, path: str) -> DataFrame:
 
 def read_counts(spark: SparkSession, path: str) -> DataFrame:
     """Counts written by :func:`write_counts`; a range on ``day`` prunes partitions."""
-    return _read(
-        spark, path, StructType(CLICK_COUNTS.fields).add("day", "date")
-    )
+    return _read(spark, path, COUNTS_BY_DAY)
 
 
 def read_jdbc(

@@ -14,7 +14,7 @@ from clickloom.operators.filtering import (
     disposition,
     drop_metrics,
 )
-from clickloom.schemas import COUNT_VERSIONS
+from clickloom.schemas import VERSION_LOG
 from clickloom.session import configure
 
 DROP_COUNTERS = "click_drops"
@@ -111,7 +111,7 @@ def start_counting(
 
 
 def read_versions(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema(COUNT_VERSIONS.add("part", "timestamp")).parquet(path)
+    return spark.read.schema(VERSION_LOG).parquet(path)
 
 
 def current_counts(versions: DataFrame) -> DataFrame:
