@@ -9,7 +9,9 @@ MAX_SALT = 11
 MAX_USER_LENGTH = 128
 MAX_NAME_LENGTH = 200
 MAX_CONTENT_LENGTH = 2000
-EVENT_KEYS = ("click_id", "ad_id", "advertiser_id", "salt", "user_id", "clicked_at", "receiver")
+TEXT_KEYS = ("click_id", "user_id", "clicked_at", "receiver")
+NUMBER_KEYS = ("ad_id", "advertiser_id", "salt")
+EVENT_KEYS = TEXT_KEYS + NUMBER_KEYS
 UUID_PATTERN = "^[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}$"
 DATE_TIME_PATTERN = (
     r"^\d{4}-\d{2}-\d{2}[Tt]\d{2}:\d{2}:\d{2}(\.\d+)?([Zz]|[+-]\d{2}:\d{2})$"
@@ -33,45 +35,54 @@ def attempt_rules(ad_id: Column, user_id: Column) -> Column:
     return broken({"ad_id": ad_id >= 1, "user_id": length_between(user_id, 1, MAX_USER_LENGTH)})
 
 
-def _typed(parsed: Column, key: str, types: str) -> Column:
-    """The text at ``key`` of a parsed document, null unless its JSON type matches."""
-    found = F.variant_get(parsed, f"$.{key}", "variant")
-    return F.when(
-        F.schema_of_variant(found).rlike(types), F.try_variant_get(parsed, f"$.{key}", "string")
-    )
+def _number(fields: Column, key: str) -> Column:
+    """A JSON number, null for any other type."""
+    found = fields[key]
+    kind = F.schema_of_variant(found)
+    is_number = (kind == "BIGINT") | kind.startswith("DECIMAL") | (kind == "DOUBLE")
+    return F.when(is_number, F.try_variant_get(found, "$", "decimal(38,6)"))
+
 
+def _text(fields: Column, key: str) -> Column:
+    """A JSON string, null for any other type."""
+    found = fields[key]
+    return F.when(F.schema_of_variant(found) == "STRING", F.try_variant_get(found, "$", "string"))
 
-def _whole_number(parsed: Column, key: str) -> Column:
-    number = _typed(parsed, key, "^(BIGINT|DECIMAL|DOUBLE)").try_cast("decimal(38,6)")
-    return F.when(number == F.floor(number), number)
 
+def event_fields(value: Column) -> Column:
+    """One parse of a JSON object into its fields; null for anything else."""
+    return F.from_json(value, "map<string,variant>")
 
-def _text(parsed: Column, key: str) -> Column:
-    return _typed(parsed, key, "^STRING$")
 
+def typed_event(fields: Column) -> Column:
+    """The fields of an event as text or number; null where the JSON type is another."""
+    return F.struct(
+        *[_text(fields, key).alias(key) for key in TEXT_KEYS],
+        *[_number(fields, key).alias(key) for key in NUMBER_KEYS],
+        F.size(F.array_except(F.map_keys(fields), F.array(*[F.lit(key) for key in EVENT_KEYS]))).alias(
+            "unknown"
+        ),
+        fields.isNull().alias("no_object"),
+    )
 
-def event_rules(value: Column, parsed: Column) -> Column:
-    """Strict check of one JSON event: types, bounds, formats and no unknown keys.
 
-    ``parsed`` is ``try_parse_json(value)``, computed once by the caller.
-    """
-    keys = F.json_object_keys(value)
-    unknown = F.array_except(keys, F.array(*[F.lit(key) for key in EVENT_KEYS]))
-    when_text = _text(parsed, "clicked_at")
+def event_rules(event: Column) -> Column:
+    """Strict check of one :func:`typed_event`: presence, bounds, formats and no unknown keys."""
+    def whole(key: str) -> Column:
+        return event[key] == F.floor(event[key])
+
     checks = {
-        "click_id": _text(parsed, "click_id").rlike(UUID_PATTERN),
-        "ad_id": _whole_number(parsed, "ad_id") >= 1,
-        "advertiser_id": _whole_number(parsed, "advertiser_id") >= 1,
-        "salt": _whole_number(parsed, "salt").between(0, MAX_SALT),
-        "user_id": length_between(_text(parsed, "user_id"), 1, MAX_USER_LENGTH),
-        "clicked_at": when_text.rlike(DATE_TIME_PATTERN)
-        & when_text.try_cast("timestamp").isNotNull(),
-        "receiver": _text(parsed, "receiver").isNotNull(),
-        "unknown_keys": F.size(unknown) == 0,
+        "click_id": event["click_id"].rlike(UUID_PATTERN),
+        "ad_id": whole("ad_id") & (event["ad_id"] >= 1),
+        "advertiser_id": whole("advertiser_id") & (event["advertiser_id"] >= 1),
+        "salt": whole("salt") & event["salt"].between(0, MAX_SALT),
+        "user_id": length_between(event["user_id"], 1, MAX_USER_LENGTH),
+        "clicked_at": event["clicked_at"].rlike(DATE_TIME_PATTERN)
+        & event["clicked_at"].try_cast("timestamp").isNotNull(),
+        "receiver": event["receiver"].isNotNull(),
+        "unknown_keys": event["unknown"] == 0,
     }
-    return F.when(parsed.isNull() | keys.isNull(), F.array(F.lit("not_an_object"))).otherwise(
-        broken(checks)
-    )
+    return F.when(event["no_object"], F.array(F.lit("not_an_object"))).otherwise(broken(checks))
 
 
 def http_url(url: Column) -> Column:

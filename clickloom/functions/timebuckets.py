@@ -28,9 +28,19 @@ def bucket_ceil(ts: Column, granularity: str) -> Column:
     return F.when(start == ts, ts).otherwise(start + F.expr(STEP_SQL[granularity]))
 
 
+def floor_div(number: Column, by: int) -> Column:
+    """Whole-number division rounding down, also below zero."""
+    return F.call_function("div", number - F.pmod(number, F.lit(by)), F.lit(by))
+
+
+def floor_to(number: Column, by: int) -> Column:
+    """The multiple of ``by`` at or below ``number``."""
+    return number - F.pmod(number, F.lit(by))
+
+
 def epoch_bucket(ts: Column, seconds: int) -> Column:
     """Whole-number bucket index since the epoch; floors before 1970 too."""
-    return F.floor(F.unix_seconds(ts) / F.lit(seconds)).cast("long")
+    return floor_div(F.unix_seconds(ts), seconds)
 
 
 def rfc3339_ms(ts: Column) -> Column:

@@ -1,6 +1,6 @@
 """Duplicate clicks: a claim per (ad, user) that blocks repeats for a fixed time.
 
-Semantics, per (ad, user) in the order of ``(attempted_at, click_id)``:
+Semantics, per (ad, user) in time order (a hash of the click id decides within one instant):
 
 * a free key is claimed; the claim lasts ``ttl`` from the claiming click and is not
   extended by duplicates; at exactly ``ttl`` later the key is free again;
@@ -14,8 +14,9 @@ other attempt only reads that chain.
 The chain of one key is sequential, but a key may hold a large share of all clicks, so it is
 not followed in one task. Time is cut into chunks of a few ``ttl``:
 
-1. Acknowledged attempts collapse to distinct instants and are gathered per (ad, user, chunk),
-   together with the last instants before the chunk that could still block it.
+1. Acknowledged attempts collapse to distinct instants, combined before they shuffle, and are
+   gathered per (ad, user, chunk), together with the last instants before the chunk that could
+   still block it. A chunk holds whole numbers only.
 2. A chunk nothing reaches into is independent. For the few *linked* chunks a compact step
    function says which click ends the chunk for each click the chain may enter at.
 3. Those functions, not the clicks, are followed per key to learn where each linked chunk is
@@ -34,6 +35,7 @@ from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.functions import pandas_udf
 
+from clickloom.functions.timebuckets import floor_div
 from clickloom.operators.filtering import split_valid, validate_attempts
 
 # Executors need not have this package: its functions travel with the job.
@@ -44,7 +46,8 @@ CHUNK_TTLS = 8
 KEY = ("ad_id", "user_id")
 
 _FUNCTION_TYPE = "struct<entries: array<bigint>, exits: array<bigint>>"
-_CLAIM_TYPE = "array<struct<t: bigint, click_id: string>>"
+_CLICK_TYPE = "struct<t: bigint, tie: bigint>"
+_NEVER = -(2**62)
 
 
 def _micros(seconds: int) -> int:
@@ -55,49 +58,52 @@ def _claiming() -> Column:
     return F.col("dedup_ok") & (F.col("produce") == "ack")
 
 
+def _tie() -> Column:
+    """Orders clicks of one instant. A number, unlike the id, can be combined by hash and moved cheaply."""
+    return F.xxhash64("click_id")
+
+
 def _chunks(attempts: DataFrame, ttl: int, length: int) -> DataFrame:
     """Per (ad, user, chunk): its distinct instants in order, and whether it is linked.
 
     An instant near the end of a chunk is also shown to the next chunk, which therefore
-    knows without looking at its neighbour whether the chain can reach into it.
+    knows without looking at its neighbour whether the chain can reach into it. Everything
+    else is derived from the one gathered array, so that all uses share its shuffle.
     """
     instants = (
-        attempts.where(_claiming())
-        .select(*KEY, F.unix_micros("attempted_at").alias("t"), "click_id")
+        attempts.where(_claiming() & F.col("ad_id").isNotNull() & F.col("user_id").isNotNull())
+        .select(*KEY, F.unix_micros("attempted_at").alias("t"), _tie().alias("tie"))
         .groupBy(*KEY, "t")
-        .agg(F.min("click_id").alias("click_id"))
+        .agg(F.min("tie").alias("tie"))
     )
-    chunk = F.floor(F.col("t") / F.lit(length)).cast("long")
-    tail = F.col("t") + F.lit(ttl) > (chunk + 1) * F.lit(length)
-    shown = instants.select(
-        *KEY,
-        "t",
-        "click_id",
-        F.explode(
-            F.when(tail, F.array(F.struct(chunk.alias("chunk"), F.lit(True).alias("own")),
-                                 F.struct((chunk + 1).alias("chunk"), F.lit(False).alias("own"))))
-            .otherwise(F.array(F.struct(chunk.alias("chunk"), F.lit(True).alias("own"))))
-        ).alias("place"),
-    ).select(*KEY, "place.chunk", "place.own", "t", "click_id")
-    own = F.col("own")
-    grouped = shown.groupBy(*KEY, "chunk").agg(
-        F.sort_array(F.collect_list(F.when(own, F.struct("t", "click_id")))).alias("instants"),
-        F.min(F.when(own, F.col("t"))).alias("first"),
-        F.max(F.when(own, F.col("t"))).alias("last"),
-        F.max(F.when(~own, F.col("t"))).alias("before"),
+    chunk = floor_div(F.col("t"), length)
+    reaches_on = F.col("t") + F.lit(ttl) > (chunk + 1) * F.lit(length)
+    here = F.struct(chunk.alias("chunk"), F.lit(1).alias("own"))
+    next_one = F.struct((chunk + 1).alias("chunk"), F.lit(0).alias("own"))
+    places = F.when(reaches_on, F.array(here, next_one)).otherwise(F.array(here))
+    # The null tests change nothing; stated here, no use of the chunks adds its own below the
+    # shuffle and they can all share it.
+    seen = (
+        instants.select(*KEY, F.struct("t", "tie").alias("click"), F.explode(places).alias("place"))
+        .select(*KEY, "click", "place.chunk", "place.own")
+        .where(F.col("chunk").isNotNull())
+        .groupBy(*KEY, "chunk")
+        .agg(F.sort_array(F.collect_list("click")).alias("seen"), F.sum("own").cast("int").alias("own"))
+        .where(F.col("own") > 0)
     )
-    return grouped.where(F.col("first").isNotNull()).select(
+    before = F.size("seen") - F.col("own")
+    reached = F.try_element_at("seen", before)["t"] + F.lit(ttl) > F.element_at("seen", before + 1)["t"]
+    return seen.select(
         *KEY,
         "chunk",
-        "instants",
-        "last",
-        F.coalesce(F.col("before") + F.lit(ttl) > F.col("first"), F.lit(False)).alias("linked"),
+        F.slice("seen", before + 1, F.col("own")).alias("instants"),
+        F.when(before > 0, reached).otherwise(F.lit(False)).alias("linked"),
     )
 
 
 def _fold(instants: str, entry: Column, ttl: int) -> Column:
     """The chain through one chunk when the key is free from ``entry`` on."""
-    start = F.struct(entry.alias("free_at"), F.array().cast(_CLAIM_TYPE).alias("claims"))
+    start = F.struct(entry.alias("free_at"), F.array().cast(f"array<{_CLICK_TYPE}>").alias("claims"))
 
     def step(state: Column, click: Column) -> Column:
         claimed = F.struct(
@@ -113,7 +119,7 @@ def _end_of(instants: str, ttl: int) -> Column:
     """When the key is free after an independent chunk."""
     return F.aggregate(
         instants,
-        F.lit(-(2**62)).cast("long"),
+        F.lit(_NEVER).cast("long"),
         lambda free_at, click: F.when(click["t"] >= free_at, click["t"] + F.lit(ttl)).otherwise(free_at),
     )
 
@@ -164,7 +170,8 @@ def _entries(chunks: DataFrame, ttl: int, length: int) -> DataFrame:
     Only linked chunks, and independent ones ending with a claim that may reach further, take
     part; each is reduced to its outcome before it moves.
     """
-    reaches_on = F.col("last") + F.lit(ttl) > (F.col("chunk") + 1) * F.lit(length)
+    last = F.element_at("instants", -1)["t"]
+    reaches_on = last + F.lit(ttl) > (F.col("chunk") + 1) * F.lit(length)
     independent = chunks.where(~F.col("linked") & reaches_on).select(
         *KEY,
         "chunk",
@@ -188,7 +195,7 @@ def _entries(chunks: DataFrame, ttl: int, length: int) -> DataFrame:
         .where("any_linked")
     )
     nothing = F.array().cast("array<struct<chunk: bigint, entry: bigint>>")
-    start = F.struct(F.lit(-(2**62)).cast("long").alias("free_at"), nothing.alias("found"))
+    start = F.struct(F.lit(_NEVER).cast("long").alias("free_at"), nothing.alias("found"))
 
     def step(state: Column, part: Column) -> Column:
         place = F.array_position(
@@ -217,18 +224,18 @@ def _entries(chunks: DataFrame, ttl: int, length: int) -> DataFrame:
 def accepted_claims(
     attempts: DataFrame, ttl_seconds: int = DEDUP_TTL_SECONDS, chunk_ttls: int = CHUNK_TTLS
 ) -> DataFrame:
-    """The accepted, claim-holding attempts: ``(ad_id, user_id, t, click_id)``, ``t`` in µs."""
+    """The accepted, claim-holding attempts: ``(ad_id, user_id, t, tie)``, ``t`` in µs."""
     if ttl_seconds < 1 or chunk_ttls < 2:
         raise ValueError("ttl_seconds must be at least 1 and chunk_ttls at least 2")
     ttl = _micros(ttl_seconds)
     length = ttl * chunk_ttls
     chunks = _chunks(attempts, ttl, length)
-    entry = F.coalesce("entry", F.lit(-(2**62)).cast("long"))
+    entry = F.coalesce("entry", F.lit(_NEVER).cast("long"))
     return (
         chunks.select(*KEY, "chunk", "instants")
         .join(_entries(chunks, ttl, length), [*KEY, "chunk"], "left")
         .select(*KEY, F.explode(_fold("instants", entry, ttl)).alias("claim"))
-        .select(*KEY, "claim.t", "claim.click_id")
+        .select(*KEY, "claim.t", "claim.tie")
     )
 
 
@@ -237,8 +244,8 @@ def _blocked_slots(claims: DataFrame, ttl: int) -> DataFrame:
 
     Claims of a key are at least ``ttl`` apart, so a slot has at most one of each.
     """
-    slot = F.floor(F.col("t") / F.lit(ttl)).cast("long")
-    made = F.struct("t", "click_id")
+    slot = floor_div(F.col("t"), ttl)
+    made = F.struct("t", "tie")
     placed = claims.select(
         *KEY,
         F.explode(
@@ -246,14 +253,18 @@ def _blocked_slots(claims: DataFrame, ttl: int) -> DataFrame:
                 F.struct(slot.alias("slot"), made.alias("made"), F.lit(None).cast("long").alias("free_at")),
                 F.struct(
                     (slot + 1).alias("slot"),
-                    F.lit(None).cast("struct<t: bigint, click_id: string>").alias("made"),
+                    F.lit(None).cast(_CLICK_TYPE).alias("made"),
                     (F.col("t") + F.lit(ttl)).alias("free_at"),
                 ),
             )
         ).alias("place"),
     ).select(*KEY, "place.*")
     return placed.groupBy(*KEY, "slot").agg(
-        F.max("made").alias("made"), F.max("free_at").alias("free_at")
+        F.when(
+            F.max("made.t").isNotNull(),
+            F.struct(F.max("made.t").alias("t"), F.max("made.tie").alias("tie")),
+        ).alias("made"),
+        F.max("free_at").alias("free_at"),
     )
 
 
@@ -264,9 +275,9 @@ def dedup_outcomes(
     ttl = _micros(ttl_seconds)
     claims = accepted_claims(attempts, ttl_seconds, chunk_ttls)
     t = F.unix_micros("attempted_at")
-    slotted = attempts.withColumn("slot", F.floor(t / F.lit(ttl)).cast("long"))
+    slotted = attempts.withColumn("slot", floor_div(t, ttl))
     joined = slotted.join(_blocked_slots(claims, ttl), [*KEY, "slot"], "left")
-    here = F.struct(t.alias("t"), "click_id")
+    here = F.struct(t.alias("t"), _tie().alias("tie"))
     recorded = F.when(F.col("produce") == "ack", "accepted").otherwise(F.col("produce"))
     is_claim = _claiming() & F.coalesce(here == F.col("made"), F.lit(False))
     blocked = F.coalesce(t < F.col("free_at"), F.lit(False)) | F.coalesce(

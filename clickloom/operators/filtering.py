@@ -6,7 +6,7 @@ from datetime import datetime
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from clickloom.functions.rules import attempt_rules, event_rules
+from clickloom.functions.rules import attempt_rules, event_fields, event_rules, typed_event
 
 REQUIRED = ("ad_id", "advertiser_id", "salt", "clicked_at")
 LATE_CUTOFF_MS = 3_600_000
@@ -65,8 +65,10 @@ def drop_metrics(label: Column) -> list[Column]:
 
 def validate_events(records: DataFrame, value: str = "value") -> DataFrame:
     """Add ``broken_rules``: empty for a strictly valid event."""
-    parsed = records.withColumn("_parsed", F.try_parse_json(F.col(value)))
-    return parsed.withColumn("broken_rules", event_rules(F.col(value), F.col("_parsed"))).drop("_parsed")
+    typed = records.withColumn("_fields", event_fields(F.col(value))).withColumn(
+        "_event", typed_event(F.col("_fields"))
+    )
+    return typed.withColumn("broken_rules", event_rules(F.col("_event"))).drop("_fields", "_event")
 
 
 def split_valid(validated: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -19,6 +19,7 @@ from datetime import datetime
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from clickloom.functions.timebuckets import floor_div, floor_to
 from clickloom.operators.filtering import as_of_column
 
 
@@ -43,17 +44,17 @@ class HotRules:
 
 def clicks_per_instant(clicks: DataFrame, resolution: int = 1, time: str = "clicked_at") -> DataFrame:
     """Clicks per ad and instant, ``t`` in epoch seconds."""
-    instant = F.floor(F.unix_seconds(time) / F.lit(resolution)).cast("long") * F.lit(resolution)
+    instant = floor_to(F.unix_seconds(time), resolution)
     return clicks.groupBy("ad_id", instant.alias("t")).agg(F.count(F.lit(1)).alias("n"))
 
 
 def _with_bucket(instants: DataFrame, bucket_seconds: int) -> DataFrame:
-    return instants.withColumn("bucket", F.floor(F.col("t") / F.lit(bucket_seconds)).cast("long"))
+    return instants.withColumn("bucket", floor_div(F.col("t"), bucket_seconds))
 
 
 def _in_stretches(rows: DataFrame, rules: HotRules) -> DataFrame:
     """Rows by stretch of buckets; the last buckets of one are also shown (not own) to the next."""
-    stretch = F.floor(F.col("bucket") / F.lit(rules.stretch_buckets)).cast("long")
+    stretch = floor_div(F.col("bucket"), rules.stretch_buckets)
     ends_at = (stretch + 1) * F.lit(rules.stretch_buckets)
     seen_next = F.col("bucket") >= ends_at - F.lit(rules.window_buckets - 1)
     here = F.struct(stretch.alias("stretch"), F.lit(True).alias("own"))
@@ -191,7 +192,7 @@ def tag_hot_clicks(
     Intervals are laid out on time slots, so a click meets only those of its own ad and slot.
     The slot table has one row per ad and slot and the join adds no rows.
     """
-    slot = F.floor(F.unix_seconds(time) / F.lit(slot_seconds)).cast("long")
+    slot = floor_div(F.unix_seconds(time), slot_seconds)
     visible = F.unix_seconds("marked_at") + F.lit(visible_after)
     until = F.unix_seconds("hot_until")
     slots = (
@@ -201,8 +202,8 @@ def tag_hot_clicks(
             "ad_id",
             F.explode(
                 F.sequence(
-                    F.floor(F.col("visible") / F.lit(slot_seconds)).cast("long"),
-                    F.floor(F.col("until") / F.lit(slot_seconds)).cast("long"),
+                    floor_div(F.col("visible"), slot_seconds),
+                    floor_div(F.col("until"), slot_seconds),
                 )
             ).alias("slot"),
             F.struct(F.col("visible").alias("visible"), F.col("until").alias("until")).alias("span"),

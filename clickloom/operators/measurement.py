@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from clickloom.functions.keys import TOPIC_PARTITIONS, topic_partition
-from clickloom.functions.timebuckets import minute_floor
+from clickloom.functions.timebuckets import floor_div, floor_to, minute_floor
 from clickloom.operators.percentiles import percentiles, values_at_ranks, nearest_rank
 
 # Fixed values.
@@ -60,7 +60,7 @@ def reconcile_verdict(reconciled: DataFrame, ambiguous: int | Column) -> DataFra
 
 def latency_timeline(samples: DataFrame, bucket_seconds: int = 10, ok_status: str = OK_STATUS) -> DataFrame:
     """Requests, errors, latency percentiles and a count per status for each time bucket."""
-    start = F.floor(F.col("timestamp") / F.lit(bucket_seconds)).cast("long") * F.lit(bucket_seconds)
+    start = floor_to(F.col("timestamp"), bucket_seconds)
     bucketed = samples.withColumn("bucket", start)
     latency = percentiles(bucketed, ["bucket"], "metric_value", {"p50": 50, "p95": 95})
     by_status = bucketed.groupBy("bucket", "status").agg(F.count(F.lit(1)).alias("n"))
@@ -254,7 +254,7 @@ def longest_pause(counts: DataFrame) -> DataFrame:
         stretch = (
             F.lit(0).cast("long")
             if stretch_seconds is None
-            else F.floor(F.col("first") / F.lit(stretch_seconds * 1_000_000)).cast("long")
+            else floor_div(F.col("first"), stretch_seconds * 1_000_000)
         )
         before = F.lag("last").over(Window.partitionBy("stretch").orderBy("first"))
         pieces = (

@@ -13,6 +13,7 @@ from pyspark import cloudpickle
 from pyspark.sql import DataFrame, Row, functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
+from clickloom.functions.timebuckets import floor_to
 from clickloom.operators.hot import HotRules
 from clickloom.session import ROCKSDB_PROVIDER
 
@@ -37,7 +38,7 @@ class ClaimProcessor(StatefulProcessor):
     def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
         held = self.claim.get()
         claimed = before = None if held is None else held[0]
-        for row in sorted(rows, key=lambda r: (r.t, r.click_id)):
+        for row in sorted(rows, key=lambda r: (r.t, r.tie)):
             status = "accepted" if row.produce == "ack" else row.produce
             if row.dedup_ok:
                 if claimed is not None and abs(row.t - claimed) < self.ttl:
@@ -68,7 +69,7 @@ def stream_dedup(attempts: DataFrame, ttl_seconds: int = 600, keep_state_seconds
         raise ValueError("keep_state_seconds must exceed ttl_seconds")
     _state_settings(attempts)
     return (
-        attempts.withColumn("t", F.unix_micros("attempted_at"))
+        attempts.withColumns({"t": F.unix_micros("attempted_at"), "tie": F.xxhash64("click_id")})
         .groupBy("ad_id", "user_id")
         .transformWithState(
             ClaimProcessor(ttl_seconds, keep_state_seconds * 1000), STATUS_SCHEMA, "append", "ProcessingTime"
@@ -138,7 +139,7 @@ def stream_hot(clicks: DataFrame, rules: HotRules = HotRules(), time: str = "cli
     the shuffle, batch by batch, so a hot ad reaches its state as a few rows.
     """
     _state_settings(clicks)
-    instant = F.floor(F.unix_seconds(time) / F.lit(rules.resolution)).cast("long") * F.lit(rules.resolution)
+    instant = floor_to(F.unix_seconds(time), rules.resolution)
     combined = clicks.select("ad_id", instant.alias("t"), F.lit(1).cast("long").alias("n")).mapInPandas(
         _combine, "ad_id long, t long, n long"
     )

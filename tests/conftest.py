@@ -26,7 +26,6 @@ def spark():
         spark__ui__enabled="false",
         spark__ui__showConsoleProgress="false",
         spark__driver__memory="6g",
-        spark__driver__bindAddress="127.0.0.1",
     )
     session.sparkContext.setLogLevel("ERROR")
     yield session

@@ -159,7 +159,7 @@ def test_stream_dedup_follows_the_rule_over_restarts(spark, tmp_path):
             stateful.stream_dedup(stream, 600, 86_400), log, checkpoint, "append", available_now=True
         ).awaitTermination()
     got = {r.click_id: r.status for r in spark.read.parquet(log).collect()}
-    assert got == follow(attempts, 600)
+    assert got == follow(spark, attempts, 600)
     batch = dedup.dedup_outcomes(spark.createDataFrame(attempts, ATTEMPT), 600)
     assert got == {r.click_id: r.status for r in batch.collect()}
 
