@@ -6,10 +6,10 @@ At or above ``threshold`` the ad is marked if it carries no live mark, else the
 extended; a mark expires ``ttl`` after the last such instant. The ``permanent_after``-th marking
 is for good.
 
-Clicks collapse to one row per ad and instant with map-side combining, so later steps see rows
-in proportion to time, not to clicks. Windows run per ad and *stretch* of buckets, not per ad:
-each stretch is also shown the last buckets of the stretch before it, so that a busy ad's
-history is spread over tasks.
+Clicks first collapse to one row per ad and bucket, with map-side combining. Only buckets whose
+window reaches the threshold are looked at instant by instant. Windows run per ad and
+*stretch* of buckets, not per ad: each stretch is also shown the last buckets of the stretch
+before it, so that a busy ad's history is spread over tasks.
 """
 
 from __future__ import annotations
@@ -21,6 +21,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from clickloom.functions.timebuckets import floor_div, floor_to
 from clickloom.operators.filtering import as_of_column
+from clickloom.operators.skew import salted_lookup
 
 
 @dataclass(frozen=True)
@@ -42,16 +43,6 @@ class HotRules:
             raise ValueError("stretch_buckets must be at least window_buckets")
 
 
-def clicks_per_instant(clicks: DataFrame, resolution: int = 1, time: str = "clicked_at") -> DataFrame:
-    """Clicks per ad and instant, ``t`` in epoch seconds."""
-    instant = floor_to(F.unix_seconds(time), resolution)
-    return clicks.groupBy("ad_id", instant.alias("t")).agg(F.count(F.lit(1)).alias("n"))
-
-
-def _with_bucket(instants: DataFrame, bucket_seconds: int) -> DataFrame:
-    return instants.withColumn("bucket", floor_div(F.col("t"), bucket_seconds))
-
-
 def _in_stretches(rows: DataFrame, rules: HotRules) -> DataFrame:
     """Rows by stretch of buckets; the last buckets of one are also shown (not own) to the next."""
     stretch = floor_div(F.col("bucket"), rules.stretch_buckets)
@@ -65,10 +56,8 @@ def _in_stretches(rows: DataFrame, rules: HotRules) -> DataFrame:
 
 def sliding_totals(clicks: DataFrame, rules: HotRules = HotRules(), time: str = "clicked_at") -> DataFrame:
     """Per ad and bucket: its clicks ``n`` and ``total`` over the window ending with it."""
-    buckets = (
-        _with_bucket(clicks_per_instant(clicks, rules.bucket_seconds, time), rules.bucket_seconds)
-        .select("ad_id", "bucket", "n")
-    )
+    bucket = floor_div(F.unix_seconds(time), rules.bucket_seconds)
+    buckets = clicks.groupBy("ad_id", bucket.alias("bucket")).agg(F.count(F.lit(1)).alias("n"))
     window = (
         Window.partitionBy("ad_id", "stretch")
         .orderBy("bucket")
@@ -82,25 +71,38 @@ def sliding_totals(clicks: DataFrame, rules: HotRules = HotRules(), time: str =
     )
 
 
-def _over_threshold(clicks: DataFrame, rules: HotRules, time: str) -> DataFrame:
+def hot_buckets(clicks: DataFrame, rules: HotRules = HotRules(), time: str = "clicked_at") -> DataFrame:
+    """Buckets by whose end an ad's window reaches the threshold, and the clicks ``before`` them.
+
+    Only these can hold an over-threshold instant. For most traffic they are few, so finer
+    steps read little; store them (``session.stored``) and they are broadcast while small.
+    """
+    return (
+        sliding_totals(clicks, rules, time)
+        .where(F.col("total") >= rules.threshold)
+        .select("ad_id", "bucket", (F.col("total") - F.col("n")).alias("before"))
+    )
+
+
+def _over_threshold(clicks: DataFrame, rules: HotRules, time: str, buckets: DataFrame) -> DataFrame:
     """Instants at which an ad's window reaches the threshold: ``(ad_id, stretch, t)``."""
-    instants = _with_bucket(clicks_per_instant(clicks, rules.resolution, time), rules.bucket_seconds)
+    t = floor_to(F.unix_seconds(time), rules.resolution)
+    instants = (
+        clicks.select("ad_id", t.alias("t"))
+        .withColumn("bucket", floor_div(F.col("t"), rules.bucket_seconds))
+        .join(buckets, ["ad_id", "bucket"])
+        .groupBy("ad_id", "bucket", "before", "t")
+        .agg(F.count(F.lit(1)).alias("n"))
+    )
     so_far = (
-        Window.partitionBy("ad_id", "stretch", "bucket")
+        Window.partitionBy("ad_id", "bucket")
         .orderBy("t")
         .rowsBetween(Window.unboundedPreceding, Window.currentRow)
     )
-    earlier = (
-        Window.partitionBy("ad_id", "stretch")
-        .orderBy("bucket")
-        .rangeBetween(-(rules.window_buckets - 1), -1)
-    )
     return (
-        _in_stretches(instants, rules)
-        .withColumn("in_bucket", F.sum("n").over(so_far))
-        .withColumn("before", F.coalesce(F.sum("n").over(earlier), F.lit(0)))
-        .where(F.col("own") & (F.col("in_bucket") + F.col("before") >= rules.threshold))
-        .select("ad_id", "stretch", "t")
+        instants.withColumn("in_bucket", F.sum("n").over(so_far))
+        .where(F.col("in_bucket") + F.col("before") >= rules.threshold)
+        .select("ad_id", floor_div(F.col("bucket"), rules.stretch_buckets).alias("stretch"), "t")
     )
 
 
@@ -117,14 +119,22 @@ def _islands(rows: DataFrame, keys: list[str], first: str, last: str, ttl: int)
     )
 
 
-def hot_intervals(clicks: DataFrame, rules: HotRules = HotRules(), time: str = "clicked_at") -> DataFrame:
+def hot_intervals(
+    clicks: DataFrame,
+    rules: HotRules = HotRules(),
+    time: str = "clicked_at",
+    buckets: DataFrame | None = None,
+) -> DataFrame:
     """Markings ``(ad_id, mark_no, marked_at, hot_until, permanent)``.
 
+    ``buckets`` are the :func:`hot_buckets` of the same clicks, if they are stored already.
     Over-threshold instants first merge inside their stretch; only the merged pieces, at most
     a stretch's length over the ttl of them, meet per ad to be numbered.
     """
     ttl = rules.ttl_seconds
-    over = _over_threshold(clicks, rules, time)
+    if buckets is None:
+        buckets = hot_buckets(clicks, rules, time)
+    over = _over_threshold(clicks, rules, time, buckets)
     pieces = _islands(over, ["ad_id", "stretch"], "t", "t", ttl).select("ad_id", "first", "last")
     marked = _islands(pieces, ["ad_id"], "first", "last", ttl)
     return marked.select(
@@ -190,7 +200,8 @@ def tag_hot_clicks(
     """Add ``hot``: whether the ad was in the hot view, ``visible_after`` seconds behind, at the click.
 
     Intervals are laid out on time slots, so a click meets only those of its own ad and slot.
-    The slot table has one row per ad and slot and the join adds no rows.
+    The slot table has one row per ad and slot and the join adds no rows. Intervals are read
+    twice: give a stored table (``session.stored``), whose size Catalyst knows.
     """
     slot = floor_div(F.unix_seconds(time), slot_seconds)
     visible = F.unix_seconds("marked_at") + F.lit(visible_after)
@@ -220,10 +231,9 @@ def tag_hot_clicks(
         "spans",
         lambda span: (at >= span["visible"] * million) & (at <= span["until"] * million),
     )
+    slotted = clicks.withColumn("slot", slot).join(slots, ["ad_id", "slot"], "left")
     return (
-        clicks.withColumn("slot", slot)
-        .join(slots, ["ad_id", "slot"], "left")
-        .join(since, "ad_id", "left")
+        salted_lookup(slotted, since, ["ad_id"], F.col(time), "left")
         .withColumn(
             "hot",
             F.coalesce(temporary, F.lit(False)) | F.coalesce(F.col(time) >= F.col("since"), F.lit(False)),

@@ -2,12 +2,10 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from clickloom.functions.ranges import MAX_BUCKETS, TimeRange
-from clickloom.functions.timebuckets import STEP_SQL, bucket_floor
+from clickloom.functions.timebuckets import GRANULARITIES, STEP_SQL, bucket_floor
 
 
 def in_range(counts: DataFrame, rng: TimeRange, advertiser_id: int | None = None) -> DataFrame:
@@ -91,26 +89,27 @@ def zero_fill(points: DataFrame, rng: TimeRange) -> DataFrame:
 
 
 def zero_fill_per(points: DataFrame, rng: TimeRange, *keys: str) -> DataFrame:
-    """Zero-filled series of every key that has a point, without a join.
+    """Zero-filled series of every key that has a point.
 
-    Each key contributes its buckets once with 0 clicks; adding them to the points and
-    summing again fills the gaps with map-side combining.
+    Each point also emits the empty buckets up to the next one, the first point those before
+    it. A key has at most ``MAX_BUCKETS`` points, so its window is small; nothing is joined.
     """
     if rng.buckets > MAX_BUCKETS:
         raise ValueError(f"{rng.buckets} buckets exceed {MAX_BUCKETS}")
-    step = STEP_SQL[rng.granularity]
-    last = F.lit(rng.end) - F.expr(step)
-    empty = points.select(*keys).distinct().select(
-        *keys,
-        F.explode(F.sequence(F.lit(rng.start), last, F.expr(step))).alias("bucket"),
-        F.lit(0).cast("long").alias("clicks"),
-        F.lit(None).cast("timestamp").alias("last_updated_at"),
-    )
+    step = F.expr(STEP_SQL[rng.granularity])
+    in_time = Window.partitionBy(*keys).orderBy("bucket")
+    first = F.when(F.lag("bucket").over(in_time).isNull(), F.lit(rng.start)).otherwise(F.col("bucket"))
+    until = F.coalesce(F.lead("bucket").over(in_time), F.lit(rng.end))
+    own = F.col("at") == F.col("bucket")
     return (
-        points.select(*keys, "bucket", "clicks", "last_updated_at")
-        .unionByName(empty)
-        .groupBy(*keys, "bucket")
-        .agg(F.sum("clicks").alias("clicks"), F.max("last_updated_at").alias("last_updated_at"))
+        points.withColumns({"first": first, "until": until})
+        .withColumn("at", F.explode(F.sequence("first", F.col("until") - step, step)))
+        .select(
+            *keys,
+            F.col("at").alias("bucket"),
+            F.when(own, F.col("clicks")).otherwise(F.lit(0).cast("long")).alias("clicks"),
+            F.when(own, F.col("last_updated_at")).alias("last_updated_at"),
+        )
     )
 
 
@@ -133,27 +132,23 @@ def series_totals(points: DataFrame) -> DataFrame:
 
 
 def rollup_consistency(counts: DataFrame, rng: TimeRange) -> DataFrame:
-    """Totals of the same range per minute, hour and day, and whether they agree.
+    """Totals of the same range per minute, hour and day from one scan, and whether they agree.
 
     The range must lie on day boundaries.
     """
-    ranged = in_range(counts, rng)
-    minutes = rollup(ranged, "minute")
-    totals = [
-        level.agg(F.coalesce(F.sum("clicks"), F.lit(0).cast("long")).alias("total")).select(
-            F.lit(name).alias("granularity"), "total"
-        )
-        for name, level in (
-            ("minute", minutes),
-            ("hour", rollup(ranged, "hour")),
-            ("day", rollup(ranged, "day")),
-        )
-    ]
-    combined = reduce(DataFrame.unionByName, totals)
-    return combined.agg(
+    levels = in_range(counts, rng).select(
+        *[bucket_floor(F.col("minute"), name).alias(f"by_{name}") for name in GRANULARITIES],
+        "click_count",
+    )
+    names = [f"by_{name}" for name in GRANULARITIES]
+    rolled = levels.groupingSets([[name] for name in names], *names).agg(F.sum("click_count").alias("clicks"))
+    zero = F.lit(0).cast("long")
+    return rolled.agg(
         *[
-            F.max(F.when(F.col("granularity") == name, F.col("total"))).alias(f"{name}_total")
-            for name in ("minute", "hour", "day")
+            F.coalesce(F.sum(F.when(F.col(f"by_{name}").isNotNull(), F.col("clicks"))), zero).alias(
+                f"{name}_total"
+            )
+            for name in GRANULARITIES
         ]
     ).withColumn(
         "consistent",

@@ -15,11 +15,12 @@ def salted_lookup(
     how: str = "inner",
     salts: int = SALTS,
 ) -> DataFrame:
-    """Join ``facts`` to a ``lookup`` with one row per key when the result is grouped by that key.
+    """Join ``facts`` to a ``lookup`` with one row per key where run-time skew splitting cannot help.
 
-    A later aggregate on ``keys`` could keep the join's partitioning and with it a hot key in
-    one task, where skew splitting does not apply. Salted, the rows of a key meet the lookup in
-    ``salts`` places and the aggregate combines before it shuffles. The lookup is copied
+    It splits a join of two plain shuffles only: not one whose lookup comes out of an aggregate,
+    nor one whose result is then grouped by the same keys, which would keep the join's
+    partitioning and with it a hot key in one task. Salted, the rows of a key meet the lookup
+    in ``salts`` places, and a later aggregate combines before it shuffles. The lookup is copied
     ``salts`` times, so it must be the smaller side.
     """
     left = facts.withColumn("_salt", F.pmod(F.xxhash64(spread), F.lit(salts)).cast("int"))

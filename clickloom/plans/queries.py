@@ -11,6 +11,7 @@ from clickloom.functions import timebuckets as tb
 from clickloom.functions.ranges import TimeRange, resolve_range
 from clickloom.operators import catalog, counting, dedup, filtering, hot, measurement, percentiles, series
 from clickloom.plans import inputs
+from clickloom.session import stored
 from clickloom.sources import clicks as click_source, samples as sample_source
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -908,7 +909,9 @@ def hot_markings_sql() -> str:
 
 @query("hot_markings", _INTERVALS_SQL)
 def _hot_markings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return hot.hot_intervals(_dense(spark, sf_dir), HOT_RULES)
+    clicks = _dense(spark, sf_dir)
+    buckets = stored(hot.hot_buckets(clicks, HOT_RULES), "hot-buckets")
+    return hot.hot_intervals(clicks, HOT_RULES, buckets=buckets)
 
 
 _PERMANENT_SQL = f"""
@@ -965,7 +968,7 @@ FROM ({_DENSE_SQL}) c
 def _tag_hot_clicks(spark: SparkSession, sf_dir: str) -> DataFrame:
     tagged = hot.tag_hot_clicks(
         _dense(spark, sf_dir),
-        _hot_markings(spark, sf_dir),
+        stored(_hot_markings(spark, sf_dir), "markings"),
         slot_seconds=HOT_RULES.ttl_seconds,
         visible_after=_VISIBLE_AFTER,
     )

@@ -62,3 +62,12 @@ def write_counts(counts: DataFrame, path: str, files_per_day: int = 16, mode: st
         .partitionBy("day")
         .parquet(path)
     )
+
+
+def merge_counts(changed: DataFrame, table: str) -> None:
+    """Upsert absolute counts into a catalogue table whose format supports MERGE."""
+    newer = changed.alias("new")
+    same_key = (F.col(f"{table}.ad_id") == F.col("new.ad_id")) & (
+        F.col(f"{table}.minute") == F.col("new.minute")
+    )
+    newer.mergeInto(table, same_key).whenMatched().updateAll().whenNotMatched().insertAll().merge()
