@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
+# Fixed values.
 SALT_BUCKETS = 12
 TOPIC_PARTITIONS = 12
 

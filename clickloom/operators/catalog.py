@@ -11,6 +11,7 @@ from clickloom.operators.filtering import as_of_column
 from clickloom.operators.skew import salted_lookup
 from clickloom.schemas import ADS
 
+# Fixed value.
 MAX_PAGE = 200
 
 

@@ -33,7 +33,7 @@ def sum_partials(partials: DataFrame, updated_at: Column | datetime | None) -> D
 
 
 def salted_minute_counts(kept: DataFrame, updated_at: Column | datetime | None = None) -> DataFrame:
-    """Both stages, as the streaming original runs them. Same rows as :func:`minute_counts`."""
+    """Both stages, with clicks salted by key. Same rows as :func:`minute_counts`."""
     return sum_partials(salted_partials(kept), updated_at)
 
 
@@ -59,15 +59,26 @@ def recount(clicks: DataFrame, updated_at: Column | datetime | None = None) -> D
     return minute_counts(keep_click(clicks, as_of=None, cutoff_ms=None), updated_at)
 
 
+# Batches of one run that fit beside its number in one long.
+BATCH_BITS = 40
+
+
+def newest(order: Column, *columns: str) -> list[Column]:
+    """Each column's value in the row with the highest ``order``.
+
+    Taken one by one, with a plain number as the order, the aggregate hashes; whole rows or a
+    compound order would make it sort its input.
+    """
+    return [F.max_by(name, order).alias(name) for name in columns]
+
+
 def upsert_latest(versions: DataFrame) -> DataFrame:
     """The current table: for each key the version with the highest ``(run_seq, batch_id)``."""
-    newest = F.max_by(
-        F.struct("advertiser_id", "click_count", "updated_at"), F.struct("run_seq", "batch_id")
-    )
+    order = F.shiftleft(F.col("run_seq"), BATCH_BITS) + F.col("batch_id")
     return (
         versions.groupBy(*COUNT_KEY)
-        .agg(newest.alias("row"))
-        .select("ad_id", "row.advertiser_id", "minute", "row.click_count", "row.updated_at")
+        .agg(*newest(order, "advertiser_id", "click_count", "updated_at"))
+        .select("ad_id", "advertiser_id", "minute", "click_count", "updated_at")
     )
 
 

@@ -41,6 +41,7 @@ from clickloom.operators.filtering import split_valid, validate_attempts
 # Executors need not have this package: its functions travel with the job.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
+# Fixed value.
 DEDUP_TTL_SECONDS = 600
 CHUNK_TTLS = 8
 KEY = ("ad_id", "user_id")

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from clickloom.functions.rules import attempt_rules, event_fields, event_rules, typed_event
 
+# Fixed values.
 REQUIRED = ("ad_id", "advertiser_id", "salt", "clicked_at")
 LATE_CUTOFF_MS = 3_600_000
 

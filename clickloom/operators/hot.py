@@ -26,7 +26,7 @@ from clickloom.operators.skew import salted_lookup
 
 @dataclass(frozen=True)
 class HotRules:
-    """Fixed values of the original unless scaled for sparser data."""
+    """The defaults are fixed values; scale them for sparser data."""
 
     bucket_seconds: int = 60
     window_buckets: int = 10

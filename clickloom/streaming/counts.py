@@ -8,6 +8,7 @@ from datetime import datetime
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from clickloom.operators.counting import newest
 from clickloom.operators.filtering import (
     LATE_CUTOFF_MS,
     as_of_column,
@@ -18,6 +19,7 @@ from clickloom.schemas import VERSION_LOG
 from clickloom.session import configure
 
 DROP_COUNTERS = "click_drops"
+VALUES = ("advertiser_id", "click_count", "updated_at")
 
 
 @dataclass(frozen=True)
@@ -120,24 +122,21 @@ def current_counts(versions: DataFrame) -> DataFrame:
     Per part the last batch wins; a minute's parts add up within a run; and the newest run that
     counted a minute replaces earlier ones.
     """
-    parts = versions.groupBy("ad_id", "minute", "run_seq", "part").agg(
-        F.max_by(F.struct("advertiser_id", "click_count", "updated_at"), "batch_id").alias("row")
-    )
+    parts = versions.groupBy("ad_id", "minute", "run_seq", "part").agg(*newest(F.col("batch_id"), *VALUES))
     # Placed by minute once, which both remaining aggregates can use.
     runs = (
         parts.repartition("ad_id", "minute")
         .groupBy("ad_id", "minute", "run_seq")
         .agg(
-            F.max("row.advertiser_id").alias("advertiser_id"),
-            F.sum("row.click_count").alias("click_count"),
-            F.max("row.updated_at").alias("updated_at"),
+            F.max("advertiser_id").alias("advertiser_id"),
+            F.sum("click_count").alias("click_count"),
+            F.max("updated_at").alias("updated_at"),
         )
     )
-    newest = F.max_by(F.struct("advertiser_id", "click_count", "updated_at"), "run_seq")
     return (
         runs.groupBy("ad_id", "minute")
-        .agg(newest.alias("row"))
-        .select("ad_id", "row.advertiser_id", "minute", "row.click_count", "row.updated_at")
+        .agg(*newest(F.col("run_seq"), *VALUES))
+        .select("ad_id", "advertiser_id", "minute", "click_count", "updated_at")
     )
 
 
@@ -148,12 +147,10 @@ def publish_recount(recounted: DataFrame, path: str, run_seq: int) -> None:
 
 def compact(spark: SparkSession, path: str, target: str, files: int = 64) -> None:
     """Write the log at ``path`` to ``target`` with one version per part, to be read in its place."""
-    newest = F.max_by(F.struct("advertiser_id", "click_count", "updated_at"), "batch_id")
     (
         read_versions(spark, path)
         .groupBy("ad_id", "minute", "run_seq", "part")
-        .agg(newest.alias("row"), F.max("batch_id").alias("batch_id"))
-        .select("ad_id", "row.*", "minute", "part", "run_seq", "batch_id")
+        .agg(*newest(F.col("batch_id"), *VALUES), F.max("batch_id").alias("batch_id"))
         .withColumn("_file", F.pmod(F.xxhash64("ad_id", "minute"), F.lit(files)))
         .repartition("run_seq", "_file")
         .drop("_file")

@@ -75,8 +75,9 @@ VERSIONS = (
 def test_latest_version_wins_by_run_then_batch(spark):
     log = [_version(1, 5, 1, 9), _version(1, 6, 2, 0), _version(2, 3, 1, 4), _version(2, 4, 1, 5)]
     frame = spark.createDataFrame(log + log, VERSIONS)
-    got = sorted((r.ad_id, r.click_count) for r in counting.upsert_latest(frame).collect())
-    assert got == [(1, 6), (2, 4)]
+    latest = counting.upsert_latest(frame)
+    assert sorted((r.ad_id, r.click_count) for r in latest.collect()) == [(1, 6), (2, 4)]
+    assert "SortAggregate" not in plan_of(latest)
 
 
 def test_recount_repairs_only_what_it_touches(spark):
