@@ -17,10 +17,12 @@ not followed in one task. Time is cut into chunks of a few ``ttl``:
 1. Acknowledged attempts collapse to distinct instants, combined before they shuffle, and are
    gathered per (ad, user, chunk), together with the last instants before the chunk that could
    still block it. A chunk holds whole numbers only.
-2. A chunk nothing reaches into is independent. For the few *linked* chunks a compact step
-   function says which click ends the chunk for each click the chain may enter at.
-3. Those functions, not the clicks, are followed per key to learn where each linked chunk is
-   entered; then every chunk is folded on its own.
+2. A chunk whose first instant nothing can block is independent. For the few *linked* chunks a
+   compact step function says when the key is free afterwards for each click the chain may
+   enter at.
+3. Those functions, not the clicks, are followed per key to learn when the key becomes free in
+   each chunk a claim may reach into; then every chunk is folded on its own.
+4. An attempt meets the few claims of its own key and chunk.
 
 Click ids are taken to be unique, as the accepting service makes them.
 """
@@ -51,10 +53,6 @@ _CLICK_TYPE = "struct<t: bigint, tie: bigint>"
 _NEVER = -(2**62)
 
 
-def _micros(seconds: int) -> int:
-    return int(seconds) * 1_000_000
-
-
 def _claiming() -> Column:
     return F.col("dedup_ok") & (F.col("produce") == "ack")
 
@@ -65,11 +63,12 @@ def _tie() -> Column:
 
 
 def _chunks(attempts: DataFrame, ttl: int, length: int) -> DataFrame:
-    """Per (ad, user, chunk): its distinct instants in order, and whether it is linked.
+    """Per (ad, user, chunk): its distinct instants in order; whether a claim before it may reach
+    into it, and whether that may block its first instant (it is linked).
 
     An instant near the end of a chunk is also shown to the next chunk, which therefore
-    knows without looking at its neighbour whether the chain can reach into it. Everything
-    else is derived from the one gathered array, so that all uses share its shuffle.
+    knows without looking at its neighbour. Everything else is derived from the one gathered
+    array, so that all uses share its shuffle.
     """
     instants = (
         attempts.where(_claiming() & F.col("ad_id").isNotNull() & F.col("user_id").isNotNull())
@@ -82,7 +81,7 @@ def _chunks(attempts: DataFrame, ttl: int, length: int) -> DataFrame:
     here = F.struct(chunk.alias("chunk"), F.lit(1).alias("own"))
     next_one = F.struct((chunk + 1).alias("chunk"), F.lit(0).alias("own"))
     places = F.when(reaches_on, F.array(here, next_one)).otherwise(F.array(here))
-    # The null tests change nothing; stated here, no use of the chunks adds its own below the
+    # The null test changes nothing; stated here, no use of the chunks adds its own below the
     # shuffle and they can all share it.
     seen = (
         instants.select(*KEY, F.struct("t", "tie").alias("click"), F.explode(places).alias("place"))
@@ -90,15 +89,15 @@ def _chunks(attempts: DataFrame, ttl: int, length: int) -> DataFrame:
         .where(F.col("chunk").isNotNull())
         .groupBy(*KEY, "chunk")
         .agg(F.sort_array(F.collect_list("click")).alias("seen"), F.sum("own").cast("int").alias("own"))
-        .where(F.col("own") > 0)
     )
     before = F.size("seen") - F.col("own")
-    reached = F.try_element_at("seen", before)["t"] + F.lit(ttl) > F.element_at("seen", before + 1)["t"]
+    blocks = F.try_element_at("seen", before)["t"] + F.lit(ttl) > F.try_element_at("seen", before + 1)["t"]
     return seen.select(
         *KEY,
         "chunk",
         F.slice("seen", before + 1, F.col("own")).alias("instants"),
-        F.when(before > 0, reached).otherwise(F.lit(False)).alias("linked"),
+        (before > 0).alias("reached"),
+        F.when((before > 0) & (F.col("own") > 0), blocks).otherwise(F.lit(False)).alias("linked"),
     )
 
 
@@ -166,54 +165,52 @@ def _function_udf(ttl: int, length: int):
 
 
 def _entries(chunks: DataFrame, ttl: int, length: int) -> DataFrame:
-    """When the key becomes free inside each linked chunk: ``(ad, user, chunk, entry)``.
+    """When the key becomes free in each reached chunk: ``(ad, user, chunk, entry)``.
 
-    Only linked chunks, and independent ones ending with a claim that may reach further, take
-    part; each is reduced to its outcome before it moves.
+    Only reached chunks, and those whose last claim may reach further, take part; each is reduced
+    to its outcome before it moves.
     """
-    last = F.element_at("instants", -1)["t"]
-    reaches_on = last + F.lit(ttl) > (F.col("chunk") + 1) * F.lit(length)
-    independent = chunks.where(~F.col("linked") & reaches_on).select(
+    last = F.try_element_at("instants", F.lit(-1))["t"]
+    reaches_on = F.coalesce(last + F.lit(ttl) > (F.col("chunk") + 1) * F.lit(length), F.lit(False))
+    end = F.when(F.size("instants") > 0, F.array(_end_of("instants", ttl)))
+    no_longs = F.array().cast("array<bigint>")
+    independent = chunks.where(~F.col("linked") & (F.col("reached") | reaches_on)).select(
         *KEY,
         "chunk",
+        "reached",
         "linked",
-        F.struct(
-            F.array().cast("array<bigint>").alias("entries"),
-            F.array(_end_of("instants", ttl)).alias("exits"),
-        ).alias("outcome"),
+        F.struct(no_longs.alias("entries"), F.coalesce(end, no_longs).alias("exits")).alias("outcome"),
     )
     times = F.transform("instants", lambda click: click["t"])
-    linked = chunks.where(F.col("linked")).select(
-        *KEY, "chunk", "linked", _function_udf(ttl, length)(times, F.col("chunk")).alias("outcome")
+    linked = chunks.where("linked").select(
+        *KEY, "chunk", "reached", "linked", _function_udf(ttl, length)(times, F.col("chunk")).alias("outcome")
     )
     per_key = (
         independent.unionByName(linked)
         .groupBy(*KEY)
         .agg(
-            F.sort_array(F.collect_list(F.struct("chunk", "linked", "outcome"))).alias("path"),
-            F.bool_or("linked").alias("any_linked"),
+            F.sort_array(F.collect_list(F.struct("chunk", "reached", "linked", "outcome"))).alias("path"),
+            F.bool_or("reached").alias("any_reached"),
         )
-        .where("any_linked")
+        .where("any_reached")
     )
     nothing = F.array().cast("array<struct<chunk: bigint, entry: bigint>>")
     start = F.struct(F.lit(_NEVER).cast("long").alias("free_at"), nothing.alias("found"))
 
     def step(state: Column, part: Column) -> Column:
-        place = F.array_position(
-            F.transform(part["outcome"]["entries"], lambda entry: entry >= state["free_at"]), True
-        )
-        reached = F.coalesce(F.try_element_at(part["outcome"]["exits"], place.cast("int")), state["free_at"])
-        return F.when(
+        outcome = part["outcome"]
+        # The first click the chain can enter at; an independent chunk has one outcome, if any.
+        place = F.when(
             part["linked"],
-            F.struct(
-                F.when(place > 0, reached).otherwise(state["free_at"]).alias("free_at"),
-                F.concat(
-                    state["found"],
-                    F.array(F.struct(part["chunk"].alias("chunk"), state["free_at"].alias("entry"))),
-                ).alias("found"),
-            ),
-        ).otherwise(
-            F.struct(part["outcome"]["exits"][0].alias("free_at"), state["found"].alias("found"))
+            F.array_position(F.transform(outcome["entries"], lambda entry: entry >= state["free_at"]), True),
+        ).otherwise(F.size(outcome["exits"]).cast("long"))
+        free_at = F.when(place > 0, F.try_element_at(outcome["exits"], place.cast("int")))
+        at = F.struct(part["chunk"].alias("chunk"), state["free_at"].alias("entry"))
+        return F.struct(
+            F.coalesce(free_at, state["free_at"]).alias("free_at"),
+            F.when(part["reached"], F.concat(state["found"], F.array(at)))
+            .otherwise(state["found"])
+            .alias("found"),
         )
 
     return (
@@ -222,67 +219,53 @@ def _entries(chunks: DataFrame, ttl: int, length: int) -> DataFrame:
     )
 
 
-def accepted_claims(
-    attempts: DataFrame, ttl_seconds: int = DEDUP_TTL_SECONDS, chunk_ttls: int = CHUNK_TTLS
-) -> DataFrame:
-    """The accepted, claim-holding attempts: ``(ad_id, user_id, t, tie)``, ``t`` in µs."""
-    if ttl_seconds < 1 or chunk_ttls < 2:
-        raise ValueError("ttl_seconds must be at least 1 and chunk_ttls at least 2")
-    ttl = _micros(ttl_seconds)
-    length = ttl * chunk_ttls
+def _claimed_chunks(attempts: DataFrame, ttl: int, length: int) -> DataFrame:
+    """Per (ad, user, chunk): when the key is free in it, and the claims made in it."""
     chunks = _chunks(attempts, ttl, length)
     entry = F.coalesce("entry", F.lit(_NEVER).cast("long"))
     return (
         chunks.select(*KEY, "chunk", "instants")
         .join(_entries(chunks, ttl, length), [*KEY, "chunk"], "left")
-        .select(*KEY, F.explode(_fold("instants", entry, ttl)).alias("claim"))
-        .select(*KEY, "claim.t", "claim.tie")
+        .select(*KEY, "chunk", entry.alias("entry"), _fold("instants", entry, ttl).alias("claims"))
     )
 
 
-def _blocked_slots(claims: DataFrame, ttl: int) -> DataFrame:
-    """Claims by time slot of one ``ttl``: the one made in it and the end of the one before.
+def _lengths(ttl_seconds: int, chunk_ttls: int) -> tuple[int, int]:
+    if ttl_seconds < 1 or chunk_ttls < 2:
+        raise ValueError("ttl_seconds must be at least 1 and chunk_ttls at least 2")
+    ttl = int(ttl_seconds) * 1_000_000
+    return ttl, ttl * chunk_ttls
+
 
-    Claims of a key are at least ``ttl`` apart, so a slot has at most one of each.
-    """
-    slot = floor_div(F.col("t"), ttl)
-    made = F.struct("t", "tie")
-    placed = claims.select(
-        *KEY,
-        F.explode(
-            F.array(
-                F.struct(slot.alias("slot"), made.alias("made"), F.lit(None).cast("long").alias("free_at")),
-                F.struct(
-                    (slot + 1).alias("slot"),
-                    F.lit(None).cast(_CLICK_TYPE).alias("made"),
-                    (F.col("t") + F.lit(ttl)).alias("free_at"),
-                ),
-            )
-        ).alias("place"),
-    ).select(*KEY, "place.*")
-    return placed.groupBy(*KEY, "slot").agg(
-        F.when(
-            F.max("made.t").isNotNull(),
-            F.struct(F.max("made.t").alias("t"), F.max("made.tie").alias("tie")),
-        ).alias("made"),
-        F.max("free_at").alias("free_at"),
-    )
+def accepted_claims(
+    attempts: DataFrame, ttl_seconds: int = DEDUP_TTL_SECONDS, chunk_ttls: int = CHUNK_TTLS
+) -> DataFrame:
+    """The accepted, claim-holding attempts: ``(ad_id, user_id, t, tie)``, ``t`` in µs."""
+    chunks = _claimed_chunks(attempts, *_lengths(ttl_seconds, chunk_ttls))
+    return chunks.select(*KEY, F.explode("claims").alias("claim")).select(*KEY, "claim.t", "claim.tie")
 
 
 def dedup_outcomes(
     attempts: DataFrame, ttl_seconds: int = DEDUP_TTL_SECONDS, chunk_ttls: int = CHUNK_TTLS
 ) -> DataFrame:
     """Every attempt with its ``status``: accepted, duplicate, or why it was not recorded."""
-    ttl = _micros(ttl_seconds)
-    claims = accepted_claims(attempts, ttl_seconds, chunk_ttls)
+    ttl, length = _lengths(ttl_seconds, chunk_ttls)
     t = F.unix_micros("attempted_at")
-    slotted = attempts.withColumn("slot", floor_div(t, ttl))
-    joined = slotted.join(_blocked_slots(claims, ttl), [*KEY, "slot"], "left")
+    chunk = floor_div(t, length)
+    # The lane follows from the chunk. As a further key it makes the join shuffle both sides
+    # itself, the shape in which run-time skew splitting can divide a chunk full of attempts.
+    lane = F.pmod("chunk", F.lit(8))
+    claimed = _claimed_chunks(attempts, ttl, length).withColumn("lane", lane)
+    joined = (
+        attempts.withColumn("chunk", chunk)
+        .withColumn("lane", lane)
+        .join(claimed, [*KEY, "chunk", "lane"], "left")
+    )
     here = F.struct(t.alias("t"), _tie().alias("tie"))
     recorded = F.when(F.col("produce") == "ack", "accepted").otherwise(F.col("produce"))
-    is_claim = _claiming() & F.coalesce(here == F.col("made"), F.lit(False))
-    blocked = F.coalesce(t < F.col("free_at"), F.lit(False)) | F.coalesce(
-        here > F.col("made"), F.lit(False)
+    is_claim = _claiming() & F.coalesce(F.array_contains("claims", here), F.lit(False))
+    blocked = F.coalesce(t < F.col("entry"), F.lit(False)) | F.coalesce(
+        F.exists("claims", lambda claim: (claim < here) & (t < claim["t"] + F.lit(ttl))), F.lit(False)
     )
     status = (
         F.when(~F.col("dedup_ok"), recorded)

@@ -129,15 +129,18 @@ def test_chunk_function_equals_following_the_chain(offsets, ttl):
         assert (exits[place] if place < len(exits) else free_at) == expected
 
 
-def test_python_sees_linked_chunks_only_and_the_hot_key_is_split(spark, sf_dir):
+def test_the_hot_key_is_split_and_its_shuffles_are_shared(spark, sf_dir):
     from clickloom.plans import inputs
 
-    result = dedup.dedup_outcomes(inputs.attempts(spark, sf_dir, "hot_key"), 600)
+    attempts = inputs.attempts(spark, sf_dir, "hot_key")
+    sizes = dedup._chunks(attempts, 600_000_000, 4_800_000_000)
+    assert sizes.agg(F.max(F.size("instants"))).first()[0] < 20
+    result = dedup.dedup_outcomes(attempts, 600)
+    result.collect()
     plan = plan_of(result)
-    assert plan.count("(") and "BatchEvalPython" not in plan
-    sizes = dedup._chunks(inputs.attempts(spark, sf_dir, "hot_key"), 600_000_000, 4_800_000_000)
-    largest = sizes.agg(F.max(F.size("instants"))).first()[0]
-    assert largest < 20
+    plan = plan[: plan.index("Initial Plan")]
+    assert plan.count("ReusedExchange") == 2
+    assert plan.count("ArrowEvalPython") == 1 and "BatchEvalPython" not in plan
 
 
 def test_every_attempt_has_one_outcome(spark, sf_dir):
