@@ -153,22 +153,19 @@ def permanent_hot(intervals: DataFrame) -> DataFrame:
     )
 
 
-def hot_view(
-    clicks: DataFrame,
-    as_of: datetime | Column,
-    rules: HotRules = HotRules(),
-    time: str = "clicked_at",
-) -> DataFrame:
-    """Ads hot at ``as_of`` from the clicks up to then, by ad id.
+def up_to(clicks: DataFrame, as_of: datetime | Column, time: str = "clicked_at") -> DataFrame:
+    """The clicks known at ``as_of``."""
+    return clicks.where(F.col(time) <= as_of_column(as_of))
+
+
+def hot_view(intervals: DataFrame, as_of: datetime | Column) -> DataFrame:
+    """Ads hot at ``as_of``, by ad id, from the intervals of the clicks :func:`up_to` then.
 
     ``hot_until`` is null for a permanent ad without a live mark.
     """
-    now = as_of_column(as_of)
-    seen = clicks.where(F.col(time) <= now)
-    live = F.col("hot_until") >= now
+    live = F.col("hot_until") >= as_of_column(as_of)
     return (
-        hot_intervals(seen, rules, time)
-        .groupBy("ad_id")
+        intervals.groupBy("ad_id")
         .agg(
             F.bool_or("permanent").alias("permanent"),
             F.max("mark_no").alias("marks"),

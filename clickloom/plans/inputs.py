@@ -40,15 +40,16 @@ def attempts(spark: SparkSession, sf_dir: str, shape: str = "sparse") -> DataFra
 def attempts_of(events: DataFrame, shape: str = "sparse") -> DataFrame:
     """Events (a table or a stream) as click attempts.
 
-    ``sparse``: 100 ads, 20 of them unknown. ``dense``: 5 ads. ``hot_key``: as dense, but a
-    third of all attempts come from one user on one ad.
+    ``sparse``: 100 ads, 20 of them unknown. ``dense``: 5 ads. ``hot_ad``: as sparse, but a third
+    of all attempts are on one ad. ``hot_key``: as dense, but a third are by one user on one ad.
     """
     event_id = F.col("event_id")
     one_third = F.pmod(event_id, F.lit(3)) == 0
-    ad_id = F.col("k") + 1 if shape == "sparse" else F.pmod(F.col("k"), F.lit(5)) + 1
+    ad_id = F.pmod(F.col("k"), F.lit(5)) + 1 if shape in ("dense", "hot_key") else F.col("k") + 1
     user_id = F.concat(F.lit("u-"), F.col("user_id").cast("string"))
-    if shape == "hot_key":
+    if shape in ("hot_ad", "hot_key"):
         ad_id = F.when(one_third, F.lit(1).cast("long")).otherwise(ad_id)
+    if shape == "hot_key":
         user_id = F.when(one_third, F.lit("u-bot")).otherwise(user_id)
     produce = (
         F.when(F.pmod(event_id, F.lit(101)) == 0, "rejected")
@@ -183,10 +184,11 @@ _USER = "concat('u-', CAST(user_id AS VARCHAR))"
 
 
 def attempts_sql(shape: str = "sparse") -> str:
-    ad = f"{_K} + 1" if shape == "sparse" else f"{_K} % 5 + 1"
+    ad = f"{_K} % 5 + 1" if shape in ("dense", "hot_key") else f"{_K} + 1"
     user = _USER
-    if shape == "hot_key":
+    if shape in ("hot_ad", "hot_key"):
         ad = f"CASE WHEN event_id % 3 = 0 THEN 1 ELSE {ad} END"
+    if shape == "hot_key":
         user = f"CASE WHEN event_id % 3 = 0 THEN 'u-bot' ELSE {user} END"
     return _ATTEMPT_SQL.format(ad=f"CAST({ad} AS BIGINT)", user=user)
 

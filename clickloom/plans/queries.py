@@ -242,6 +242,39 @@ FROM ({_CRC_SQL}) GROUP BY 1
 """
 
 
+# The same with a third of all clicks on one hot ad, salted and not.
+_HOT_AD_SQL = f"SELECT * FROM ({inputs.clicks_sql('hot_ad')})"
+_CRC_OF = _CRC_SQL.replace(f"({_FLAGGED_SQL})", "({clicks})").replace(_KEY_SQL, "{key}")
+_SALTED_KEY_SQL = f"CASE WHEN ad_id = 1 THEN '1#' || ({_SALT_SQL}) ELSE CAST(ad_id AS VARCHAR) END"
+
+
+def _skew_sql(key: str) -> str:
+    return f"""
+SELECT count(*) AS partitions, CAST(max(records) AS BIGINT) AS most, CAST(min(records) AS BIGINT) AS least,
+       max(records) / greatest(CAST(min(records) AS DOUBLE), 1e-9) AS skew
+FROM (SELECT "partition", sum(records) AS records
+      FROM ({_CRC_OF.format(key=key, clicks=_HOT_AD_SQL)}) GROUP BY 1)
+"""
+
+
+@query(
+    "salting_effect",
+    f"""
+SELECT true AS salting, * FROM ({_skew_sql(_SALTED_KEY_SQL)})
+UNION ALL SELECT false, * FROM ({_skew_sql("CAST(ad_id AS VARCHAR)")})
+""",
+)
+def _salting_effect(spark: SparkSession, sf_dir: str) -> DataFrame:
+    clicks = inputs.clicks(spark, sf_dir, "hot_ad").withColumn("hot", F.col("ad_id") == 1)
+
+    def skew(salting: bool) -> DataFrame:
+        records = click_source.encode_events(click_source.assign_salt(clicks, salting), salting)
+        rates = measurement.partition_rates(records)
+        return measurement.partition_skew(rates).select(F.lit(salting).alias("salting"), "*")
+
+    return skew(True).unionByName(skew(False))
+
+
 @query("partition_rates", _RATES_SQL)
 def _partition_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return measurement.partition_rates(_encode_events(spark, sf_dir))
@@ -907,13 +940,16 @@ def hot_markings_sql() -> str:
     return _INTERVALS_SQL
 
 
-@query("hot_markings", _INTERVALS_SQL)
-def _hot_markings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    clicks = _dense(spark, sf_dir)
+def _markings(clicks: DataFrame) -> DataFrame:
     buckets = stored(hot.hot_buckets(clicks, HOT_RULES), "hot-buckets")
     return hot.hot_intervals(clicks, HOT_RULES, buckets=buckets)
 
 
+@query("hot_markings", _INTERVALS_SQL)
+def _hot_markings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _markings(_dense(spark, sf_dir))
+
+
 _PERMANENT_SQL = f"""
 SELECT ad_id, min(marked_at) AS permanent_since FROM ({_INTERVALS_SQL}) WHERE permanent GROUP BY 1
 """
@@ -935,7 +971,7 @@ GROUP BY ad_id HAVING bool_or(permanent) OR max(hot_until) >= TIMESTAMP '{HOT_AS
 @query("hot_view", _VIEW_SQL)
 def _hot_view(spark: SparkSession, sf_dir: str) -> DataFrame:
     as_of = F.lit(HOT_AS_OF).cast("timestamp")
-    return hot.hot_view(_dense(spark, sf_dir), as_of, HOT_RULES)
+    return hot.hot_view(_markings(hot.up_to(_dense(spark, sf_dir), as_of)), as_of)
 
 
 @query("hot_ranking", f"SELECT * FROM ({_VIEW_SQL}) ORDER BY permanent DESC, marks DESC, ad_id")

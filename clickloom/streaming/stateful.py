@@ -67,7 +67,7 @@ def stream_dedup(attempts: DataFrame, ttl_seconds: int = 600, keep_state_seconds
     """
     if keep_state_seconds <= ttl_seconds:
         raise ValueError("keep_state_seconds must exceed ttl_seconds")
-    _state_settings(attempts)
+    _state_settings(attempts, expires=True)
     return (
         attempts.withColumns({"t": F.unix_micros("attempted_at"), "tie": F.xxhash64("click_id")})
         .groupBy("ad_id", "user_id")
@@ -138,7 +138,7 @@ def stream_hot(clicks: DataFrame, rules: HotRules = HotRules(), time: str = "cli
     Update mode; the last row of a mark holds. Clicks of one ad and instant are combined before
     the shuffle, batch by batch, so a hot ad reaches its state as a few rows.
     """
-    _state_settings(clicks)
+    _state_settings(clicks, expires=False)
     instant = floor_to(F.unix_seconds(time), rules.resolution)
     combined = clicks.select("ad_id", instant.alias("t"), F.lit(1).cast("long").alias("n")).mapInPandas(
         _combine, "ad_id long, t long, n long"
@@ -169,12 +169,13 @@ def drop_exact_copies(clicks: DataFrame, within: str = "10 minutes") -> DataFram
     return clicks.withWatermark("clicked_at", within).dropDuplicatesWithinWatermark(["click_id"])
 
 
-def _state_settings(stream: DataFrame) -> None:
+def _state_settings(stream: DataFrame, expires: bool) -> None:
     """Session settings the stateful queries need when they start.
 
     With state that expires by the wall clock Spark would otherwise run batch after batch
-    without data, and an ``availableNow`` run would never end. State expires with the data.
+    without data, and an ``availableNow`` run would never end. Here state expires with the data.
     """
     conf = stream.sparkSession.conf
     conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB_PROVIDER)
-    conf.set("spark.sql.streaming.noDataMicroBatches.enabled", "false")
+    if expires:
+        conf.set("spark.sql.streaming.noDataMicroBatches.enabled", "false")

@@ -58,10 +58,8 @@ def test_permanent_from_the_tenth_marking(spark):
 
 def _view(spark, groups, second):
     as_of = datetime.fromtimestamp(T0 + second, timezone.utc)
-    return [
-        (r.ad_id, r.permanent, r.marks, r.hot_until and naive(r.hot_until)) for r in
-        hot.hot_view(clicks(spark, groups), as_of).collect()
-    ]
+    view = hot.hot_view(hot.hot_intervals(hot.up_to(clicks(spark, groups), as_of)), as_of)
+    return [(r.ad_id, r.permanent, r.marks, r.hot_until and naive(r.hot_until)) for r in view.collect()]
 
 
 def test_view_lists_live_and_permanent_ads(spark):
