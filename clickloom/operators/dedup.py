@@ -39,6 +39,7 @@ from pyspark.sql.functions import pandas_udf
 
 from clickloom.functions.timebuckets import floor_div
 from clickloom.operators.filtering import split_valid, validate_attempts
+from clickloom.operators.skew import splittable_lookup
 
 # Executors need not have this package: its functions travel with the job.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -251,16 +252,8 @@ def dedup_outcomes(
     """Every attempt with its ``status``: accepted, duplicate, or why it was not recorded."""
     ttl, length = _lengths(ttl_seconds, chunk_ttls)
     t = F.unix_micros("attempted_at")
-    chunk = floor_div(t, length)
-    # The lane follows from the chunk. As a further key it makes the join shuffle both sides
-    # itself, the shape in which run-time skew splitting can divide a chunk full of attempts.
-    lane = F.pmod("chunk", F.lit(8))
-    claimed = _claimed_chunks(attempts, ttl, length).withColumn("lane", lane)
-    joined = (
-        attempts.withColumn("chunk", chunk)
-        .withColumn("lane", lane)
-        .join(claimed, [*KEY, "chunk", "lane"], "left")
-    )
+    placed = attempts.withColumn("chunk", floor_div(t, length))
+    joined = splittable_lookup(placed, _claimed_chunks(attempts, ttl, length), [*KEY, "chunk"], "chunk")
     here = F.struct(t.alias("t"), _tie().alias("tie"))
     recorded = F.when(F.col("produce") == "ack", "accepted").otherwise(F.col("produce"))
     is_claim = _claiming() & F.coalesce(F.array_contains("claims", here), F.lit(False))

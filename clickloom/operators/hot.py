@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from clickloom.functions.timebuckets import floor_div, floor_to
 from clickloom.operators.filtering import as_of_column
-from clickloom.operators.skew import salted_lookup
+from clickloom.operators.skew import salted_lookup, splittable_lookup
 
 
 @dataclass(frozen=True)
@@ -228,7 +228,7 @@ def tag_hot_clicks(
         "spans",
         lambda span: (at >= span["visible"] * million) & (at <= span["until"] * million),
     )
-    slotted = clicks.withColumn("slot", slot).join(slots, ["ad_id", "slot"], "left")
+    slotted = splittable_lookup(clicks.withColumn("slot", slot), slots, ["ad_id", "slot"], "slot")
     return (
         salted_lookup(slotted, since, ["ad_id"], F.col(time), "left")
         .withColumn(

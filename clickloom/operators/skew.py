@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 SALTS = 16
+LANES = 8
 
 
 def salted_lookup(
@@ -26,3 +27,17 @@ def salted_lookup(
     left = facts.withColumn("_salt", F.pmod(F.xxhash64(spread), F.lit(salts)).cast("int"))
     right = lookup.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     return left.join(right, [*keys, "_salt"], how).drop("_salt")
+
+
+def splittable_lookup(
+    facts: DataFrame, lookup: DataFrame, keys: list[str], number: str
+) -> DataFrame:
+    """Left join to a ``lookup`` that comes out of an aggregate on ``keys``, still open to skew splitting.
+
+    ``number`` is one of the keys. A lane derived from it adds nothing to the match, but being no
+    key of the aggregate it makes the join shuffle both sides itself, the shape in which a
+    partition full of facts is divided at run time.
+    """
+    lane = F.pmod(F.col(number), F.lit(LANES))
+    left, right = (side.withColumn("_lane", lane) for side in (facts, lookup))
+    return left.join(right, [*keys, "_lane"], "left").drop("_lane")

@@ -11,6 +11,7 @@ from clickloom.functions import timebuckets as tb
 from clickloom.functions.ranges import TimeRange, resolve_range
 from clickloom.operators import catalog, counting, dedup, filtering, hot, measurement, percentiles, series
 from clickloom.plans import inputs
+from clickloom.plans.accept import Accepted, accept
 from clickloom.session import stored
 from clickloom.sources import clicks as click_source, samples as sample_source
 
@@ -1023,6 +1024,57 @@ def _hot_share(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hot.hot_share(_tag_hot_clicks(spark, sf_dir))
 
 
+# -- the whole way from attempt to event ------------------------------------------------------
+
+_SPARSE_RULES = hot.HotRules(
+    bucket_seconds=3600, threshold=4, ttl_seconds=36_000, permanent_after=3, stretch_buckets=48
+)
+_FOLLOWED_SQL = f"""
+SELECT click_id, ad_id, advertiser_id, user_id, attempted_at AS clicked_at, status
+FROM ({_classified_sql('sparse', 86_400)})
+"""
+_FOLLOWED_HOT_SQL = f"""
+WITH followed AS MATERIALIZED ({_FOLLOWED_SQL}),
+     intervals AS MATERIALIZED (
+       {_intervals_sql("SELECT * FROM followed WHERE status = 'accepted'", _SPARSE_RULES)}),
+     since AS (SELECT ad_id, min(marked_at) AS since FROM intervals WHERE permanent GROUP BY 1)
+SELECT c.*,
+       EXISTS (SELECT 1 FROM intervals i WHERE i.ad_id = c.ad_id AND c.clicked_at >= i.marked_at
+               AND c.clicked_at <= i.hot_until)
+       OR EXISTS (SELECT 1 FROM since s WHERE s.ad_id = c.ad_id AND c.clicked_at >= s.since) AS hot
+FROM followed c
+"""
+
+
+def _accept(spark: SparkSession, sf_dir: str) -> Accepted:
+    return accept(inputs.attempts(spark, sf_dir), inputs.ads(spark, sf_dir), _SPARSE_RULES, 86_400)
+
+
+@query(
+    "attempt_outcomes",
+    f"SELECT click_id, ad_id, advertiser_id, user_id, clicked_at, status, hot FROM ({_FOLLOWED_HOT_SQL})",
+)
+def _attempt_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = _accept(spark, sf_dir).outcomes
+    return found.select("click_id", "ad_id", "advertiser_id", "user_id", "clicked_at", "status", "hot")
+
+
+@query(
+    "accepted_events",
+    f"""
+SELECT {_KEY_SQL} AS key,
+       concat('{{"click_id":"', click_id, '","ad_id":', ad_id, ',"advertiser_id":', advertiser_id,
+              ',"salt":', salt, ',"user_id":"', user_id, '","clicked_at":"',
+              strftime(date_trunc('millisecond', clicked_at), '%Y-%m-%dT%H:%M:%S.%g'),
+              'Z","receiver":"spark"}}') AS value
+FROM (SELECT *, CASE WHEN hot THEN CAST({_SALT_SQL} AS INTEGER) ELSE 0 END AS salt
+      FROM ({_FOLLOWED_HOT_SQL}) WHERE status = 'accepted')
+""",
+)
+def _accepted_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _accept(spark, sf_dir).records()
+
+
 # -- measurement ------------------------------------------------------------------------------
 
 _EXPECTED_SQL = f"""
