@@ -3,19 +3,33 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from clickloom.functions.keys import partition_key, salt_for
 from clickloom.functions.timebuckets import rfc3339_ms
 from clickloom.schemas import CLICK_EVENT
 
 
+# ISO 8601 with a zone; a time without one names no instant.
+ZONED_TIME = r"^\d{4}-\d{2}-\d{2}T\d{2}:\d{2}(:\d{2}(\.\d{1,9})?)?(Z|[+-]\d{2}:\d{2})$"
+_TEXT_EVENT = StructType(
+    [
+        StructField(field.name, StringType() if field.name == "clicked_at" else field.dataType)
+        for field in CLICK_EVENT
+    ]
+)
+
+
 def parse_clicks(records: DataFrame, value: str = "value") -> DataFrame:
     """Decode JSON leniently: a bad record or field becomes null, never a failure."""
     kept = [name for name in records.columns if name != value]
-    event = F.from_json(
-        F.col(value).cast("string"), CLICK_EVENT, {"mode": "PERMISSIVE"}
+    event = F.from_json(F.col(value).cast("string"), _TEXT_EVENT, {"mode": "PERMISSIVE"})
+    when = F.col("clicked_at")
+    return (
+        records.select(*kept, event.alias("event"))
+        .select(*kept, "event.*")
+        .withColumn("clicked_at", F.when(when.rlike(ZONED_TIME), when.try_cast("timestamp")))
     )
-    return records.select(*kept, event.alias("event")).select(*kept, "event.*")
 
 
 def read_topic(
@@ -59,7 +73,8 @@ def assign_salt(clicks: DataFrame, salting: bool = True, buckets: int = 12) -> D
     return clicks.withColumn("salt", salt_for(F.col("click_id"), F.col("hot"), salting, buckets))
 
 
-def event_json(clicked_at: Column | None = None) -> Column:
+def event_json() -> Column:
+    """A click as the topic's JSON, its time cut to the millisecond."""
     return F.to_json(
         F.struct(
             "click_id",
@@ -67,7 +82,7 @@ def event_json(clicked_at: Column | None = None) -> Column:
             "advertiser_id",
             "salt",
             "user_id",
-            rfc3339_ms(F.col("clicked_at") if clicked_at is None else clicked_at).alias("clicked_at"),
+            rfc3339_ms(F.col("clicked_at")).alias("clicked_at"),
             "receiver",
         )
     )

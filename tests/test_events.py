@@ -29,12 +29,17 @@ def test_lenient_decode(spark):
     offset = {**EVENT, "clicked_at": "2026-09-26T14:00:01.123+02:00"}
     missing = {k: v for k, v in EVENT.items() if k != "salt"}
     overflow = {**EVENT, "salt": 2**40}
-    got = source.parse_clicks(_records(spark, EVENT, "{not json", missing, offset, overflow)).collect()
+    zoneless = {**EVENT, "clicked_at": "2026-09-26T12:00:01.123"}
+    number = {**EVENT, "clicked_at": 1_790_000_000}
+    got = source.parse_clicks(
+        _records(spark, EVENT, "{not json", missing, offset, overflow, zoneless, number)
+    ).collect()
     assert got[0].ad_id == 42 and naive(got[0].clicked_at).isoformat() == "2026-09-26T12:00:01.123000"
     assert all(value is None for value in got[1])
     assert got[2].salt is None and got[2].ad_id == 42
     assert got[3].clicked_at == got[0].clicked_at
     assert got[4].salt is None and got[4].user_id == "u-3b9f"
+    assert got[5].clicked_at is None and got[6].clicked_at is None and got[6].ad_id == 42
 
 
 def _broken(spark, *values):
