@@ -20,8 +20,9 @@ not followed in one task. Time is cut into chunks of a few ``ttl``:
 2. A chunk whose first instant nothing can block is independent. For the few *linked* chunks a
    compact step function says when the key is free afterwards for each click the chain may
    enter at.
-3. Those functions, not the clicks, are followed per key to learn when the key becomes free in
-   each chunk a claim may reach into; then every chunk is folded on its own.
+3. An independent chunk tells the next one when the key becomes free in it. Only where linked
+   chunks follow one another are their step functions, not their clicks, followed in order, one
+   after the other. Then every chunk is folded on its own.
 4. An attempt meets the few claims of its own key and chunk.
 
 Click ids are taken to be unique, as the accepting service makes them.
@@ -30,6 +31,7 @@ Click ids are taken to be unique, as the accepting service makes them.
 from __future__ import annotations
 
 import sys
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -64,8 +66,8 @@ def _tie() -> Column:
 
 
 def _chunks(attempts: DataFrame, ttl: int, length: int) -> DataFrame:
-    """Per (ad, user, chunk): its distinct instants in order; whether a claim before it may reach
-    into it, and whether that may block its first instant (it is linked).
+    """Per (ad, user, chunk): its distinct instants in order, and whether a claim before it may
+    block the first of them (it is linked).
 
     An instant near the end of a chunk is also shown to the next chunk, which therefore
     knows without looking at its neighbour. Everything else is derived from the one gathered
@@ -97,7 +99,6 @@ def _chunks(attempts: DataFrame, ttl: int, length: int) -> DataFrame:
         *KEY,
         "chunk",
         F.slice("seen", before + 1, F.col("own")).alias("instants"),
-        (before > 0).alias("reached"),
         F.when((before > 0) & (F.col("own") > 0), blocks).otherwise(F.lit(False)).alias("linked"),
     )
 
@@ -165,59 +166,57 @@ def _function_udf(ttl: int, length: int):
     return outcome
 
 
+def _follow(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Go through linked chunks in order, handing each one's outcome to the next of its key.
+
+    One chunk is held at a time, however many a key has.
+    """
+    free_at = None
+    for batch in batches:
+        told = []
+        for seed, entries, exits in zip(batch["seed"], batch["entries"], batch["exits"]):
+            if not pd.isna(seed):
+                free_at = int(seed)
+            place = np.searchsorted(entries, free_at)
+            if place < len(exits):
+                free_at = int(exits[place])
+            told.append(free_at)
+        yield pd.DataFrame(
+            {
+                "ad_id": batch["ad_id"],
+                "user_id": batch["user_id"],
+                "chunk": batch["chunk"] + 1,
+                "entry": np.array(told, dtype=np.int64),
+            }
+        )
+
+
 def _entries(chunks: DataFrame, ttl: int, length: int) -> DataFrame:
-    """When the key becomes free in each reached chunk: ``(ad, user, chunk, entry)``.
+    """When the key becomes free in each chunk a claim may reach into: ``(ad, user, chunk, entry)``.
 
-    Only reached chunks, and those whose last claim may reach further, take part; each is reduced
-    to its outcome before it moves.
+    Told by the chunk before. An independent chunk knows its outcome. A linked one that reaches on
+    does not: the first of a row of them starts from what an independent chunk told it (its
+    ``seed``), the others from the one before.
     """
     last = F.try_element_at("instants", F.lit(-1))["t"]
-    reaches_on = F.coalesce(last + F.lit(ttl) > (F.col("chunk") + 1) * F.lit(length), F.lit(False))
-    end = F.when(F.size("instants") > 0, F.array(_end_of("instants", ttl)))
-    no_longs = F.array().cast("array<bigint>")
-    independent = chunks.where(~F.col("linked") & (F.col("reached") | reaches_on)).select(
-        *KEY,
-        "chunk",
-        "reached",
-        "linked",
-        F.struct(no_longs.alias("entries"), F.coalesce(end, no_longs).alias("exits")).alias("outcome"),
+    reaching = chunks.where(last + F.lit(ttl) > (F.col("chunk") + 1) * F.lit(length))
+    next_chunk = F.coalesce(F.col("chunk") + 1, F.lit(0).cast("long"))
+    told = reaching.where(~F.col("linked")).select(
+        *KEY, next_chunk.alias("chunk"), _end_of("instants", ttl).alias("entry")
     )
     times = F.transform("instants", lambda click: click["t"])
-    linked = chunks.where("linked").select(
-        *KEY, "chunk", "reached", "linked", _function_udf(ttl, length)(times, F.col("chunk")).alias("outcome")
-    )
-    per_key = (
-        independent.unionByName(linked)
-        .groupBy(*KEY)
-        .agg(
-            F.sort_array(F.collect_list(F.struct("chunk", "reached", "linked", "outcome"))).alias("path"),
-            F.bool_or("reached").alias("any_reached"),
-        )
-        .where("any_reached")
+    linked = (
+        reaching.where("linked")
+        .select(*KEY, "chunk", _function_udf(ttl, length)(times, F.col("chunk")).alias("outcome"))
+        .join(told.withColumnRenamed("entry", "seed"), [*KEY, "chunk"], "left")
+        .select(*KEY, "chunk", "seed", "outcome.entries", "outcome.exits")
     )
-    nothing = F.array().cast("array<struct<chunk: bigint, entry: bigint>>")
-    start = F.struct(F.lit(_NEVER).cast("long").alias("free_at"), nothing.alias("found"))
-
-    def step(state: Column, part: Column) -> Column:
-        outcome = part["outcome"]
-        # The first click the chain can enter at; an independent chunk has one outcome, if any.
-        place = F.when(
-            part["linked"],
-            F.array_position(F.transform(outcome["entries"], lambda entry: entry >= state["free_at"]), True),
-        ).otherwise(F.size(outcome["exits"]).cast("long"))
-        free_at = F.when(place > 0, F.try_element_at(outcome["exits"], place.cast("int")))
-        at = F.struct(part["chunk"].alias("chunk"), state["free_at"].alias("entry"))
-        return F.struct(
-            F.coalesce(free_at, state["free_at"]).alias("free_at"),
-            F.when(part["reached"], F.concat(state["found"], F.array(at)))
-            .otherwise(state["found"])
-            .alias("found"),
-        )
-
-    return (
-        per_key.select(*KEY, F.explode(F.aggregate("path", start, step, lambda s: s["found"])).alias("at"))
-        .select(*KEY, "at.chunk", "at.entry")
+    followed = (
+        linked.repartition(*KEY)
+        .sortWithinPartitions(*KEY, "chunk")
+        .mapInPandas(_follow, told.schema)
     )
+    return told.unionByName(followed)
 
 
 def _claimed_chunks(attempts: DataFrame, ttl: int, length: int) -> DataFrame:

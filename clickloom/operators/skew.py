@@ -38,6 +38,7 @@ def splittable_lookup(
     key of the aggregate it makes the join shuffle both sides itself, the shape in which a
     partition full of facts is divided at run time.
     """
-    lane = F.pmod(F.col(number), F.lit(LANES))
+    # Never null, so that Catalyst adds no null test below an exchange others could share.
+    lane = F.coalesce(F.pmod(F.col(number), F.lit(LANES)), F.lit(0))
     left, right = (side.withColumn("_lane", lane) for side in (facts, lookup))
     return left.join(right, [*keys, "_lane"], "left").drop("_lane")
