@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from clickloom.llm import decontaminate
 from clickloom.llm.line_dedup import LineIndex
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -58,3 +59,49 @@ def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     kept = LineIndex.build(docs, threshold=10, min_chars=1).strip(docs)
     return kept.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
+
+
+_WORDS = f"""regexp_extract_all({_LOWER.format("coalesce(text, '')")},
+    '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"""
+
+
+@query(
+    "op4_decontaminate",
+    f"""
+    WITH items AS (
+        SELECT item_id, {_WORDS} AS w FROM benchmark),
+    windows AS (
+        SELECT DISTINCT item_id, list_slice(w, i, i + least(10, len(w)) - 1) AS win
+        FROM items, unnest(range(1, greatest(len(w) - 10, 0) + 2)) AS u(i) WHERE len(w) > 0),
+    docs AS (
+        SELECT doc_id, {_WORDS} AS w FROM documents),
+    grams AS (
+        SELECT doc_id, i, n, list_slice(w, i, i + n - 1) AS win
+        FROM docs, (SELECT DISTINCT len(win) AS n FROM windows),
+            unnest(range(1, greatest(len(w) - n + 2, 1))) AS u(i)),
+    hits AS (
+        SELECT g.doc_id, g.i, g.n, v.item_id FROM grams g JOIN windows v ON g.win = v.win),
+    words AS (
+        SELECT doc_id, count(DISTINCT p) AS n_hit
+        FROM hits, unnest(range(i, i + n)) AS u(p) GROUP BY doc_id),
+    owners AS (
+        SELECT doc_id, count(*) AS n_items, string_agg(s, ',' ORDER BY s) AS ids FROM (
+            SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS s FROM hits) GROUP BY doc_id)
+    SELECT d.doc_id, len(d.w)::BIGINT AS n_words, coalesce(h.n_hit, 0)::BIGINT AS n_hit,
+        coalesce(o.n_items, 0)::BIGINT AS n_items, sha256(coalesce(o.ids, '')) AS items_sha256,
+        coalesce(h.n_hit, 0) > 0 AS contaminated
+    FROM docs d LEFT JOIN words h ON d.doc_id = h.doc_id LEFT JOIN owners o ON d.doc_id = o.doc_id
+    """,
+)
+def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of each document inside ten-word windows of benchmark items."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = decontaminate.scan(docs, table(spark, sf_dir, "benchmark"), window=10)
+    return found.select(
+        "doc_id",
+        F.col("found.n_words").alias("n_words"),
+        F.col("found.n_hit").alias("n_hit"),
+        F.size("found.items").cast("long").alias("n_items"),
+        F.sha2(F.array_join("found.items", ",").cast("binary"), 256).alias("items_sha256"),
+        (F.col("found.n_hit") > 0).alias("contaminated"),
+    )
