@@ -4,11 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from clickloom.llm import decontaminate
+from clickloom.llm import decontaminate, token_files
 from clickloom.llm.line_dedup import LineIndex
+from clickloom.session import scratch_path, stored
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -105,3 +107,21 @@ def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2(F.array_join("found.items", ",").cast("binary"), 256).alias("items_sha256"),
         (F.col("found.n_hit") > 0).alias("contaminated"),
     )
+
+
+@query("op8_token_files")
+def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents through the bit-packed token files and back."""
+    path = scratch_path(spark, "token-files")
+    vocabulary = public_tokenizers.path("byte_bpe_50k.json")
+    token_files.write(table(spark, sf_dir, "documents"), path, vocabulary, end_id=2)
+    docs = token_files.read(spark, path).select(
+        "part",
+        "shard",
+        "first",
+        F.col("key").alias("doc_id"),
+        (F.octet_length("ids") / 4).cast("long").alias("n_tokens"),
+        F.crc32("ids").alias("ids_crc32"),
+    )
+    found = token_files.with_starts(stored(docs, "token-counts"))
+    return found.select("doc_id", "start", "n_tokens", "ids_crc32")
