@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from clickloom.llm import decontaminate, token_files
+from clickloom.llm import decontaminate, packing, token_files
 from clickloom.llm.line_dedup import LineIndex
 from clickloom.session import scratch_path, stored
 
@@ -125,3 +125,11 @@ def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     found = token_files.with_starts(stored(docs, "token-counts"))
     return found.select("doc_id", "start", "n_tokens", "ids_crc32")
+
+
+@query("op3_packing")
+def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents in sequences of at most 2048 ids."""
+    vocabulary = public_tokenizers.path("byte_bpe_50k.json")
+    placed = packing.pack(table(spark, sf_dir, "documents"), vocabulary, end_id=0, length=2048)
+    return placed.withColumnRenamed("key", "doc_id")
