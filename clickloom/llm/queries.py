@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from clickloom.llm import decontaminate, packing, token_files
+from clickloom.llm import decontaminate, packing, simhash, token_files
 from clickloom.llm.line_dedup import LineIndex
 from clickloom.session import scratch_path, stored
 
@@ -133,3 +133,10 @@ def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     vocabulary = public_tokenizers.path("byte_bpe_50k.json")
     placed = packing.pack(table(spark, sf_dir, "documents"), vocabulary, end_id=0, length=2048)
     return placed.withColumnRenamed("key", "doc_id")
+
+
+@query("op2_simhash")
+def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups of documents whose fingerprints differ in at most three bits, step by step."""
+    groups = simhash.near_copies(table(spark, sf_dir, "documents"), shingle=3, radius=3)
+    return groups.toDF("doc_id", "fingerprint", "component_id")
