@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from clickloom.llm import decontaminate, packing, simhash, token_files
+from clickloom.llm import decontaminate, packing, quality, simhash, token_files
 from clickloom.llm.line_dedup import LineIndex
 from clickloom.session import scratch_path, stored
 
@@ -140,3 +140,77 @@ def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Groups of documents whose fingerprints differ in at most three bits, step by step."""
     groups = simhash.near_copies(table(spark, sf_dir, "documents"), shingle=3, radius=3)
     return groups.toDF("doc_id", "fingerprint", "component_id")
+
+
+def _left_sql(text: str, pattern: str) -> str:
+    return f"length(regexp_replace({text}, '{pattern.replace(chr(39), chr(39) * 2)}', '', 'g'))"
+
+
+_ENDS = quality.ENDS.replace("'", "''")
+
+
+@query(
+    "op6_quality_rules",
+    f"""
+    WITH docs AS (
+        SELECT doc_id, body, string_split(body, chr(10)) AS parts,
+            regexp_extract_all(body, '[^ \\t\\n\\x0B\\f\\r]+') AS w
+        FROM (SELECT doc_id, coalesce(text, '') AS body FROM documents)),
+    lines AS (
+        SELECT doc_id, unnest(parts) AS line, unnest(range(len(parts))) AS pos FROM docs),
+    judged AS (
+        SELECT doc_id, pos, line, regexp_matches(line, '{quality.WORD}') AS real,
+            regexp_matches(line, '{quality.WORD}') AND (
+                {_left_sql("line", quality.NOT_SIGNS)}
+                    > {quality.SIGN_SHARE}::DOUBLE * length(line)
+                OR ({_left_sql("line", quality.NOT_BARS)} >= 2 AND
+                    {_left_sql("line", quality.NOT_BARS)}
+                        > {quality.BAR_SHARE}::DOUBLE * length(line))
+                OR (length(line) <= {quality.MENU_CHARS}
+                    AND NOT regexp_matches(line, '{_ENDS}'))
+                OR (length(line) <= {quality.PHRASE_CHARS}
+                    AND regexp_matches(lower(line), '{quality.PHRASES}'))) AS bad
+        FROM lines),
+    by_doc AS (
+        SELECT doc_id, count(*) FILTER (bad) AS n_bad_lines,
+            count(*) FILTER (real) - count(DISTINCT line) FILTER (real) AS n_dup_lines,
+            coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (NOT bad), '') AS good
+        FROM judged GROUP BY doc_id),
+    grams AS (
+        SELECT doc_id, i, list_slice(w, i, i + 7) AS win
+        FROM docs, unnest(range(1, greatest(len(w) - 6, 1))) AS u(i)),
+    twice AS (
+        SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, win) AS n FROM grams),
+    repeats AS (
+        SELECT doc_id, count(DISTINCT p) AS n FROM twice, unnest(range(i, i + 8)) AS u(p)
+        WHERE twice.n > 1 GROUP BY doc_id),
+    figures AS (
+        SELECT d.doc_id, len(d.w)::BIGINT AS n_words,
+            length(array_to_string(d.w, ''))::BIGINT AS word_chars,
+            {_left_sql("body", quality.SYMBOLS)}::BIGINT AS n_symbols,
+            b.n_dup_lines::BIGINT AS n_dup_lines, coalesce(r.n, 0)::BIGINT AS n_repeat_words,
+            b.n_bad_lines::BIGINT AS n_bad_lines,
+            CASE WHEN body = '' THEN 0.0::DOUBLE
+                ELSE 1 - length(b.good)::DOUBLE / length(body)::DOUBLE END AS lost_share
+        FROM docs d JOIN by_doc b ON d.doc_id = b.doc_id
+            LEFT JOIN repeats r ON d.doc_id = r.doc_id)
+    SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_bad_lines,
+        n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed,
+        NOT (n_words < 20 OR 100 * n_repeat_words > 30 * n_words) AND lost_share <= 0.5 AS kept
+    FROM figures
+    """,
+)
+def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Base figures and verdict of the line-first rules for every document."""
+    judged = quality.judge(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return judged.select(
+        "doc_id",
+        "n_words",
+        "word_chars",
+        "n_symbols",
+        "n_dup_lines",
+        "n_repeat_words",
+        "n_bad_lines",
+        "base_failed",
+        "kept",
+    )
