@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from clickloom.llm import decontaminate, packing, quality, simhash, token_files
+from clickloom.llm import decontaminate, packing, quality, simhash, token_files, urls
 from clickloom.llm.line_dedup import LineIndex
 from clickloom.session import scratch_path, stored
 
@@ -214,3 +214,97 @@ def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
         "base_failed",
         "kept",
     )
+
+
+#: Verdict, host and path.
+URL_RULES = [
+    urls.Rule("allow", "com", "/"),
+    urls.Rule("block", "example.com", "/en/"),
+    urls.Rule("allow", "www.example.com", "/en/"),
+    urls.Rule("block", "net", "/es/"),
+    urls.Rule("block", "net", "/fr/"),
+]
+
+
+def _shrunk_sql(name: str, source: str, parents: str, by: str) -> str:
+    """A level: its strength from the spread about the rates above, then its shrunk rates."""
+    return f"""
+    {name}_k AS (
+        SELECT 1 / CASE WHEN units <= up_units OR n - squares / n - (units - up_units) <= 0
+            THEN {urls.LEAST_RHO}::DOUBLE ELSE least({urls.MOST_RHO}::DOUBLE, greatest(
+                {urls.LEAST_RHO}::DOUBLE,
+                (spread - (units - up_units)) / (n - squares / n - (units - up_units)))) END - 1
+            AS k
+        FROM (SELECT count(*) AS units, sum(n)::DOUBLE AS n, sum(n * n)::DOUBLE AS squares,
+                sum(n * pow(x / n - up, 2) / (up * (1 - up))) AS spread
+            FROM {source} WHERE n > 0), (SELECT {parents} AS up_units)),
+    {name} AS (
+        SELECT {by}, n, x, k, (x + k * up) / (n + k) AS mean FROM {source}, {name}_k)"""
+
+
+@query(
+    "op10_url_filters",
+    f"""
+    WITH parsed AS (
+        SELECT page_id, CASE WHEN has THEN {_LOWER.format("regexp_extract(u, '^(?s:.*?)://([^/?#]*)', 1)")}
+                ELSE '' END AS host,
+            CASE WHEN has THEN regexp_extract(u, '^(?s:.*?)://[^/?#]*([^?#]*)', 1) ELSE '' END AS path
+        FROM (SELECT page_id, coalesce(url, '') AS u, contains(coalesce(url, ''), '://') AS has
+            FROM pages)),
+    known AS (
+        SELECT doc_id, max(quality = 0 OR toxic = 1) AS bad FROM labels GROUP BY doc_id),
+    base AS (
+        SELECT host, host.string_split('.')[-2:].array_to_string('.') AS domain,
+            host.string_split('.')[-1] AS suffix, count(bad) AS n,
+            (count(*) FILTER (bad))::DOUBLE AS x
+        FROM parsed p LEFT JOIN known k
+            ON k.doc_id = TRY_CAST(regexp_extract(path, '^/[^/]*/([0-9]+)', 1) AS BIGINT)
+        GROUP BY host),
+    total AS (SELECT sum(x) / sum(n) AS up FROM base),
+    s0 AS (
+        SELECT suffix, sum(n) AS n, sum(x) AS x, any_value(up) AS up FROM base, total
+        GROUP BY suffix),
+    {_shrunk_sql("s1", "s0", "1", "suffix")},
+    d0 AS (
+        SELECT domain, suffix, sum(b.n) AS n, sum(b.x) AS x, any_value(s1.mean) AS up
+        FROM base b JOIN s1 USING (suffix) GROUP BY domain, suffix),
+    {_shrunk_sql("d1", "d0", "(SELECT count(*) FROM s1)", "domain, suffix")},
+    h0 AS (
+        SELECT host, b.n, b.x, d1.mean AS up FROM base b JOIN d1 USING (domain, suffix)),
+    {_shrunk_sql("h1", "h0", "(SELECT count(*) FROM d1)", "host")},
+    bounds AS (
+        SELECT host, mean - 1.645::DOUBLE * sqrt(mean * (1 - mean) / (n + k + 1)) AS bound FROM h1),
+    rules(verdict, rule_host, rule_path) AS (
+        VALUES {", ".join(f"('{r.verdict}', '{r.host}', '{r.path}')" for r in URL_RULES)}),
+    fitting AS (
+        SELECT page_id, rule_host || rule_path AS rule, verdict, row_number() OVER (
+            PARTITION BY page_id ORDER BY length(rule_host || rule_path) DESC) AS place
+        FROM parsed JOIN rules ON (host = rule_host OR ends_with(host, '.' || rule_host))
+            AND starts_with(path, rule_path))
+    SELECT p.page_id, p.host, p.path, f.rule, coalesce(
+            f.verdict, CASE WHEN b.bound > 0.5 THEN 'block' ELSE 'allow' END) AS verdict,
+        round(b.bound, 6) AS bad_bound
+    FROM parsed p JOIN bounds b USING (host)
+        LEFT JOIN fitting f ON f.page_id = p.page_id AND f.place = 1
+    """,
+)
+def op10_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rules and host reputation for every page.
+
+    A page shows the document whose number its path holds; that document's label is its outcome.
+    """
+    pages = table(spark, sf_dir, "pages").select("page_id", "url")
+    shown = F.regexp_extract("path", r"\A/[^/]*/([0-9]+)", 1).try_cast("long")
+    labels = table(spark, sf_dir, "labels").select(
+        "doc_id", ((F.col("quality") == 0) | (F.col("toxic") == 1)).alias("bad")
+    )
+    outcomes = (
+        urls.parsed(pages, "url")
+        .select(F.col("page_id").alias("key"), shown.alias("doc_id"))
+        .join(labels, "doc_id")
+        .select("key", "bad")
+    )
+    judged = urls.judge(pages, outcomes, URL_RULES)
+    return judged.withColumn("bad_bound", F.round("bad_bound", 6)).withColumnRenamed(
+        "key", "page_id"
+    )
