@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from clickloom.llm import decontaminate, packing, quality, simhash, token_files, urls
+from clickloom.llm import decontaminate, licenses, packing, quality, simhash, token_files, urls
 from clickloom.llm.line_dedup import LineIndex
 from clickloom.session import scratch_path, stored
 
@@ -308,3 +308,85 @@ def op10_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.withColumn("bad_bound", F.round("bad_bound", 6)).withColumnRenamed(
         "key", "page_id"
     )
+
+
+_TEMPLATE_ROWS = ", ".join(
+    f"({i}, '{name}', '{body}')" for i, (name, body) in enumerate(licenses.TEMPLATES)
+)
+_STOPS = ", ".join(f"'{w}'" for w in licenses.STOP_WORDS)
+#: Every 64th document of a source and language is its folder's licence file.
+_PATH_SQL = """source || '/' || lang || '/' || (doc_id // 64)::VARCHAR || '/' ||
+    CASE WHEN doc_id % 64 = 0 THEN 'LICENSE.' ELSE '' END || doc_id::VARCHAR"""
+
+
+def _terms_sql(text: str) -> str:
+    return f"""list_filter(regexp_extract_all(lower({text}), '{licenses.TERM}'),
+        lambda t: t NOT IN ({_STOPS}))"""
+
+
+@query(
+    "op1_license_scan",
+    f"""
+    WITH files AS (SELECT {_PATH_SQL} AS path, text FROM documents),
+    lines AS (SELECT path, unnest(string_split(text, chr(10))) AS unit FROM files),
+    templates(template, licence, body) AS (VALUES {_TEMPLATE_ROWS}),
+    tt AS (
+        SELECT template, licence, term, count(*) AS tf FROM (
+            SELECT template, licence, unnest({_terms_sql("body")}) AS term FROM templates)
+        GROUP BY ALL),
+    words AS (SELECT DISTINCT term FROM tt),
+    marked AS (
+        SELECT DISTINCT path, unit, TRUE AS line, {_terms_sql("unit")} AS terms FROM lines
+        UNION ALL
+        SELECT DISTINCT path, text, FALSE, {_terms_sql("text")} FROM files
+        WHERE path LIKE '%/LICENSE.%'),
+    units AS (
+        SELECT path, unit, line, terms FROM marked
+        WHERE NOT line OR list_has_any(terms, (SELECT list(term) FROM words))),
+    total AS (SELECT ln(count(*) + 1.0::DOUBLE) + 1 AS rare FROM lines),
+    df AS (
+        SELECT term, count(*) AS df FROM (
+            SELECT unnest(list_distinct(terms)) AS term FROM units WHERE line)
+        WHERE term IN (SELECT term FROM words) GROUP BY term),
+    idf AS (
+        SELECT term, rare - ln(coalesce(df, 0) + 1.0::DOUBLE) AS idf
+        FROM words LEFT JOIN df USING (term), total),
+    tw AS (
+        SELECT template, licence, term,
+            tf * idf / sqrt(sum(pow(tf * idf, 2)) OVER (PARTITION BY template)) AS share
+        FROM tt JOIN idf USING (term)),
+    vectors AS (
+        SELECT path, unit, line, term, idf, tf * coalesce(idf, rare) AS weight FROM (
+            SELECT path, unit, line, term, count(*) AS tf FROM (
+                SELECT path, unit, line, unnest(terms) AS term FROM units) GROUP BY ALL)
+        LEFT JOIN idf USING (term), total),
+    sizes AS (SELECT path, unit, line, sum(pow(weight, 2)) AS square FROM vectors GROUP BY ALL),
+    scored AS (
+        SELECT path, licence, round(sum(weight * share) / sqrt(any_value(square)), 6) AS score
+        FROM vectors JOIN tw USING (term) JOIN sizes USING (path, unit, line)
+        GROUP BY path, unit, line, template, licence),
+    own AS (
+        SELECT path, licence, score, row_number() OVER (
+            PARTITION BY path ORDER BY score DESC, licence) AS place
+        FROM scored WHERE score >= 0.6),
+    granted AS (
+        SELECT regexp_replace(path, '/[^/]*$', '') AS folder, licence, score, path
+        FROM own WHERE place = 1 AND path LIKE '%/LICENSE.%')
+    SELECT regexp_extract(f.path, '([0-9]+)$', 1)::BIGINT AS doc_id, f.path,
+        coalesce(o.licence, g.licence) AS licence, coalesce(o.score, g.score) AS score,
+        CASE WHEN o.path IS NOT NULL THEN 'own' WHEN g.path IS NOT NULL THEN 'inherited'
+            ELSE 'none' END AS how, coalesce(o.path, g.path) AS from_path
+    FROM (SELECT DISTINCT path FROM files) f LEFT JOIN own o ON o.path = f.path AND o.place = 1
+        LEFT JOIN granted g ON g.folder = regexp_replace(f.path, '/[^/]*$', '')
+    """,
+)
+def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Licences of all documents, laid out as files in folders by source, language and number."""
+    number = F.floor(F.col("doc_id") / 64).cast("string")
+    name = F.concat(F.when(F.col("doc_id") % 64 == 0, "LICENSE.").otherwise(""), F.col("doc_id"))
+    files = table(spark, sf_dir, "documents").select(
+        F.concat_ws("/", "source", "lang", number, name).alias("path"), "text"
+    )
+    found = licenses.scan(files, threshold=0.6)
+    doc_id = F.regexp_extract("path", r"([0-9]+)\z", 1).cast("long")
+    return found.select(doc_id.alias("doc_id"), *found.columns)
