@@ -8,8 +8,18 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from clickloom.llm import decontaminate, licenses, packing, quality, simhash, token_files, urls
+from clickloom.llm import (
+    decontaminate,
+    licenses,
+    packing,
+    quality,
+    simhash,
+    token_files,
+    toxicity,
+    urls,
+)
 from clickloom.llm.line_dedup import LineIndex
+from clickloom.llm.texts import crc32_rest
 from clickloom.session import scratch_path, stored
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -390,3 +400,21 @@ def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = licenses.scan(files, threshold=0.6)
     doc_id = F.regexp_extract("path", r"([0-9]+)\z", 1).cast("long")
     return found.select(doc_id.alias("doc_id"), *found.columns)
+
+
+@query("op5_toxicity")
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of every document, learned from the labels outside the held-out quarter."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    held_out = crc32_rest(F.col("doc_id"), 4) == 2
+    labels = table(spark, sf_dir, "labels").filter(~held_out)
+    labels = labels.select(F.col("doc_id").alias("key"), (F.col("toxic") == 1).alias("toxic"))
+    model = toxicity.fit(docs, labels)
+    scored = toxicity.score(docs, model).withColumnRenamed("key", "doc_id")
+    return scored.select(
+        "doc_id",
+        held_out.alias("held_out"),
+        "score",
+        (F.col("score") >= 0.3).cast("int").alias("predicted"),
+        toxicity.offending(F.col("sentences")).alias("offending"),
+    )
