@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from clickloom.llm import (
     decontaminate,
     licenses,
+    lm,
     packing,
     quality,
     simhash,
@@ -418,3 +419,21 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
         (F.col("score") >= 0.3).cast("int").alias("predicted"),
         toxicity.offending(F.col("sentences")).alias("offending"),
     )
+
+
+@query("op9_lm_score")
+def op9_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Log probabilities of all documents, learned from those outside the held-out seventh."""
+    held_out = crc32_rest(F.col("doc_id"), 7) == 2
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    scored = lm.score(docs, ~held_out)
+    return scored.select(
+        F.col("key").alias("doc_id"),
+        (~F.col("train")).alias("held_out"),
+        "n_tokens",
+        "n_known",
+        "train_tokens",
+        "base_score",
+        "score",
+        "bits_per_byte",
+    )
