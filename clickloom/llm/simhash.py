@@ -1,7 +1,7 @@
 """Near copies by SimHash fingerprints, linked through vantage-point trees.
 
-A fingerprint is the majority, bit by bit, of the 64-bit hashes of a text's three-word shingles.
-Equal fingerprints are one point. A vantage-point tree, fitted on a bounded sample of points, deals
+A fingerprint is the majority, bit by bit, of the 64-bit hashes of a text's shingles; it may have
+several such words, from hashes that differ. Equal fingerprints are one point. A vantage-point tree, fitted on a bounded sample of points, deals
 all of them into shards of near distance; a point whose ball crosses a border goes to both sides
 (only from the inner to the outer one, which suffices for pairs), so that every pair within the
 radius meets in a shard. There the same rule splits on until a few hundred points are left, which
@@ -34,45 +34,89 @@ from clickloom.session import stored
 _CHUNK = 1 << 16
 
 
-def fingerprint(text: bytes | None, shingle: int = 3) -> int:
-    """The unsigned fingerprint of one text."""
-    words = (text or b"").translate(LOWER).split()
-    if not words:
-        return 0
-    if len(words) < shingle:
-        grams = [b" ".join(words)]
-    else:
-        grams = [b" ".join(g) for g in zip(*(words[i:] for i in range(shingle)))]
-    ones, digest = np.zeros(64, np.int64), xxhash.xxh64_intdigest
-    for at in range(0, len(grams), _CHUNK):
-        part = [digest(gram, 42) for gram in grams[at : at + _CHUNK]]
-        raw = np.array(part, "<u8").view(np.uint8).reshape(-1, 8)
+_MIX = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9))
+
+
+def _majority(hashes: np.ndarray) -> int:
+    """The bits set in over half of the hashes."""
+    ones = np.zeros(64, np.int64)
+    for at in range(0, len(hashes), _CHUNK):
+        raw = hashes[at : at + _CHUNK].view(np.uint8).reshape(-1, 8)
         ones += np.unpackbits(raw, axis=1, bitorder="little").sum(0, dtype=np.int64)
-    bits = np.packbits(2 * ones > len(grams), bitorder="little")
-    return int(bits.view("<u8")[0])
+    return int(np.packbits(2 * ones > len(hashes), bitorder="little").view("<u8")[0])
+
+
+def fingerprint(
+    text: bytes | None, shingle: int = 3, words: int = 1, distinct: bool = False
+) -> list[int]:
+    """The unsigned fingerprint of one text, in so many words of 64 bits.
+
+    The first word's hashes are XXH64 with seed 42; the others' are mixed from those. Repeated
+    shingles count as often as they come, or once each if ``distinct``.
+    """
+    held = (text or b"").translate(LOWER).split()
+    if not held:
+        return [0] * words
+    if len(held) < shingle:
+        grams = [b" ".join(held)]
+    elif shingle == 1:
+        grams = held
+    else:
+        grams = [b" ".join(g) for g in zip(*(held[i:] for i in range(shingle)))]
+    if distinct:
+        grams = set(grams)
+    digest = xxhash.xxh64_intdigest
+    hashes = np.fromiter((digest(gram, 42) for gram in grams), "<u8", len(grams))
+    found = [_majority(hashes)]
+    for _ in range(words - 1):
+        hashes = (hashes ^ (hashes >> np.uint64(31))) * _MIX[0]
+        hashes = (hashes ^ (hashes >> np.uint64(29))) * _MIX[1]
+        found.append(_majority(hashes))
+    return found
+
+
+def _names(words: int) -> list[str]:
+    return [f"p{i}" for i in range(words)]
 
 
 def fingerprints(
-    docs: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = 3
+    docs: DataFrame,
+    key: str = "doc_id",
+    text: str = "text",
+    shingle: int = 3,
+    words: int = 1,
+    distinct: bool = False,
 ) -> DataFrame:
-    """Key and fingerprint (as a signed number) of every row."""
+    """Key, the words of the fingerprint (as signed numbers) and its point's number, of every row.
+
+    The number of a point is its only word, or a 64-bit hash of its words.
+    """
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [fingerprint(value, shingle) for value in as_bytes(batch.column(1))]
-            signed = np.array(found, np.uint64).view(np.int64)
+            found = [fingerprint(v, shingle, words, distinct) for v in as_bytes(batch.column(1))]
+            signed = np.array(found, np.uint64).reshape(-1, words).view(np.int64)
+            columns = [pa.array(np.ascontiguousarray(signed[:, i])) for i in range(words)]
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(signed)], ["key", "print"]
+                [batch.column(0), *columns], ["key", *_names(words)]
             )
 
     named = docs.select(
         F.col(f"`{key}`").cast("long").alias("key"), F.col(f"`{text}`").alias("text")
     )
-    return named.mapInArrow(hashed, "key long, print long")
+    schema = ", ".join(f"{name} long" for name in _names(words))
+    found = named.mapInArrow(hashed, f"key long, {schema}")
+    return found.withColumn("point", F.xxhash64(*_names(words)) if words > 1 else F.col("p0"))
+
 
+def linked(
+    points: DataFrame, words: int, radius: int, most: int, shard_points: int, sample_points: int
+) -> DataFrame:
+    """For distinct points (point, p0, ...): links (a, b) that connect all that are near.
 
-def linked(points: DataFrame, radius: int, shard_points: int, sample_points: int) -> DataFrame:
-    """For distinct fingerprints (column print): links (a, b) that connect all within the radius."""
+    Two are near if any word differs in at most ``radius`` bits and all in at most ``most``. Each
+    word has a tree of its own.
+    """
     spark = points.sparkSession
     count = points.count()
     depth = 0
@@ -81,27 +125,41 @@ def linked(points: DataFrame, radius: int, shard_points: int, sample_points: int
         for_size = math.log(max(1.0, count / shard_points)) / math.log(1 / 0.65)
         for_cores = math.log2(2 * spark.sparkContext.defaultParallelism)
         depth = math.ceil(max(for_size, for_cores))
-    sample = points.orderBy(F.xxhash64("print"), "print").limit(sample_points if depth else 0)
-    fitted = np.array([row[0] for row in sample.collect()], np.int64).view(np.uint64)
-    tree = vptree.plan(fitted, depth, radius)
+    names = _names(words)
+    sample = points.orderBy(F.xxhash64("point"), "point").limit(sample_points if depth else 0)
+    fitted = np.array([row[:] for row in sample.select(*names).collect()], np.int64)
+    fitted = fitted.reshape(-1, words).view(np.uint64)
+    trees = [
+        vptree.plan(np.ascontiguousarray(fitted[:, i]), depth, radius) for i in range(words)
+    ]
 
     def dealt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            here = batch.column(0).to_numpy().view(np.uint64)
-            shards, held = vptree.routed(here, tree, radius)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(shards), pa.array(held.view(np.int64))], ["shard", "print"]
-            )
+            for word, tree in enumerate(trees):
+                here = batch.column(1 + word).to_numpy().view(np.uint64)
+                shards, places = vptree.routed(here, tree, radius)
+                for start in range(0, len(places), 20_000):
+                    part = pa.array(places[start : start + 20_000])
+                    yield pa.RecordBatch.from_arrays(
+                        [
+                            pa.array([word] * len(part), pa.int32()),
+                            pa.array(shards[start : start + 20_000]),
+                            *(column.take(part) for column in batch.columns),
+                        ],
+                        ["word", "shard", "point", *names],
+                    )
 
     def met(here: pd.DataFrame) -> pd.DataFrame:
-        held = here["print"].to_numpy().view(np.uint64)
-        groups = vptree.joined(vptree.links(held, radius))
+        word, numbers = int(here["word"].iloc[0]), here["point"].to_numpy()
+        held = np.ascontiguousarray(here[names].to_numpy()).view(np.uint64)
+        groups = vptree.joined(vptree.links(held, numbers, radius, word, most))
         pairs = [(a, b) for a, b in groups.items() if a != b]
-        found = np.array(pairs, np.uint64).reshape(-1, 2).view(np.int64)
+        found = np.array(pairs, np.int64).reshape(-1, 2)
         return pd.DataFrame({"a": found[:, 0], "b": found[:, 1]})
 
-    shards = points.select("print").mapInArrow(dealt, "shard long, print long")
-    return shards.groupBy("shard").applyInPandas(met, "a long, b long")
+    schema = "word int, shard long, point long, " + ", ".join(f"{name} long" for name in names)
+    shards = points.select("point", *names).mapInArrow(dealt, schema)
+    return shards.groupBy("word", "shard").applyInPandas(met, "a long, b long")
 
 
 def near_copies(
@@ -109,23 +167,33 @@ def near_copies(
     key: str = "doc_id",
     text: str = "text",
     shingle: int = 3,
+    words: int = 1,
+    distinct: bool = False,
     radius: int = 3,
+    most: int = 64,
     shard_points: int = 200_000,
     sample_points: int = 8192,
 ) -> DataFrame:
-    """Every row's key, fingerprint (16 hex digits) and component: the least key it reaches."""
-    found = stored(fingerprints(docs, key, text, shingle), "prints")
-    classes = stored(found.groupBy("print").agg(F.min("key").alias("least")), "print-classes")
-    links = stored(linked(classes, radius, shard_points, sample_points), "print-links")
-    roots = components(links).withColumnRenamed("node", "print")
-    members = stored(classes.join(roots, "print"), "print-members")
+    """Every row's key, fingerprint (16 hex digits of its first word) and component: the least key
+    that it reaches."""
+    found = stored(fingerprints(docs, key, text, shingle, words, distinct), "prints")
+    names = _names(words)
+    classes = found.groupBy("point").agg(
+        *(F.first(name).alias(name) for name in names), F.min("key").alias("least")
+    )
+    classes = stored(classes, "print-classes")
+    links = linked(classes, words, radius, most, shard_points, sample_points)
+    roots = components(stored(links, "print-links")).withColumnRenamed("node", "point")
+    members = stored(classes.select("point", "least").join(roots, "point"), "print-members")
     groups = members.groupBy("root").agg(F.min("least").alias("component"))
-    members = members.join(groups, "root").select("print", "component")
-    known = classes.join(members, "print", "left").select(
-        "print", F.coalesce("component", "least").alias("component")
+    members = members.join(groups, "root").select("point", "component")
+    known = (
+        classes.select("point", "least")
+        .join(members, "point", "left")
+        .select("point", F.coalesce("component", "least").alias("component"))
     )
-    return found.join(known, "print").select(
-        "key", F.lpad(F.lower(F.hex("print")), 16, "0").alias("fingerprint"), "component"
+    return found.join(known, "point").select(
+        "key", F.lpad(F.lower(F.hex("p0")), 16, "0").alias("fingerprint"), "component"
     )
 
 

@@ -50,53 +50,72 @@ def plan(sample: np.ndarray, depth: int, radius: int):
 
 
 def routed(points: np.ndarray, tree, radius: int) -> tuple[np.ndarray, np.ndarray]:
-    """Each point with the number of every shard that must hold it."""
-    shards, held, todo = [], [], [(1, tree, points)]
+    """The shards that must hold each point: (shard, place of the point)."""
+    shards, held, todo = [], [], [(1, tree, np.arange(len(points)))]
     while todo:
         number, node, here = todo.pop()
         if node is None:
             shards.append(np.full(len(here), number, np.int64))
             held.append(here)
             continue
-        inside, outside = sides(here, node[0], node[1], radius)
+        inside, outside = sides(points[here], node[0], node[1], radius)
         todo.append((2 * number, node[2], here[inside]))
         todo.append((2 * number + 1, node[3], here[outside]))
     return np.concatenate(shards), np.concatenate(held)
 
 
-def _groups(points: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
-    """Of a few points, those with a neighbour, and for each the least point of its group."""
-    near = np.bitwise_count(points[:, None] ^ points[None, :]) <= radius
+def _total(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Distance over all words of fingerprints that have several."""
+    return np.bitwise_count(a ^ b).sum(-1, dtype=np.int64)
+
+
+def _groups(points: np.ndarray, names: np.ndarray, radius: int, word: int, most: int):
+    """Of a few points, those with a neighbour, and for each the least name of its group."""
+    first = points[:, word]
+    near = np.bitwise_count(first[:, None] ^ first[None, :]) <= radius
     linked = np.flatnonzero(near.sum(1) > 1)
     if not len(linked):
-        return points[:0], points[:0]
+        return names[:0], names[:0]
     near = near[np.ix_(linked, linked)]
-    members = points[linked]
+    if points.shape[1] > 1:
+        a, b = np.nonzero(near)
+        near[a, b] = _total(points[linked[a]], points[linked[b]]) <= most
+    members = names[linked]
     least = members
     while True:
-        lower = np.where(near, least[None, :], np.uint64(2**64 - 1)).min(1)
+        lower = np.where(near, least[None, :], np.iinfo(np.int64).max).min(1)
         if (lower == least).all():
             return members, least
         least = lower
 
 
-def links(points: np.ndarray, radius: int) -> list[tuple[np.ndarray, np.ndarray]]:
-    """Links that connect exactly what pairs within the radius connect: (points, their leasts)."""
-    found, todo = [], [points]
+def links(
+    points: np.ndarray, names: np.ndarray, radius: int, word: int = 0, most: int = 64
+) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Links that connect exactly what near pairs connect: (names, least names).
+
+    Points have a row each and a column for every word of the fingerprint. A pair is near if one
+    ``word`` differs in at most ``radius`` bits, and all words together in at most ``most``.
+    """
+    found, todo = [], [np.arange(len(points))]
     while todo:
         here = todo.pop()
-        parting = split(here, radius) if len(here) > LEAF else None
+        parting = split(points[here, word], radius) if len(here) > LEAF else None
         if parting is not None:
-            inside, outside = sides(here, *parting, radius)
+            inside, outside = sides(points[here, word], *parting, radius)
             todo += [here[inside], here[outside]]
         elif len(here) <= 4 * LEAF:
-            found.append(_groups(here, radius))
+            found.append(_groups(points[here], names[here], radius, word, most))
         else:  # nothing parts them: all pairs, a strip at a time
             for start in range(0, len(here), LEAF):
                 strip = here[start : start + LEAF]
-                near = np.bitwise_count(strip[:, None] ^ here[None, :]) <= radius
-                a, b = np.nonzero(near)
+                gap = points[strip, word][:, None] ^ points[here, word][None, :]
+                a, b = np.nonzero(np.bitwise_count(gap) <= radius)
                 a, b = strip[a], here[b]
+                if points.shape[1] > 1:
+                    near = _total(points[a], points[b]) <= most
+                    a, b = a[near], b[near]
+                a, b = names[a], names[b]
                 found.append((np.maximum(a, b)[a != b], np.minimum(a, b)[a != b]))
     return found
 
