@@ -1,12 +1,12 @@
 """License scans: notices in any line, licence files per folder, and inheritance down the path.
 
-Each line of a file is a possible notice. Lines that hold a word of the templates become sparse
-TF-IDF vectors: document frequencies are counted over all lines of all files, words outside the
+Each line of a file is a possible notice. Lines with enough words of the templates to reach the threshold
+become sparse TF-IDF vectors: document frequencies are counted over all lines of all files, words outside the
 templates weigh as much as a word never seen. A line is a notice of the template with the greatest
 cosine, if that reaches the threshold. A licence file (by its name) is also compared as a whole.
 The best notice is a file's own licence; a file without one takes that of the nearest folder above
 it whose licence file has one. All of it is built-in expressions and joins by term and by folder;
-lines without a template word never leave the row they are in.
+other lines never leave the row they are in.
 
 Defined cases: a null text has no line; a null path is the empty path, at the root; equal paths are
 one file with the lines of all its rows; equal scores go to the template first in name; several
@@ -70,26 +70,50 @@ def scan(
     spark = files.sparkSession
     named = files.select(
         F.coalesce(F.col(f"`{path}`").cast("string"), F.lit("")).alias("path"),
-        F.split(F.col(f"`{text}`"), "\n").alias("lines"),
+        F.split(F.lower(F.col(f"`{text}`")), "\n").alias("lines"),
     )
     templates = spark.createDataFrame(
         [(number, name, body) for number, (name, body) in enumerate(TEMPLATES)],
         "template int, licence string, body string",
     ).withColumn("terms", _terms(F.col("body")))
     words = sorted({row.term for row in templates.select(F.explode("terms").alias("term")).collect()})
-    cue = r"(?i)(?<![a-z0-9.])(?:" + "|".join(w.replace(".", r"\.") for w in words) + ")(?![a-z0-9])"
+    cue = r"(?<![a-z0-9])(?:" + "|".join(w.replace(".", r"\.") for w in words) + ")(?![a-z0-9])"
 
-    # One pass over the texts: how many lines there are, and those with a word of the templates.
+    def ours(terms: Column) -> Column:
+        return F.filter(terms, lambda term: term.isin(*words))
+
+    # One pass over the texts: how many lines there are, the template words of each, and the lines
+    # that can reach the threshold. No term weighs more than one outside the templates; so a line
+    # with m template words and o others has a cosine of at most m / sqrt(m * m + o).
+    share = threshold**2 / (1 - threshold**2)
     is_file = F.regexp_extract("path", r"[^/]*\z", 0).rlike(LICENCE_FILE)
-    lines = named.select(
-        "path",
-        F.size(F.coalesce("lines", F.array())).cast("long").alias("n_lines"),
-        F.filter("lines", lambda line: line.rlike(cue)).alias("some"),
-        F.when(is_file, F.array_join("lines", "\n")).alias("whole"),
+    lines = (
+        named.select(
+            "path",
+            F.size(F.coalesce("lines", F.array())).cast("long").alias("n_lines"),
+            F.transform(
+                F.filter("lines", lambda line: line.rlike(cue)),
+                lambda line: F.struct(line.alias("unit"), _terms(line).alias("terms")),
+            ).alias("cued"),
+            F.when(is_file, F.array_join("lines", "\n")).alias("whole"),
+        )
+        .select(
+            "path",
+            "n_lines",
+            F.flatten(
+                F.transform("cued", lambda one: F.array_distinct(ours(one["terms"])))
+            ).alias("found"),
+            F.filter(
+                "cued",
+                lambda one: F.pow(F.size(ours(one["terms"])), F.lit(2))
+                >= share * (F.size(one["terms"]) - F.size(ours(one["terms"]))),
+            ).alias("some"),
+            "whole",
+        )
     )
     lines = stored(lines, "licence-lines")
     units = (
-        lines.select("path", F.explode("some").alias("unit"), F.lit(True).alias("line"))
+        lines.select("path", F.explode("some.unit").alias("unit"), F.lit(True).alias("line"))
         .unionByName(
             lines.filter("whole is not null").select(
                 "path", F.col("whole").alias("unit"), F.lit(False).alias("line")
@@ -98,13 +122,8 @@ def scan(
         .distinct()
         .withColumn("terms", _terms(F.col("unit")))
     )
-    counts = (
-        units.filter("line")
-        .select(F.explode(F.array_distinct("terms")).alias("term"))
-        .filter(F.col("term").isin(*words))
-        .groupBy("term")
-        .agg(F.count("*").alias("df"))
-    )
+    counts = lines.select(F.explode("found").alias("term")).groupBy("term")
+    counts = counts.agg(F.count("*").alias("df"))
     known = spark.createDataFrame([(w,) for w in words], "term string").join(counts, "term", "left")
     total = lines.agg(F.sum("n_lines")).first()[0] or 0
     rare = F.log(F.lit(float(total + 1))) + 1

@@ -357,7 +357,7 @@ def _terms_sql(text: str) -> str:
     total AS (SELECT ln(count(*) + 1.0::DOUBLE) + 1 AS rare FROM lines),
     df AS (
         SELECT term, count(*) AS df FROM (
-            SELECT unnest(list_distinct(terms)) AS term FROM units WHERE line)
+            SELECT unnest(list_distinct({_terms_sql("unit")})) AS term FROM lines)
         WHERE term IN (SELECT term FROM words) GROUP BY term),
     idf AS (
         SELECT term, rare - ln(coalesce(df, 0) + 1.0::DOUBLE) AS idf
