@@ -175,7 +175,9 @@ def judge(docs: DataFrame, text: str = "text") -> DataFrame:
             | (100 * F.col("n_repeat_words") > REPEAT_PERCENT * F.col("n_words")),
         )
         .withColumn("kept", ~F.col("base_failed") & (F.col("lost_share") <= LOST_SHARE))
-        .select(*rest, *ADDED)
+        # One generated row for each: a later filter on a figure then stays above, else it would be
+        # pushed down and every figure in it be worked out again.
+        .select(*rest, F.inline(F.array(F.struct(*ADDED))))
     )
 
 
@@ -183,8 +185,5 @@ def clean(docs: DataFrame, text: str = "text") -> DataFrame:
     """The documents that are kept, without their failing lines; columns as they came."""
     names = [f"__c{i}" for i in range(len(docs.columns))]
     at = names[docs.columns.index(text)]
-    # A filter on the verdict would be pushed down, and all figures be worked out again at each of
-    # their uses in it; an array that is empty for rejected documents is looked at once.
-    one = F.explode(F.when(F.col("kept"), F.array(F.lit(True)))).alias("kept")
     columns = (F.col("clean_text" if n == at else n).alias(n) for n in names)
-    return judge(docs.toDF(*names), at).select(*columns, one).drop("kept").toDF(*docs.columns)
+    return judge(docs.toDF(*names), at).filter("kept").select(*columns).toDF(*docs.columns)

@@ -119,7 +119,8 @@ def _sample(docs: DataFrame, labels: DataFrame, key: str, text: str, most_rows:
         .limit(most_rows)
     )
     texts = docs.select(F.col(f"`{key}`").alias("key"), F.col(f"`{text}`").alias("text"))
-    rows = texts.join(known, "key").select("text", F.col("toxic").cast("int").alias("toxic"))
+    # At most most_rows keys with a flag: small whatever the corpus, so the texts stay in place.
+    rows = texts.join(F.broadcast(known), "key").select("text", F.col("toxic").cast("int").alias("toxic"))
     return stored(rows, "toxic-sample")
 
 
