@@ -120,7 +120,8 @@ def scan(
             )
         )
         .distinct()
-        .withColumn("terms", _terms(F.col("unit")))
+        # From here on a digest stands for the text, which may be long.
+        .select("path", F.md5("unit").alias("unit"), "line", _terms(F.col("unit")).alias("terms"))
     )
     counts = lines.select(F.explode("found").alias("term")).groupBy("term")
     counts = counts.agg(F.count("*").alias("df"))
