@@ -38,11 +38,6 @@ def floor_to(number: Column, by: int) -> Column:
     return number - F.pmod(number, F.lit(by))
 
 
-def epoch_bucket(ts: Column, seconds: int) -> Column:
-    """Whole-number bucket index since the epoch; floors before 1970 too."""
-    return floor_div(F.unix_seconds(ts), seconds)
-
-
 def rfc3339_ms(ts: Column) -> Column:
-    """``2026-09-26T12:00:01.123Z``; digits below the millisecond are cut, not rounded."""
+    """``2031-03-04T05:06:07.089Z``; digits below the millisecond are cut, not rounded."""
     return F.date_format(ts, "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'")

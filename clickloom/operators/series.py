@@ -4,17 +4,15 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
-from clickloom.functions.ranges import MAX_BUCKETS, TimeRange
+from clickloom.functions.spans import Span
 from clickloom.functions.timebuckets import GRANULARITIES, STEP_SQL, bucket_floor
 
 
-def in_range(counts: DataFrame, rng: TimeRange, advertiser_id: int | None = None) -> DataFrame:
-    """Half-open range and owner predicate; both reach the Parquet scan."""
-    found = counts.where((F.col("minute") >= F.lit(rng.start)) & (F.col("minute") < F.lit(rng.end)))
+def in_span(counts: DataFrame, span: Span, advertiser_id: int | None = None) -> DataFrame:
+    """Counts of a span and an owner; both predicates, and the day folders, reach the scan."""
+    found = counts.where(span.holds(F.col("minute")))
     if "day" in counts.columns:
-        found = found.where(
-            F.col("day").between(F.lit(rng.start.date()), F.lit(rng.end.date()))
-        )
+        found = found.where(F.col("day").between(*map(F.lit, span.days)))
     if advertiser_id is not None:
         found = found.where(F.col("advertiser_id") == advertiser_id)
     return found
@@ -34,16 +32,16 @@ def rollup(counts: DataFrame, granularity: str, *keys: str) -> DataFrame:
     ).agg(*_measures())
 
 
-def ad_points(counts: DataFrame, advertiser_id: int, ad_id: int, rng: TimeRange) -> DataFrame:
+def ad_points(counts: DataFrame, advertiser_id: int, ad_id: int, span: Span) -> DataFrame:
     """The non-empty buckets of one ad; another advertiser's ad has none."""
-    mine = in_range(counts, rng, advertiser_id).where(F.col("ad_id") == ad_id)
-    return rollup(mine, rng.granularity)
+    mine = in_span(counts, span, advertiser_id).where(F.col("ad_id") == ad_id)
+    return rollup(mine, span.granularity)
 
 
-def advertiser_groups(counts: DataFrame, advertiser_id: int, rng: TimeRange) -> DataFrame:
+def advertiser_groups(counts: DataFrame, advertiser_id: int, span: Span) -> DataFrame:
     """Buckets and per-ad totals from one scan; ``grouping`` tells them apart (1 bucket, 2 ad)."""
-    mine = in_range(counts, rng, advertiser_id).select(
-        bucket_floor(F.col("minute"), rng.granularity).alias("bucket"),
+    mine = in_span(counts, span, advertiser_id).select(
+        bucket_floor(F.col("minute"), span.granularity).alias("bucket"),
         "ad_id",
         "click_count",
         "updated_at",
@@ -66,40 +64,30 @@ def by_ad_of(groups: DataFrame) -> DataFrame:
     )
 
 
-def spine(spark: SparkSession, rng: TimeRange) -> DataFrame:
-    """Every bucket start of the range, at most ``MAX_BUCKETS`` rows."""
-    if rng.buckets > MAX_BUCKETS:
-        raise ValueError(f"{rng.buckets} buckets exceed {MAX_BUCKETS}")
-    step = STEP_SQL[rng.granularity]
-    last = F.lit(rng.end) - F.expr(step)
-    return spark.range(1).select(
-        F.explode(F.sequence(F.lit(rng.start), last, F.expr(step))).alias("bucket")
-    )
-
-
-def zero_fill(points: DataFrame, rng: TimeRange) -> DataFrame:
-    """One row per bucket of the range; buckets without a point get 0.
+def zero_fill(points: DataFrame, span: Span) -> DataFrame:
+    """One row per bucket of the span; buckets without a point get 0.
 
-    Points lie in the range, so both sides are bounded by ``MAX_BUCKETS`` rows.
+    Buckets outside the span are dropped first, so that both sides have at most ``MOST_BUCKETS``
+    rows and the points may be broadcast.
     """
-    buckets = spine(points.sparkSession, rng)
-    return buckets.join(F.broadcast(points), "bucket", "left").withColumn(
+    buckets = span.spine(points.sparkSession)
+    inside = points.where(span.holds(F.col("bucket")))
+    return buckets.join(F.broadcast(inside), "bucket", "left").withColumn(
         "clicks", F.coalesce("clicks", F.lit(0).cast("long"))
     )
 
 
-def zero_fill_per(points: DataFrame, rng: TimeRange, *keys: str) -> DataFrame:
+def zero_fill_per(points: DataFrame, span: Span, *keys: str) -> DataFrame:
     """Zero-filled series of every key that has a point.
 
     Each point also emits the empty buckets up to the next one, the first point those before
-    it. A key has at most ``MAX_BUCKETS`` points, so its window is small; nothing is joined.
+    it. A key has at most ``MOST_BUCKETS`` points, so its window is small; nothing is joined.
     """
-    if rng.buckets > MAX_BUCKETS:
-        raise ValueError(f"{rng.buckets} buckets exceed {MAX_BUCKETS}")
-    step = F.expr(STEP_SQL[rng.granularity])
+    span.check_size()
+    step = F.expr(STEP_SQL[span.granularity])
     in_time = Window.partitionBy(*keys).orderBy("bucket")
-    first = F.when(F.lag("bucket").over(in_time).isNull(), F.lit(rng.start)).otherwise(F.col("bucket"))
-    until = F.coalesce(F.lead("bucket").over(in_time), F.lit(rng.end))
+    first = F.when(F.lag("bucket").over(in_time).isNull(), F.lit(span.start)).otherwise(F.col("bucket"))
+    until = F.coalesce(F.lead("bucket").over(in_time), F.lit(span.end))
     own = F.col("at") == F.col("bucket")
     return (
         points.withColumns({"first": first, "until": until})
@@ -113,14 +101,14 @@ def zero_fill_per(points: DataFrame, rng: TimeRange, *keys: str) -> DataFrame:
     )
 
 
-def ad_series(counts: DataFrame, advertiser_id: int, ad_id: int, rng: TimeRange) -> DataFrame:
+def ad_series(counts: DataFrame, advertiser_id: int, ad_id: int, span: Span) -> DataFrame:
     """Zero-filled series of one ad, in time order."""
-    return zero_fill(ad_points(counts, advertiser_id, ad_id, rng), rng).orderBy("bucket")
+    return zero_fill(ad_points(counts, advertiser_id, ad_id, span), span).orderBy("bucket")
 
 
-def advertiser_series(counts: DataFrame, advertiser_id: int, rng: TimeRange) -> DataFrame:
+def advertiser_series(counts: DataFrame, advertiser_id: int, span: Span) -> DataFrame:
     """Zero-filled series of one advertiser, in time order."""
-    return zero_fill(points_of(advertiser_groups(counts, advertiser_id, rng)), rng).orderBy("bucket")
+    return zero_fill(points_of(advertiser_groups(counts, advertiser_id, span)), span).orderBy("bucket")
 
 
 def series_totals(points: DataFrame) -> DataFrame:
@@ -131,12 +119,12 @@ def series_totals(points: DataFrame) -> DataFrame:
     )
 
 
-def rollup_consistency(counts: DataFrame, rng: TimeRange) -> DataFrame:
+def rollup_consistency(counts: DataFrame, span: Span) -> DataFrame:
     """Totals of the same range per minute, hour and day from one scan, and whether they agree.
 
     The range must lie on day boundaries.
     """
-    levels = in_range(counts, rng).select(
+    levels = in_span(counts, span).select(
         *[bucket_floor(F.col("minute"), name).alias(f"by_{name}") for name in GRANULARITIES],
         "click_count",
     )

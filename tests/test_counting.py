@@ -90,8 +90,8 @@ def test_recount_repairs_only_what_it_touches(spark):
 
 
 def test_counts_table_prunes_by_day_and_pushes_the_owner(spark, tmp_path):
-    from clickloom.functions.ranges import resolve_range
-    from clickloom.operators.series import in_range
+    from clickloom.functions.spans import Span
+    from clickloom.operators.series import in_span
 
     folder = str(tmp_path / "counts")
     minutes = spark.range(0, 4 * 1440, 60).select(
@@ -104,8 +104,8 @@ def test_counts_table_prunes_by_day_and_pushes_the_owner(spark, tmp_path):
     write_counts(minutes, folder, files_per_day=2)
     counts = read_counts(spark, folder)
     assert counts.count() == minutes.count()
-    rng = resolve_range("hour", utc(2026, 1, 2), utc(2026, 1, 3), now=NOW)
-    mine = in_range(counts, rng, 0)
+    span = Span.covering("hour", utc(2026, 1, 2), utc(2026, 1, 3))
+    mine = in_span(counts, span, 0)
     assert mine.count() == 24
     plan = plan_of(mine)
     assert "EqualTo(advertiser_id,0)" in plan and "GreaterThanOrEqual(minute" in plan

@@ -2,9 +2,9 @@ from datetime import timedelta
 
 import pytest
 
-from clickloom.functions.ranges import TimeRange, resolve_range
+from clickloom.functions.spans import Span, asked_span
 from clickloom.operators import series
-from conftest import naive, utc
+from conftest import plan_of, naive, utc
 
 NOW = utc(2026, 9, 26, 12, 34, 56)
 SCHEMA = "ad_id long, advertiser_id long, minute timestamp, click_count long, updated_at timestamp"
@@ -30,7 +30,7 @@ def counts(spark):
 
 
 def hour():
-    return resolve_range("minute", now=NOW)
+    return asked_span("minute", now=NOW)
 
 
 def test_default_hour_of_one_ad(counts):
@@ -60,28 +60,39 @@ def test_ties_go_to_the_lower_ad_and_zeros_are_left_out(spark):
 
 
 def test_minutes_and_hours_agree(counts):
-    by_hour = series.advertiser_series(counts, 7, TimeRange("hour", at(9, 0), at(13, 0))).collect()
+    by_hour = series.advertiser_series(counts, 7, Span.covering("hour", at(9, 0), at(13, 0))).collect()
     assert [p.clicks for p in by_hour] == [5, 0, 0, 12]
-    day = TimeRange("day", utc(2026, 9, 26), utc(2026, 9, 27))
+    day = Span.covering("day", utc(2026, 9, 26), utc(2026, 9, 27))
     check = series.rollup_consistency(counts, day).first()
     assert (check.minute_total, check.hour_total, check.day_total, check.consistent) == (24, 24, 24, True)
 
 
 def test_the_range_is_half_open(counts):
-    rng = TimeRange("minute", at(12, 0), at(12, 30))
-    assert series.in_range(counts, rng, 7).count() == 2
+    span = Span.covering("minute", at(12, 0), at(12, 30))
+    assert series.in_span(counts, span, 7).count() == 2
 
 
 def test_zero_fill_between_points(spark):
     start = at(12, 0)
-    rng = TimeRange("minute", start, start + timedelta(minutes=4))
+    span = Span.covering("minute", start, start + timedelta(minutes=4))
     rows = [(1, 7, start + timedelta(minutes=m), n, NOW) for m, n in ((1, 5), (3, 2))]
     counts = spark.createDataFrame(rows, SCHEMA)
-    assert [p.clicks for p in series.ad_series(counts, 7, 1, rng).collect()] == [0, 5, 0, 2]
-    filled = series.zero_fill_per(series.rollup(counts, "minute", "ad_id"), rng, "ad_id")
+    assert [p.clicks for p in series.ad_series(counts, 7, 1, span).collect()] == [0, 5, 0, 2]
+    filled = series.zero_fill_per(series.rollup(counts, "minute", "ad_id"), span, "ad_id")
     assert [p.clicks for p in filled.orderBy("bucket").collect()] == [0, 5, 0, 2]
 
 
 def test_the_spine_is_capped(spark):
     with pytest.raises(ValueError):
-        series.spine(spark, TimeRange("minute", utc(2026, 1, 1), utc(2026, 1, 3)))
+        Span.covering("minute", utc(2026, 1, 1), utc(2026, 1, 3)).spine(spark)
+
+
+def test_registered_series_read_only_their_days_and_owner(spark, sf_dir):
+    from clickloom.plans import queries
+
+    plan = plan_of(queries.QUERIES["ad_series"](spark, sf_dir))
+    assert f"EqualTo(advertiser_id,{queries.OWNER})" in plan and "EqualTo(ad_id" in plan
+    assert "GreaterThanOrEqual(minute" in plan
+    day = queries.ONE_DAY.days
+    assert day[0] == day[1]
+    assert "PartitionFilters: [isnotnull(day" in plan and f"day#" in plan
