@@ -16,7 +16,9 @@ UUID_PATTERN = "^[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-
 DATE_TIME_PATTERN = (
     r"^\d{4}-\d{2}-\d{2}[Tt]\d{2}:\d{2}:\d{2}(\.\d+)?([Zz]|[+-]\d{2}:\d{2})$"
 )
-HTTP_URL_PATTERN = "^(?i:https?)://[^/?#]+"
+HTTP_URL_PATTERN = (
+    r"^(?i:https?)://([^/?#\[\]]+|[^/?#\[\]]*\[[0-9A-Fa-f:.]+\][^/?#\[\]]*)([/?#].*)?$"
+)
 SCHEME_PATTERN = "^[A-Za-z][A-Za-z0-9+.-]*:"
 
 
@@ -40,7 +42,7 @@ def _number(fields: Column, key: str) -> Column:
     found = fields[key]
     kind = F.schema_of_variant(found)
     is_number = (kind == "BIGINT") | kind.startswith("DECIMAL") | (kind == "DOUBLE")
-    return F.when(is_number, F.try_variant_get(found, "$", "decimal(38,6)"))
+    return F.when(is_number, F.try_variant_get(found, "$", "decimal(38,18)"))
 
 
 def _text(fields: Column, key: str) -> Column:

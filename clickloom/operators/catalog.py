@@ -78,7 +78,7 @@ def _rules(rows: DataFrame) -> dict[str, Column]:
 
 def validate_ads(ads: DataFrame, advertisers: DataFrame) -> DataFrame:
     """Add ``broken_rules``, including an owner that does not exist."""
-    owners = advertisers.select(F.col("id").alias("advertiser_id"), F.lit(True).alias("_owner"))
+    owners = advertisers.select(F.col("id").alias("advertiser_id"), F.lit(True).alias("_owner")).distinct()
     known = ads.join(owners, "advertiser_id", "left")
     rules = {**_rules(ads), "advertiser_id": F.col("_owner").isNotNull()}
     return known.select(*ads.columns, broken(rules).alias("broken_rules"))
@@ -123,16 +123,15 @@ def create_ads(
 
 
 def update_ads(ads: DataFrame, changes: DataFrame, now: datetime | Column | None) -> DataFrame:
-    """Replace the editable fields of owned ads; at most one valid change per ad.
+    """Replace the editable fields of owned ads.
 
-    A change by anybody but the owner matches nothing.
+    A change by anybody but the owner matches nothing. Of several valid changes of one ad the one
+    with the highest ``seq`` holds, or the greatest by its fields where changes have no ``seq``.
     """
     valid = changes.where(F.size(broken(_rules(changes))) == 0)
-    change = valid.select(
-        "id",
-        "advertiser_id",
-        F.struct("content", "img_url", "redirect_url", "active").alias("change"),
-    )
+    fields = F.struct("content", "img_url", "redirect_url", "active")
+    order = F.col("seq") if "seq" in changes.columns else fields
+    change = valid.groupBy("id", "advertiser_id").agg(F.max_by(fields, order).alias("change"))
     changed = F.col("change").isNotNull()
     fields = ("content", "img_url", "redirect_url", "active")
     return (

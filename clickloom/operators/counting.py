@@ -59,8 +59,8 @@ def recount(clicks: DataFrame, updated_at: Column | datetime | None = None) -> D
     return minute_counts(keep_click(clicks, as_of=None, cutoff_ms=None), updated_at)
 
 
-# Batches of one run that fit beside its number in one long.
-BATCH_BITS = 40
+# Bits of one long for the number of a run and of its batch.
+RUN_BITS, BATCH_BITS = 22, 40
 
 
 def newest(order: Column, *columns: str) -> list[Column]:
@@ -74,7 +74,11 @@ def newest(order: Column, *columns: str) -> list[Column]:
 
 def upsert_latest(versions: DataFrame) -> DataFrame:
     """The current table: for each key the version with the highest ``(run_seq, batch_id)``."""
-    order = F.shiftleft(F.col("run_seq"), BATCH_BITS) + F.col("batch_id")
+    run, batch = F.col("run_seq"), F.col("batch_id")
+    fits = run.between(0, (1 << RUN_BITS) - 1) & batch.between(0, (1 << BATCH_BITS) - 1)
+    order = F.when(fits, F.shiftleft(run, BATCH_BITS) + batch).otherwise(
+        F.raise_error("run_seq or batch_id is too large to be ordered").cast("long")
+    )
     return (
         versions.groupBy(*COUNT_KEY)
         .agg(*newest(order, "advertiser_id", "click_count", "updated_at"))

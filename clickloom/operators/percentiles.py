@@ -15,9 +15,13 @@ BINS_PER_OCTAVE = 32
 
 def value_bin(value: Column) -> Column:
     """A whole number that never decreases with ``value``, about 2 % of it wide."""
-    size = F.abs(value)
-    octaves = F.log2(F.when(size > 0, size)) * BINS_PER_OCTAVE
-    magnitude = F.floor(octaves).cast("long") + F.lit(100_000)
+    size = F.abs(value).cast("double")
+    octaves = F.log2(F.when((size > 0) & (size < float("inf")), size)) * BINS_PER_OCTAVE
+    # Finite values stay below 140,000; infinity and, above all, not-a-number have bins of their own.
+    magnitude = F.coalesce(
+        F.floor(octaves).cast("long") + F.lit(100_000),
+        F.when(F.isnan(size), 300_000).when(size > 0, 200_000).cast("long"),
+    )
     return F.coalesce(F.when(value < 0, -magnitude).otherwise(magnitude), F.lit(0).cast("long"))
 
 

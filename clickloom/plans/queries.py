@@ -1270,6 +1270,47 @@ def _run_gates_hot(spark: SparkSession, sf_dir: str) -> DataFrame:
     return measurement.run_gates(inputs.samples(spark, sf_dir), "hot", skew)
 
 
+@query(
+    "run_gates_scale",
+    f"""
+SELECT 'click p95 ms' AS gate, round({_worst_sql("kind = 'click'")}, 1) AS value, CAST(NULL AS DOUBLE) AS "limit",
+       CAST(NULL AS BOOLEAN) AS pass
+UNION ALL SELECT 'click error rate %', round({_FAILED_SQL} * 100, 4), NULL, NULL
+""",
+)
+def _run_gates_scale(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return measurement.run_gates(inputs.samples(spark, sf_dir), "scale")
+
+
+@query(
+    "reconcile_empty",
+    """
+SELECT CAST(0 AS BIGINT) AS lost, CAST(0 AS BIGINT) AS over, CAST(0 AS BIGINT) AS mismatched,
+       CAST(count(*) AS BIGINT) AS ambiguous, false AS pass
+FROM events WHERE event_id % 103 = 0 AND event_id % 101 <> 0
+""",
+)
+def _reconcile_empty(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A run of another name: nothing was expected, so nothing is shown; the ambiguous are counted."""
+    run = sample_source.select_series(_accepted_series(spark, sf_dir), "clicks_accepted_adv", testid="run-2")
+    judged = measurement.reconcile(measurement.expected_from_series(run), _stored_counts(spark, sf_dir))
+    ambiguous = inputs.attempts(spark, sf_dir).agg(F.count_if(F.col("produce") == "ambiguous")).first()[0]
+    return measurement.reconcile_verdict(judged, ambiguous)
+
+
+@query(
+    "partition_skew_idle",
+    """
+SELECT CAST(12 AS BIGINT) AS partitions, count(*) AS most, CAST(0 AS BIGINT) AS least,
+       count(*) / CAST(1e-9 AS DOUBLE) AS skew FROM events
+""",
+)
+def _partition_skew_idle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All records with one key: eleven partitions are idle."""
+    records = inputs.attempts(spark, sf_dir).select(F.lit("one").alias("key"))
+    return measurement.partition_skew(measurement.partition_rates(records))
+
+
 @query(
     "freshness_gap",
     f"""

@@ -80,6 +80,12 @@ def write_versions(changed: DataFrame, path: str, run_seq: int, batch_id: int, f
     )
 
 
+def _exists(spark: SparkSession, path: str) -> bool:
+    """Whether a path exists in whatever store it names."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where)
+
+
 def start_counting(
     clicks: DataFrame,
     path: str,
@@ -91,10 +97,15 @@ def start_counting(
 ) -> StreamingQuery:
     """Run the job into the version log at ``path``.
 
-    ``checkpoint`` holds offsets and state and must be kept between restarts. A start without the
-    old one needs a higher ``run_seq``.
+    ``checkpoint`` holds offsets and state and must be kept between restarts. A new checkpoint
+    starts with empty state and batch numbers from 0, so it is refused where ``run_seq`` has been
+    used: its versions would replace those there. Repair the log with :func:`publish_recount` of
+    all raw clicks first, then start with a ``run_seq`` above the recount's; minutes that the new
+    run counts replace the recount's, so it must read them from their first click on.
     """
-    configure(clicks.sparkSession)
+    spark = configure(clicks.sparkSession)
+    if _exists(spark, f"{path}/run_seq={run_seq}") and not _exists(spark, f"{checkpoint}/metadata"):
+        raise ValueError(f"run_seq {run_seq} has versions in the log but the checkpoint is new")
     trigger = (
         {"availableNow": True} if available_now else {"processingTime": f"{config.trigger_seconds} seconds"}
     )

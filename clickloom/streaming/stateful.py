@@ -6,6 +6,8 @@ Both follow their batch twins in ``operators`` on input that arrives in time ord
 from __future__ import annotations
 
 import sys
+import time
+from bisect import bisect
 from collections.abc import Iterator
 
 import pandas as pd
@@ -25,26 +27,35 @@ MARKING_SCHEMA = "ad_id long, mark_no long, first long, last long"
 
 
 class ClaimProcessor(StatefulProcessor):
-    """Holds the last claim of one (ad, user) and labels each attempt."""
+    """Holds the claims of one (ad, user) that a click may still meet and labels each attempt.
 
-    def __init__(self, ttl_seconds: int, keep_state_ms: int):
+    Claims are kept in order of time, however they arrive: neither a click dated ahead nor a late
+    one hides the others. Old ones go by click time, counted from the latest claim that is not
+    ahead of the clock, so a key holds at most ``keep / ttl`` claims and those ahead.
+    """
+
+    def __init__(self, ttl_seconds: int, keep_seconds: int, idle_ms: int):
         self.ttl = ttl_seconds * 1_000_000
-        self.keep_state_ms = keep_state_ms
+        self.keep = keep_seconds * 1_000_000
+        self.idle_ms = idle_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        # The store's own expiry runs on the wall clock; it only frees memory.
-        self.claim = handle.getValueState("claim", "t long", self.keep_state_ms)
+        # The store's own expiry runs on the wall clock and frees keys that have long been idle.
+        self.claims = handle.getValueState("claims", "t array<bigint>", self.idle_ms)
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
-        held = self.claim.get()
-        claimed = before = None if held is None else held[0]
+        held = self.claims.get()
+        claims = [] if held is None else list(held[0])
+        changed = False
         for row in sorted(rows, key=lambda r: (r.t, r.tie)):
             status = "accepted" if row.produce == "ack" else row.produce
             if row.dedup_ok:
-                if claimed is not None and abs(row.t - claimed) < self.ttl:
+                place = bisect(claims, row.t)
+                if any(abs(row.t - t) < self.ttl for t in claims[max(place - 1, 0) : place + 1]):
                     status = "duplicate"
-                elif row.produce == "ack" and (claimed is None or row.t > claimed):
-                    claimed = row.t
+                elif row.produce == "ack":
+                    claims.insert(place, row.t)
+                    changed = True
             yield Row(
                 click_id=row.click_id,
                 ad_id=row.ad_id,
@@ -52,18 +63,26 @@ class ClaimProcessor(StatefulProcessor):
                 attempted_at=row.attempted_at,
                 status=status,
             )
-        if claimed != before:
-            self.claim.update((claimed,))
+        if changed:
+            past = bisect(claims, int(time.time() * 1_000_000))
+            bound = claims[past - 1] - self.keep if past else claims[0]
+            self.claims.update(([t for t in claims if t >= bound],))
 
     def close(self) -> None:
         pass
 
 
-def stream_dedup(attempts: DataFrame, ttl_seconds: int = 600, keep_state_seconds: int = 86_400) -> DataFrame:
-    """Label a stream of attempts; append mode. A claim is compared by click time.
+def stream_dedup(
+    attempts: DataFrame,
+    ttl_seconds: int = 600,
+    keep_state_seconds: int = 86_400,
+    idle_seconds: int = 30 * 86_400,
+) -> DataFrame:
+    """Label a stream of attempts; append mode. Claims are compared by click time.
 
-    ``keep_state_seconds`` must exceed the ttl by any delay the stream may suffer. An attempt
-    arriving more than a ttl older than the held claim is new and leaves the claim alone.
+    An attempt within a ttl of a claim, before or after it, is a duplicate of it. Claims are kept
+    for ``keep_state_seconds`` of click time, which must exceed the ttl by any delay of the stream;
+    a key without any claim for ``idle_seconds`` by the clock is forgotten.
     """
     if keep_state_seconds <= ttl_seconds:
         raise ValueError("keep_state_seconds must exceed ttl_seconds")
@@ -72,7 +91,10 @@ def stream_dedup(attempts: DataFrame, ttl_seconds: int = 600, keep_state_seconds
         attempts.withColumns({"t": F.unix_micros("attempted_at"), "tie": F.xxhash64("click_id")})
         .groupBy("ad_id", "user_id")
         .transformWithState(
-            ClaimProcessor(ttl_seconds, keep_state_seconds * 1000), STATUS_SCHEMA, "append", "ProcessingTime"
+            ClaimProcessor(ttl_seconds, keep_state_seconds, idle_seconds * 1000),
+            STATUS_SCHEMA,
+            "append",
+            "ProcessingTime",
         )
     )
 
@@ -111,8 +133,11 @@ class HotProcessor(StatefulProcessor):
             else:
                 last = max(last, row.t)
             changed = True
-        # Buckets no later window can reach.
-        expired = {bucket for bucket in counts if bucket <= max(counts) - self.window_buckets}
+        # Buckets no later window can reach, by the latest click that is not ahead of the clock.
+        present = int(time.time()) // self.bucket_seconds
+        latest = max((bucket for bucket in counts if bucket <= present), default=None)
+        bound = None if latest is None else latest - self.window_buckets
+        expired = {bucket for bucket in counts if bound is not None and bucket <= bound}
         for bucket in expired & known:
             self.buckets.removeKey((bucket,))
         for bucket in touched - expired:
@@ -132,14 +157,14 @@ def _combine(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield batch.groupby(["ad_id", "t"], as_index=False)["n"].sum()
 
 
-def stream_hot(clicks: DataFrame, rules: HotRules = HotRules(), time: str = "clicked_at") -> DataFrame:
+def stream_hot(clicks: DataFrame, rules: HotRules = HotRules(), at: str = "clicked_at") -> DataFrame:
     """Markings as they start or extend, ``(ad_id, mark_no, first, last)`` in epoch seconds.
 
     Update mode; the last row of a mark holds. Clicks of one ad and instant are combined before
     the shuffle, batch by batch, so a hot ad reaches its state as a few rows.
     """
     _state_settings(clicks, expires=False)
-    instant = floor_to(F.unix_seconds(time), rules.resolution)
+    instant = floor_to(F.unix_seconds(at), rules.resolution)
     combined = clicks.select("ad_id", instant.alias("t"), F.lit(1).cast("long").alias("n")).mapInPandas(
         _combine, "ad_id long, t long, n long"
     )

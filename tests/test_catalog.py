@@ -154,3 +154,34 @@ def test_salted_lookup_keeps_every_row(spark):
     lookup = spark.createDataFrame([(0, "a"), (1, "b")], "k long, name string")
     joined = skew.salted_lookup(facts, lookup, ["k"], F.col("id"), "left")
     assert joined.count() == 1000 and joined.where("name is null").count() == 333
+
+
+def test_several_changes_of_one_ad_give_one_row(spark, ads):
+    rows = [
+        (seq, 1, 7, f"text {seq}", None, "https://l.example/new", True) for seq in (3, 9, 5)
+    ]
+    schema = "seq long, id long, advertiser_id long, content string, img_url string, redirect_url string, active boolean"
+    changed = catalog.update_ads(ads, spark.createDataFrame(rows, schema), NOW)
+    assert [r.content for r in changed.where("id = 1").collect()] == ["text 9"]
+    assert changed.count() == ads.count()
+    unordered = catalog.update_ads(ads, spark.createDataFrame(rows, schema).drop("seq"), NOW)
+    assert [r.content for r in unordered.where("id = 1").collect()] == ["text 9"]
+
+
+def test_an_advertiser_given_twice_doubles_nothing(ads, advertisers):
+    assert catalog.validate_ads(ads, advertisers.union(advertisers)).count() == ads.count()
+
+
+def test_hosts_in_brackets(spark):
+    from clickloom.functions.rules import http_url
+
+    urls = {
+        "http://[abc": False,
+        "http://abc]/x": False,
+        "https://[::1]:80/x": True,
+        "HTTP://h_1/[x]": True,
+        "http://?x": False,
+        "ftp://h": False,
+    }
+    frame = spark.createDataFrame([(u,) for u in urls], "u string")
+    assert {r.u: r.ok for r in frame.select("u", http_url(F.col("u")).alias("ok")).collect()} == urls

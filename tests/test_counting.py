@@ -1,5 +1,6 @@
 import json
 
+import pytest
 from pyspark.sql import functions as F
 
 from clickloom.operators import counting, filtering
@@ -110,3 +111,12 @@ def test_counts_table_prunes_by_day_and_pushes_the_owner(spark, tmp_path):
     plan = plan_of(mine)
     assert "EqualTo(advertiser_id,0)" in plan and "GreaterThanOrEqual(minute" in plan
     assert "PartitionFilters: [isnotnull(day" in plan
+
+
+def test_numbers_of_runs_that_cannot_be_ordered_raise(spark):
+    from clickloom.operators.counting import upsert_latest
+
+    row = (1, 10, NOW, 5, NOW, 1 << 23, 0)
+    schema = "ad_id long, advertiser_id long, minute timestamp, click_count long, updated_at timestamp, run_seq long, batch_id long"
+    with pytest.raises(Exception, match="too large"):
+        upsert_latest(spark.createDataFrame([row], schema)).collect()

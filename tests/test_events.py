@@ -60,6 +60,7 @@ def test_strict_validation(spark):
         (changed(ad_id=0), ["ad_id"]),
         (changed(ad_id="42"), ["ad_id"]),
         (changed(ad_id=1.5), ["ad_id"]),
+        (changed(ad_id=7.0000001), ["ad_id"]),
         (changed(user_id=""), ["user_id"]),
         (changed(user_id="x" * 129), ["user_id"]),
         (changed(user_id=5), ["user_id"]),

@@ -131,7 +131,10 @@ def test_a_missing_value_fails_and_a_report_has_no_verdict(spark):
     assert verdict["click error rate %"] == (0.0, True)
     assert verdict["hot ad seen at s"] == (None, False)
     assert verdict["partition skew max/min"] == (None, None)
-    assert _gates(measurement.run_gates(none, "scale")) == {"click p95 ms": (None, None)}
+    assert _gates(measurement.run_gates(none, "scale")) == {
+        "click p95 ms": (None, None),
+        "click error rate %": (0.0, None),
+    }
 
 
 def test_worst_runner_beside_the_merged_percentile(spark):
@@ -179,3 +182,32 @@ def test_longest_pause_across_hours_and_years(spark):
     got = measurement.longest_pause(frame).first()[0]
     assert got == (times[3] - times[2]).total_seconds()
     assert measurement.longest_pause(frame.limit(0)).first()[0] is None
+
+
+def test_nothing_expected_fails(spark):
+    none = spark.createDataFrame([], "advertiser_id long, accepted long, counted long, diff long")
+    assert measurement.reconcile_verdict(none, 5).first()["pass"] is False
+
+
+def test_labels_that_are_no_number_are_left_out(spark):
+    rows = [({"advertiser": "7"}, 2.0), ({"advertiser": "seven"}, 3.0), ({}, 1.0)]
+    series = spark.createDataFrame(rows, "labels map<string,string>, value double")
+    assert [tuple(r) for r in measurement.expected_from_series(series).collect()] == [(7, 2)]
+
+
+def test_idle_partitions_count(spark):
+    rates = measurement.partition_rates(spark.createDataFrame([("k",)] * 3, "key string"), 4)
+    assert sorted(r.records for r in rates.collect()) == [0, 0, 0, 3]
+    assert measurement.partition_skew(rates).first()["skew"] == 3 / 1e-9
+
+
+def test_infinity_and_not_a_number_are_ranked_last(spark):
+    from clickloom.operators.percentiles import percentiles
+
+    inf, nan = float("inf"), float("nan")
+    rows = [(1, v) for v in (3.0, inf, 1.0, -inf, nan, 2.0)] + [(2, inf), (2, 5.0)]
+    frame = spark.createDataFrame(rows, "k int, v double")
+    found = {r.k: r for r in percentiles(frame, ["k"], "v", {"low": 0, "p40": 40, "p80": 80, "top": 100}).collect()}
+    assert (found[1].low, found[1].p40, found[1].p80) == (-inf, 2.0, inf)
+    assert found[1].top != found[1].top and found[1]["max"] != found[1]["max"]
+    assert (found[2].low, found[2].top) == (5.0, inf)

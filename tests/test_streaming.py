@@ -99,6 +99,15 @@ def test_a_later_run_replaces_every_part_of_a_minute(spark, tmp_path):
     assert job.current() == [(1, 10, "22:00", 1)]
 
 
+def test_a_new_checkpoint_on_a_used_run_is_refused(spark, tmp_path):
+    job = Job(spark, tmp_path)
+    write_lines(job.source, "a", LINES)
+    job.run()
+    with pytest.raises(ValueError, match="run_seq 1"):
+        job.run(checkpoint=str(tmp_path / "lost"))
+    assert job.current() == WANTED
+
+
 def test_recount_repairs_what_the_stream_dropped(spark, tmp_path):
     job = Job(spark, tmp_path)
     write_lines(job.source, "a", LINES)
@@ -164,6 +173,60 @@ def test_stream_dedup_follows_the_rule_over_restarts(spark, tmp_path):
     assert got == {r.click_id: r.status for r in batch.collect()}
 
 
+def _labelled(spark, tmp_path, *parts):
+    """Statuses of one key's attempts, given as seconds, over micro-batches."""
+    now = datetime.now(timezone.utc).replace(microsecond=0)
+    source, log, checkpoint = (str(tmp_path / n) for n in ("in", "log", "ck"))
+    number, names = 0, {}
+    for part in parts:
+        rows = []
+        for second in part:
+            names[f"{number}"] = second
+            rows.append((f"{number}", 1, "u", now + timedelta(seconds=second), True, "ack"))
+            number += 1
+        _rows(spark, source, rows, ATTEMPT)
+        stream = spark.readStream.schema(ATTEMPT).parquet(source)
+        sinks.start_log(
+            stateful.stream_dedup(stream, 600, 7200), log, checkpoint, "append", available_now=True
+        ).awaitTermination()
+    found = spark.read.parquet(log).collect()
+    return {names[r.click_id]: r.status for r in found}
+
+
+def test_a_click_dated_ahead_hides_no_claim(spark, tmp_path):
+    got = _labelled(spark, tmp_path, [86_400], [-3000], [-2990], [-2980, -2400], [86_410])
+    assert got == {
+        86_400: "accepted",
+        -3000: "accepted",
+        -2990: "duplicate",
+        -2980: "duplicate",
+        -2400: "accepted",
+        86_410: "duplicate",
+    }
+
+
+def test_a_late_click_claims_for_its_own_time(spark, tmp_path):
+    got = _labelled(spark, tmp_path, [-1000], [-1700], [-1690], [-990])
+    assert got == {-1000: "accepted", -1700: "accepted", -1690: "duplicate", -990: "duplicate"}
+
+
+def test_a_click_dated_ahead_leaves_hot_buckets_alone(spark, tmp_path):
+    rules = hot.HotRules(threshold=240)
+    now = int(datetime.now(timezone.utc).timestamp()) - 300
+    source, log, checkpoint = (str(tmp_path / n) for n in ("in", "log", "ck"))
+    schema = "ad_id long, clicked_at timestamp"
+    parts = [[now + 86_400], [now] * 200, [now + 61] * 40]
+    for part in parts:
+        rows = [(1, datetime.fromtimestamp(t, timezone.utc)) for t in part]
+        _rows(spark, source, rows, schema)
+        stream = spark.readStream.schema(schema).parquet(source)
+        sinks.start_log(
+            stateful.stream_hot(stream, rules), log, checkpoint, "update", available_now=True
+        ).awaitTermination()
+    found = stateful.latest_markings(spark.read.parquet(log), rules).collect()
+    assert [(r.ad_id, r.mark_no) for r in found] == [(1, 1)]
+
+
 def test_stream_hot_equals_batch(spark, tmp_path):
     pick = random.Random(9)
     rules = hot.HotRules(threshold=24, permanent_after=3)
