@@ -85,14 +85,17 @@ def hot_buckets(clicks: DataFrame, rules: HotRules = HotRules(), time: str = "cl
 
 
 def _over_threshold(clicks: DataFrame, rules: HotRules, time: str, buckets: DataFrame) -> DataFrame:
-    """Instants at which an ad's window reaches the threshold: ``(ad_id, stretch, t)``."""
+    """Instants at which an ad's window reaches the threshold: ``(ad_id, stretch, t)``.
+
+    Clicks are counted by instant before they meet the buckets: a hot ad is then at most a row for
+    each instant and task, wherever the join puts it.
+    """
     t = floor_to(F.unix_seconds(time), rules.resolution)
     instants = (
-        clicks.select("ad_id", t.alias("t"))
+        clicks.groupBy("ad_id", t.alias("t"))
+        .agg(F.count(F.lit(1)).alias("n"))
         .withColumn("bucket", floor_div(F.col("t"), rules.bucket_seconds))
         .join(buckets, ["ad_id", "bucket"])
-        .groupBy("ad_id", "bucket", "before", "t")
-        .agg(F.count(F.lit(1)).alias("n"))
     )
     so_far = (
         Window.partitionBy("ad_id", "bucket")

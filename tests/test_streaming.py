@@ -254,3 +254,25 @@ def test_exact_copies_go(spark, tmp_path):
     clicks = parse_clicks(read_click_files(spark, source))
     sinks.start_log(stateful.drop_exact_copies(clicks), log, checkpoint, "append", available_now=True).awaitTermination()
     assert spark.read.parquet(log).count() == 2
+
+
+def test_progress_is_reported(spark, tmp_path):
+    from clickloom.streaming.progress import ProgressListener, progress_row, recent_progress
+
+    told = []
+    listener = ProgressListener(told.append)
+    spark.streams.addListener(listener)
+    try:
+        job = Job(spark, tmp_path)
+        write_lines(job.source, "a", LINES)
+        query = job.run()
+        rows = recent_progress(spark, query).collect()
+        spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(20_000)
+    finally:
+        spark.streams.removeListener(listener)
+    assert sum(r.input_rows for r in rows) == len(LINES)
+    assert max(r.state_rows for r in rows) >= 3 and {r.records_behind for r in rows} == {None}
+    assert sum(t["input_rows"] for t in told) == len(LINES)
+    topic = {"id": "q", "batchId": 1, "timestamp": "t", "numInputRows": 2, "sources": [
+        {"metrics": {"maxOffsetsBehindLatest": "17"}}, {"metrics": {"maxOffsetsBehindLatest": "3.0"}}]}
+    assert progress_row(topic)[-1] == 17
