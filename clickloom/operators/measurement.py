@@ -183,6 +183,17 @@ def _rates(samples: DataFrame, ok_status: str) -> DataFrame:
     ).select("m.*")
 
 
+def hot_seen(tagged: DataFrame, time: str = "clicked_at") -> DataFrame:
+    """``(measure, value)`` of the first hot answer any runner got, in seconds from its start."""
+    by_runner = tagged.groupBy("runner").agg(
+        F.min(time).alias("start"), F.min(F.when(F.col("hot"), F.col(time))).alias("seen")
+    )
+    waited = (F.unix_micros("seen") - F.unix_micros("start")) / F.lit(1_000_000.0)
+    return by_runner.agg(F.min(waited).alias("value")).select(
+        F.lit("hot_seen_s").alias("measure"), "value"
+    )
+
+
 def run_gates(
     samples: DataFrame,
     scenario: str,

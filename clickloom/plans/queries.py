@@ -1258,7 +1258,9 @@ def _run_gates_chaos(spark: SparkSession, sf_dir: str) -> DataFrame:
     "run_gates_hot",
     f"""
 {_LOAD_GATES_SQL}
-UNION ALL SELECT 'hot ad seen at s', CAST(NULL AS DOUBLE), 30, false
+UNION ALL SELECT 'hot ad seen at s', round(min(waited), 1), 30, coalesce(round(min(waited), 1) < 30, false)
+FROM (SELECT (epoch_us(min(clicked_at) FILTER (hot)) - epoch_us(min(clicked_at))) / 1000000.0::DOUBLE AS waited
+      FROM ({_TAGGED_SQL}) GROUP BY CAST(click_id AS BIGINT) % 3)
 UNION ALL SELECT 'partition skew max/min',
   round((SELECT max(records) / greatest(CAST(min(records) AS DOUBLE), 1e-9) FROM ({_RATES_SQL})), 2), NULL, NULL
 """,
@@ -1267,7 +1269,9 @@ def _run_gates_hot(spark: SparkSession, sf_dir: str) -> DataFrame:
     skew = _partition_skew(spark, sf_dir).select(
         F.lit("partition_skew").alias("measure"), F.col("skew").alias("value")
     )
-    return measurement.run_gates(inputs.samples(spark, sf_dir), "hot", skew)
+    runner = F.pmod(F.col("click_id").cast("long"), F.lit(3)).alias("runner")
+    seen = measurement.hot_seen(_tag_hot_clicks(spark, sf_dir).select("*", runner))
+    return measurement.run_gates(inputs.samples(spark, sf_dir), "hot", skew.unionByName(seen))
 
 
 @query(
