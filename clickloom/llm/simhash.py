@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from clickloom.llm import vptree
 from clickloom.llm.components import components
-from clickloom.llm.texts import LOWER, as_bytes
+from clickloom.llm.texts import LOWER, as_bytes, lowest
 from clickloom.session import stored
 
 _CHUNK = 1 << 16
@@ -126,7 +126,7 @@ def linked(
         for_cores = math.log2(2 * spark.sparkContext.defaultParallelism)
         depth = math.ceil(max(for_size, for_cores))
     names = _names(words)
-    sample = points.orderBy(F.xxhash64("point"), "point").limit(sample_points if depth else 0)
+    sample = lowest(points, "point", sample_points if depth else 0, count)
     fitted = np.array([row[:] for row in sample.select(*names).collect()], np.int64)
     fitted = fitted.reshape(-1, words).view(np.uint64)
     trees = [

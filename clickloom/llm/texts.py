@@ -22,9 +22,16 @@ def as_text(values: list[bytes | None]) -> pa.Array:
     return pa.array(values, pa.large_binary()).cast(pa.large_string()).cast(pa.string())
 
 
-def inner_names(frame: DataFrame, *wanted: str) -> list[Column]:
-    """The wanted columns by exact position-safe reference, quoted so that dots are harmless."""
-    return [F.col(f"`{name}`") for name in wanted]
+def lowest(frame: DataFrame, key: str, most: int, count: int) -> DataFrame:
+    """At most so many of the frame's ``count`` rows: those whose keys hash lowest.
+
+    Hashes are even, so a bound on them leaves half as many again, whatever the number of rows and
+    of partitions; only these are put in order.
+    """
+    hashed = F.xxhash64(key)
+    if count > 2 * most:
+        frame = frame.filter(hashed / float(1 << 64) + 0.5 < 1.5 * most / count)
+    return frame.orderBy(hashed, key).limit(most)
 
 
 def crc32_rest(key: Column, modulus: int) -> Column:

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from clickloom.llm.texts import as_bytes
+from clickloom.llm.texts import as_bytes, lowest
 from clickloom.session import stored
 
 #: A-Z to lower case, ends of sentences to line feeds, other ASCII signs to spaces.
@@ -115,9 +115,8 @@ def _sample(docs: DataFrame, labels: DataFrame, key: str, text: str, most_rows:
         labels.filter("key is not null and toxic is not null")
         .groupBy("key")
         .agg(F.max("toxic").alias("toxic"))
-        .orderBy(F.xxhash64("key"), "key")
-        .limit(most_rows)
     )
+    known = lowest(known, "key", most_rows, known.count())
     texts = docs.select(F.col(f"`{key}`").alias("key"), F.col(f"`{text}`").alias("text"))
     # At most most_rows keys with a flag: small whatever the corpus, so the texts stay in place.
     rows = texts.join(F.broadcast(known), "key").select("text", F.col("toxic").cast("int").alias("toxic"))
