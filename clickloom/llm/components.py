@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from clickloom.operators.skew import splittable_lookup
 from clickloom.session import stored
 
 
@@ -20,7 +21,7 @@ def _hooked(edges: DataFrame, larger: bool) -> DataFrame:
         sides = edges
     least = sides.groupBy("a").agg(F.min("b").alias("least"))
     least = least.select("a", F.least("a", "least").alias("least"))
-    moved = sides.join(least, "a")
+    moved = splittable_lookup(sides, least, ["a"], "a")
     if larger:
         return moved.filter("b > a").select(F.col("b").alias("a"), F.col("least").alias("b"))
     down = moved.select(F.col("b").alias("a"), F.col("least").alias("b")).filter("a <> b")
