@@ -117,6 +117,9 @@ def test_numbers_of_runs_that_cannot_be_ordered_raise(spark):
     from clickloom.operators.counting import upsert_latest
 
     row = (1, 10, NOW, 5, NOW, 1 << 23, 0)
-    schema = "ad_id long, advertiser_id long, minute timestamp, click_count long, updated_at timestamp, run_seq long, batch_id long"
+    schema = (
+        "ad_id long, advertiser_id long, minute timestamp, click_count long, updated_at timestamp,"
+        " run_seq long, batch_id long"
+    )
     with pytest.raises(Exception, match="too large"):
         upsert_latest(spark.createDataFrame([row], schema)).collect()
