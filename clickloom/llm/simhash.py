@@ -23,7 +23,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from clickloom.llm import vptree
@@ -86,10 +86,13 @@ def fingerprints(
     shingle: int = 3,
     words: int = 1,
     distinct: bool = False,
+    mark: Column | None = None,
 ) -> DataFrame:
-    """Key, the words of the fingerprint (as signed numbers) and its point's number, of every row.
+    """Key, mark, the words of the fingerprint (as signed numbers) and its point's number, of every
+    row.
 
-    The number of a point is its only word, or a 64-bit hash of its words.
+    The number of a point is its only word, or a 64-bit hash of its words. The mark is a text column
+    over ``docs``, null if none is given.
     """
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -98,14 +101,16 @@ def fingerprints(
             signed = np.array(found, np.uint64).reshape(-1, words).view(np.int64)
             columns = [pa.array(np.ascontiguousarray(signed[:, i])) for i in range(words)]
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), *columns], ["key", *_names(words)]
+                [batch.column(0), batch.column(2), *columns], ["key", "mark", *_names(words)]
             )
 
     named = docs.select(
-        F.col(f"`{key}`").cast("long").alias("key"), F.col(f"`{text}`").alias("text")
+        F.col(f"`{key}`").cast("long").alias("key"),
+        F.col(f"`{text}`").alias("text"),
+        (F.lit(None).cast("string") if mark is None else mark).alias("mark"),
     )
     schema = ", ".join(f"{name} long" for name in _names(words))
-    found = named.mapInArrow(hashed, f"key long, {schema}")
+    found = named.mapInArrow(hashed, f"key long, mark string, {schema}")
     return found.withColumn("point", F.xxhash64(*_names(words)) if words > 1 else F.col("p0"))
 
 
@@ -162,7 +167,12 @@ def linked(
     return shards.groupBy("word", "shard").applyInPandas(met, "a long, b long")
 
 
-def near_copies(
+def _rank() -> Column:
+    """What orders the rows of a group: by key, null last, then by the text's digest."""
+    return F.struct(F.col("key").isNull().alias("unkeyed"), "key", "mark")
+
+
+def _grouped(
     docs: DataFrame,
     key: str = "doc_id",
     text: str = "text",
@@ -173,34 +183,49 @@ def near_copies(
     most: int = 64,
     shard_points: int = 200_000,
     sample_points: int = 8192,
-) -> DataFrame:
-    """Every row's key, fingerprint (16 hex digits of its first word) and component: the least key
-    that it reaches."""
-    found = stored(fingerprints(docs, key, text, shingle, words, distinct), "prints")
+    mark: Column | None = None,
+) -> tuple[DataFrame, DataFrame]:
+    """The fingerprints, and every point's component as (point, first): the rank of its first row."""
+    found = fingerprints(docs, key, text, shingle, words, distinct, mark)
+    found = stored(found, "prints")
     names = _names(words)
     classes = found.groupBy("point").agg(
-        *(F.first(name).alias(name) for name in names), F.min("key").alias("least")
+        *(F.first(name).alias(name) for name in names), F.min(_rank()).alias("first")
     )
     classes = stored(classes, "print-classes")
     links = linked(classes, words, radius, most, shard_points, sample_points)
     roots = components(stored(links, "print-links")).withColumnRenamed("node", "point")
-    members = stored(classes.select("point", "least").join(roots, "point"), "print-members")
-    groups = members.groupBy("root").agg(F.min("least").alias("component"))
-    members = members.join(groups, "root").select("point", "component")
-    known = (
-        classes.select("point", "least")
-        .join(members, "point", "left")
-        .select("point", F.coalesce("component", "least").alias("component"))
-    )
+    members = stored(classes.select("point", "first").join(roots, "point"), "print-members")
+    groups = members.groupBy("root").agg(F.min("first").alias("least"))
+    members = members.join(groups, "root").select("point", "least")
+    known = classes.select("point", "first").join(members, "point", "left")
+    return found, known.select("point", F.coalesce("least", "first").alias("first"))
+
+
+def near_copies(docs: DataFrame, **options) -> DataFrame:
+    """Every row's key, fingerprint (16 hex digits of its first word) and component: the least key
+    that it reaches. Options are those of ``_grouped``."""
+    found, known = _grouped(docs, **options)
     return found.join(known, "point").select(
-        "key", F.lpad(F.lower(F.hex("p0")), 16, "0").alias("fingerprint"), "component"
+        "key",
+        F.lpad(F.lower(F.hex("p0")), 16, "0").alias("fingerprint"),
+        F.col("first.key").alias("component"),
     )
 
 
-def one_of_each(docs: DataFrame, key: str = "doc_id", **options) -> DataFrame:
-    """One document of every group, the one with the least key; columns as they came."""
-    groups = near_copies(docs, key=key, **options)
-    first = groups.filter(F.col("key").eqNullSafe(F.col("component"))).select("key").distinct()
-    named = docs.select(F.struct("*").alias("row"), F.col(f"`{key}`").cast("long").alias("key"))
-    kept = named.join(first.withColumnRenamed("key", "least"), F.expr("key <=> least"), "left_semi")
-    return kept.dropDuplicates(["key"]).select("row.*")
+def one_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text", **options) -> DataFrame:
+    """One document of every group, the one with the least key; columns as they came.
+
+    A row is known by its key and its text's MD5, whatever other rows share its key: rows with both
+    equal have one fingerprint, so they are of one group. Of a group's rows with the least key the
+    one with the least digest stays.
+    """
+    digest = F.md5(F.coalesce(F.col(f"`{text}`"), F.lit("")).cast("binary"))
+    _, known = _grouped(docs, key, text, mark=digest, **options)
+    first = known.select(F.col("first.key").alias("least"), F.col("first.mark").alias("one"))
+    named = docs.select(
+        F.struct("*").alias("row"), F.col(f"`{key}`").cast("long").alias("key"), digest.alias("mark")
+    )
+    same = F.expr("mark = one and key <=> least")
+    kept = named.join(first.distinct(), same, "left_semi")
+    return kept.dropDuplicates(["key", "mark"]).select("row.*")

@@ -157,3 +157,17 @@ def test_several_words_find_copies_that_one_would_lose(spark):
     groups = simhash.near_copies(frame, **options).collect()
     assert all(r.component in (r.key, r.key - 1) for r in groups)
     assert sum(r.component == r.key - 1 for r in groups) >= 57
+
+
+def test_rows_that_share_a_key_or_have_none_are_of_their_own_groups(spark):
+    rng = random.Random(6)
+
+    def prose():
+        return " ".join(rng.choices([f"word{i}" for i in range(3000)], k=80))
+
+    a, b, c, d, e, f = (prose() for _ in range(6))
+    docs = [(5, a), (5, b), (2, b), (None, c), (None, d), (None, a), (None, c), (7, e), (7, f)]
+    frame = spark.createDataFrame(docs, "doc_id long, text string")
+    kept = sorted(map(tuple, simhash.one_of_each(frame).collect()), key=str)
+    wanted = [(5, a), (2, b), (None, c), (None, d), (7, e), (7, f)]
+    assert kept == sorted(wanted, key=str)
