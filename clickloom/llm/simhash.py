@@ -32,7 +32,8 @@ from clickloom.llm.texts import LOWER, as_bytes, lowest
 from clickloom.session import stored
 
 _CHUNK = 1 << 16
-
+#: A shard of more than so many times the wanted points is dealt in pairs of blocks.
+OVERFULL = 4
 
 _MIX = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9))
 
@@ -114,13 +115,37 @@ def fingerprints(
     return found.withColumn("point", F.xxhash64(*_names(words)) if words > 1 else F.col("p0"))
 
 
+def paired(
+    shards: np.ndarray, places: np.ndarray, numbers: np.ndarray, wide: dict[int, int]
+) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Shards and places with their parts: zero, but in a shard of ``wide`` every pair of blocks.
+
+    A point of a shard of n blocks is in one of them by a hash of its number, and goes to the n - 1
+    parts that hold this block and another.
+    """
+    found = [(shards, places, np.zeros(len(shards), np.int64))]
+    for shard, blocks in wide.items():
+        (kept, at, zero), held = found[0], found[0][0] == shard
+        found[0] = (kept[~held], at[~held], zero[~held])
+        at = at[held]
+        mixed = numbers[at].view(np.uint64) * _MIX[0]
+        own = ((mixed ^ (mixed >> np.uint64(32))) % np.uint64(blocks)).astype(np.int64)
+        for other in range(blocks):
+            with_it = own != other
+            low, high = np.minimum(own, other)[with_it], np.maximum(own, other)[with_it]
+            part = 1 + low * blocks + high
+            found.append((np.full(len(part), shard, np.int64), at[with_it], part))
+    return tuple(np.concatenate(columns) for columns in zip(*found))
+
+
 def linked(
     points: DataFrame, words: int, radius: int, most: int, shard_points: int, sample_points: int
 ) -> DataFrame:
     """For distinct points (point, p0, ...): links (a, b) that connect all that are near.
 
     Two are near if any word differs in at most ``radius`` bits and all in at most ``most``. Each
-    word has a tree of its own.
+    word has a tree of its own. A shard that the tree left far over ``shard_points`` (a dense cluster
+    that no border parts) is dealt in blocks of that size, every two of which meet in a task.
     """
     spark = points.sparkSession
     count = points.count()
@@ -138,20 +163,45 @@ def linked(
         vptree.plan(np.ascontiguousarray(fitted[:, i]), depth, radius) for i in range(words)
     ]
 
+    schema = "word int, shard long, part long, point long, "
+    schema += ", ".join(f"{name} long" for name in names)
+
+    def sized(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for word, tree in enumerate(trees):
+                here = batch.column(1 + word).to_numpy().view(np.uint64)
+                shards, held = np.unique(vptree.routed(here, tree, radius)[0], return_counts=True)
+                words_ = pa.array([word] * len(shards), pa.int32())
+                yield pa.RecordBatch.from_arrays(
+                    [words_, pa.array(shards), pa.array(held.astype(np.int64))],
+                    ["word", "shard", "n"],
+                )
+
+    chosen = points.select("point", *names)
+    parts: dict[tuple[int, int], int] = {}
+    if count > OVERFULL * shard_points:
+        sizes = chosen.mapInArrow(sized, "word int, shard long, n long").groupBy("word", "shard")
+        full = sizes.agg(F.sum("n").alias("n")).filter(F.col("n") > OVERFULL * shard_points)
+        parts = {(r.word, r.shard): math.ceil(r.n / shard_points) for r in full.collect()}
+
     def dealt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            numbers = batch.column(0).to_numpy()
             for word, tree in enumerate(trees):
                 here = batch.column(1 + word).to_numpy().view(np.uint64)
                 shards, places = vptree.routed(here, tree, radius)
+                wide = {shard: n for (at, shard), n in parts.items() if at == word}
+                shards, places, pairs = paired(shards, places, numbers, wide)
                 for start in range(0, len(places), 20_000):
                     part = pa.array(places[start : start + 20_000])
                     yield pa.RecordBatch.from_arrays(
                         [
                             pa.array([word] * len(part), pa.int32()),
                             pa.array(shards[start : start + 20_000]),
+                            pa.array(pairs[start : start + 20_000]),
                             *(column.take(part) for column in batch.columns),
                         ],
-                        ["word", "shard", "point", *names],
+                        ["word", "shard", "part", "point", *names],
                     )
 
     def met(here: pd.DataFrame) -> pd.DataFrame:
@@ -162,9 +212,8 @@ def linked(
         found = np.array(pairs, np.int64).reshape(-1, 2)
         return pd.DataFrame({"a": found[:, 0], "b": found[:, 1]})
 
-    schema = "word int, shard long, point long, " + ", ".join(f"{name} long" for name in names)
-    shards = points.select("point", *names).mapInArrow(dealt, schema)
-    return shards.groupBy("word", "shard").applyInPandas(met, "a long, b long")
+    shards = chosen.mapInArrow(dealt, schema)
+    return shards.groupBy("word", "shard", "part").applyInPandas(met, "a long, b long")
 
 
 def _rank() -> Column:

@@ -5,6 +5,8 @@ from __future__ import annotations
 import numpy as np
 
 LEAF = 512
+#: Points of a dense cluster that are compared with all of it first.
+PIVOTS = 64
 
 
 def distances(points: np.ndarray, vantage: int) -> np.ndarray:
@@ -89,6 +91,82 @@ def _groups(points: np.ndarray, names: np.ndarray, radius: int, word: int, most:
         least = lower
 
 
+def _near(points: np.ndarray, a: np.ndarray, b: np.ndarray, radius: int, word: int, most: int):
+    """Which of the points ``a`` (rows) are near which of ``b`` (columns)."""
+    near = np.bitwise_count(points[a, word][:, None] ^ points[b, word][None, :]) <= radius
+    if points.shape[1] > 1:
+        x, y = np.nonzero(near)
+        near[x, y] = _total(points[a[x]], points[b[y]]) <= most
+    return near
+
+
+def _dense(points: np.ndarray, names: np.ndarray, radius: int, word: int, most: int):
+    """As ``_groups``, for any number of points that nothing parts.
+
+    Pairs are compared in blocks of LEAF by LEAF; each block is folded into the groups before the
+    next, so no pairs are kept. A few pivots are compared with all points first, and blocks that are
+    one group already are passed over.
+    """
+    parent = np.arange(len(points))
+
+    def root(x: int) -> int:
+        while parent[x] != x:
+            parent[x] = parent[parent[x]]
+            x = parent[x]
+        return x
+
+    def flatten() -> None:
+        while (parent != parent[parent]).any():
+            parent[:] = parent[parent]
+
+    def fold(a: np.ndarray, b: np.ndarray) -> None:
+        near = _near(points, a, b, radius, word, most)
+        if not near.any():
+            return
+        held = np.concatenate([[root(x) for x in a.tolist()], [root(x) for x in b.tolist()]])
+        rows, columns, none = held[: len(a)], held[len(a) :], len(points)
+        while True:
+            low = np.minimum(rows, np.where(near, columns[None, :], none).min(1))
+            lower = np.minimum(columns, np.where(near, low[:, None], none).min(0))
+            if (low == rows).all() and (lower == columns).all():
+                break
+            rows, columns = low, lower
+        least = np.concatenate([rows, columns])
+        moved = held != least
+        for x, y in set(zip(held[moved].tolist(), least[moved].tolist())):
+            x, y = root(x), root(y)
+            parent[max(x, y)] = min(x, y)
+
+    everyone = np.arange(len(points))
+    for _ in range(PIVOTS):
+        flatten()
+        alone = np.flatnonzero(np.bincount(parent, minlength=len(points))[parent] == 1)
+        if not len(alone):
+            break
+        pivot = alone[len(alone) // 2 : len(alone) // 2 + 1]
+        for start in range(0, len(points), LEAF * LEAF):
+            part = everyone[start : start + LEAF * LEAF]
+            near = part[_near(points, pivot, part, radius, word, most)[0]]
+            for x in np.unique(parent[near]).tolist():
+                x, y = root(x), root(pivot[0])
+                parent[max(x, y)] = min(x, y)
+    flatten()
+    order = np.argsort(parent, kind="stable")
+    starts = np.arange(0, len(points), LEAF)
+    for i, start in enumerate(starts):
+        flatten()
+        now = parent[order]
+        low, top = np.minimum.reduceat(now, starts), np.maximum.reduceat(now, starts)
+        one = (low == low[i]) & (top == low[i]) & (top[i] == low[i])
+        for j in np.flatnonzero(~one[i:]) + i:
+            fold(order[start : start + LEAF], order[starts[j] : starts[j] + LEAF])
+    flatten()
+    linked = np.bincount(parent, minlength=len(points))[parent] > 1
+    least = np.full(len(points), np.iinfo(np.int64).max)
+    np.minimum.at(least, parent, names)
+    return names[linked], least[parent][linked]
+
+
 def links(
     points: np.ndarray, names: np.ndarray, radius: int, word: int = 0, most: int = 64
 ) -> list[tuple[np.ndarray, np.ndarray]]:
@@ -106,17 +184,8 @@ def links(
             todo += [here[inside], here[outside]]
         elif len(here) <= 4 * LEAF:
             found.append(_groups(points[here], names[here], radius, word, most))
-        else:  # nothing parts them: all pairs, a strip at a time
-            for start in range(0, len(here), LEAF):
-                strip = here[start : start + LEAF]
-                gap = points[strip, word][:, None] ^ points[here, word][None, :]
-                a, b = np.nonzero(np.bitwise_count(gap) <= radius)
-                a, b = strip[a], here[b]
-                if points.shape[1] > 1:
-                    near = _total(points[a], points[b]) <= most
-                    a, b = a[near], b[near]
-                a, b = names[a], names[b]
-                found.append((np.maximum(a, b)[a != b], np.minimum(a, b)[a != b]))
+        else:  # nothing parts them
+            found.append(_dense(points[here], names[here], radius, word, most))
     return found
 
 

@@ -1,5 +1,7 @@
 import random
 import re
+import tracemalloc
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -171,3 +173,71 @@ def test_rows_that_share_a_key_or_have_none_are_of_their_own_groups(spark):
     kept = sorted(map(tuple, simhash.one_of_each(frame).collect()), key=str)
     wanted = [(5, a), (2, b), (None, c), (None, d), (7, e), (7, f)]
     assert kept == sorted(wanted, key=str)
+
+
+def dense(seed, groups, size):
+    """Points of six words with one word in common: for each group a base and a few bits changed."""
+    rng = random.Random(seed)
+    points = set()
+    for _ in range(groups):
+        base = [rng.getrandbits(64) for _ in range(5)]
+        for _ in range(size):
+            now = list(base)
+            for _ in range(14):
+                now[rng.randrange(5)] ^= 1 << rng.randrange(64)
+            points.add((7, *now))
+    points = sorted(points)
+    rng.shuffle(points)
+    return np.array(points, np.uint64)
+
+
+def wanted_groups(points, most):
+    label = np.arange(len(points))
+    near = np.zeros((len(points), len(points)), bool)
+    for i, point in enumerate(points):
+        near[i] = np.bitwise_count(points ^ point).sum(1) <= most
+    while True:
+        lower = np.where(near, label[None, :], len(points)).min(1)
+        if (lower == label).all():
+            return {i: int(r) for i, r in enumerate(label) if (label == r).sum() > 1}
+        label = lower
+
+
+def test_a_cluster_that_nothing_parts_is_linked_without_holding_its_pairs():
+    points = dense(3, 1, 6000)
+    names = np.arange(len(points))
+    tracemalloc.start()
+    found = vptree.joined(vptree.links(points, names, 3, 0, 32))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert found == {i: 0 for i in range(len(points))}
+    assert peak < 150e6
+
+
+@pytest.mark.parametrize("most", [16, 20, 28])
+def test_a_cluster_of_many_groups_equals_brute_force(most):
+    points = dense(most, 90, 26)
+    names = np.arange(len(points))
+    found = vptree.joined(vptree.links(points, names, 3, 0, most))
+    assert found == wanted_groups(points, most)
+
+
+def test_an_overfull_shard_is_dealt_in_bounded_parts(spark):
+    points = dense(5, 40, 20)
+    numbers = np.arange(len(points))
+    shards, places = np.repeat([4, 5], [len(points), 10]), np.append(numbers, numbers[:10])
+    shards, places, parts = simhash.paired(shards, places, numbers, {4: 8})
+    sizes = Counter(zip(shards.tolist(), parts.tolist()))
+    assert sizes.pop((5, 0)) == 10
+    assert len(sizes) == 28 and max(sizes.values()) < 2.6 * len(points) / 8
+    met = {}
+    for place, part in zip(places[shards == 4].tolist(), parts[shards == 4].tolist()):
+        met.setdefault(place, set()).add(part)
+    assert all(met[a] & met[b] for a in met for b in met)
+    signed = points.view(np.int64).tolist()
+    schema = "point long, " + ", ".join(f"p{i} long" for i in range(6))
+    frame = spark.createDataFrame([(i, *row) for i, row in enumerate(signed)], schema)
+    links = simhash.linked(frame, 6, 3, 24, shard_points=100, sample_points=100).collect()
+    root = joined(len(points), [(r.a, r.b) for r in links])
+    found = {i: r for i, r in enumerate(root) if root.count(r) > 1}
+    assert found == wanted_groups(points, 24)
