@@ -1,6 +1,5 @@
 import os
 import sys
-from datetime import datetime, timezone
 
 import duckdb
 import pytest
@@ -45,15 +44,6 @@ def duck(sf_dir):
     return connection
 
 
-def utc(*parts):
-    return datetime(*parts, tzinfo=timezone.utc)
-
-
-def naive(moment):
-    """A collected timestamp (session zone UTC, but local in Python) as naive UTC."""
-    return moment.astimezone(timezone.utc).replace(tzinfo=None)
-
-
 @pytest.fixture
 def rows():
     """Collected rows as sorted tuples."""
@@ -63,9 +53,3 @@ def rows():
         return sorted((tuple(row) for row in frame.collect()), key=repr)
 
     return collect
-
-
-def plan_of(frame):
-    """The formatted physical plan."""
-    utils = frame.sparkSession._jvm.org.apache.spark.sql.api.python.PythonSQLUtils
-    return utils.explainString(frame._jdf.queryExecution(), "formatted")

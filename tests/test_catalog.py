@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from clickloom.operators import catalog, skew
 from clickloom.schemas import AD_CHANGES, ADS, ADVERTISERS
-from conftest import naive, utc
+from helpers import naive, utc
 
 BORN, NOW = utc(2026, 1, 1), utc(2026, 2, 1)
 

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from clickloom.operators import counting, filtering
 from clickloom.sources.clicks import parse_clicks
 from clickloom.sources.tables import read_counts, write_counts
-from conftest import naive, plan_of, utc
+from helpers import naive, plan_of, utc
 
 NOW = utc(2026, 9, 26, 12, 34, 56)
 MINUTE = "2026-09-26T12:30"

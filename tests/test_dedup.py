@@ -7,7 +7,7 @@ from hypothesis import given, settings, strategies as st
 from pyspark.sql import functions as F
 
 from clickloom.operators import dedup
-from conftest import plan_of, utc
+from helpers import plan_of, utc
 
 T0 = utc(2026, 9, 26, 12)
 SCHEMA = "click_id string, ad_id long, user_id string, attempted_at timestamp, dedup_ok boolean, produce string"

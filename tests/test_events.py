@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from clickloom.operators import filtering
 from clickloom.sources import clicks as source
-from conftest import naive, utc
+from helpers import naive, utc
 
 EVENT = {
     "click_id": "00c0ffee-0000-4000-8000-0000000000aa",

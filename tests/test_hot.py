@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from clickloom.operators import hot
-from conftest import naive, utc
+from helpers import naive, utc
 
 T0 = int(utc(2026, 9, 26, 12).timestamp())
 RULES = hot.HotRules()

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from clickloom.operators import measurement, percentiles
 from clickloom.sources import samples as source
-from conftest import plan_of, utc
+from helpers import plan_of, utc
 
 
 def nearest(values, p):

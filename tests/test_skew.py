@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from clickloom.operators import skew
-from conftest import plan_of
+from helpers import plan_of
 
 SMALL_PARTITIONS = {
     "spark.sql.autoBroadcastJoinThreshold": "-1",

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from clickloom.functions import timebuckets as tb
 from clickloom.functions.spans import SECONDS, Span, SpanError, asked_span
-from conftest import naive, utc
+from helpers import naive, utc
 
 MOMENTS = st.datetimes(
     datetime(1900, 1, 1), datetime(2200, 1, 1), timezones=st.sampled_from(

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from clickloom.operators import counting, dedup, hot
 from clickloom.sources.clicks import parse_clicks, read_click_files
 from clickloom.streaming import counts, sinks, stateful
-from conftest import naive, utc
+from helpers import naive, utc
 from test_counting import LINES, NOW, click
 from test_dedup import follow
 
