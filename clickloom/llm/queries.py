@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from clickloom.llm import (
+    chunked_bpe,
     decontaminate,
     licenses,
     lm,
@@ -437,3 +438,11 @@ def op9_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
         "score",
         "bits_per_byte",
     )
+
+
+@query("op13_byte_bpe")
+def op13_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents encoded by a file of ranks, and decoded again."""
+    ranks = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+    whole, parts = chunked_bpe.encode(table(spark, sf_dir, "documents"), ranks)
+    return chunked_bpe.digests(whole, parts, ranks).withColumnRenamed("key", "doc_id")
