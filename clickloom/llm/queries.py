@@ -14,8 +14,10 @@ from clickloom.llm import (
     licenses,
     lm,
     packing,
+    periodic,
     quality,
     simhash,
+    spelling,
     token_files,
     toxicity,
     urls,
@@ -446,3 +448,111 @@ def op13_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     ranks = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
     whole, parts = chunked_bpe.encode(table(spark, sf_dir, "documents"), ranks)
     return chunked_bpe.digests(whole, parts, ranks).withColumnRenamed("key", "doc_id")
+
+
+def _periodic_copy(docs: DataFrame) -> DataFrame:
+    """Every tenth document (by crc32 of its id, a null id as the empty text) made periodic from
+    word ``a`` on, with period ``p``."""
+    number = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary"))
+    split = F.filter(F.split("text", r"[\x20\x09-\x0D]+"), lambda word: word != "")
+    chosen = (number % 10 == 0).alias("chosen")
+    docs = docs.select("doc_id", "text", chosen, F.floor(number / 10).alias("g"))
+    docs = docs.withColumn("words", F.when(F.col("chosen"), split))
+    docs = docs.withColumn("n", F.size("words")).withColumn("a", F.expr("if(n > 0, g % n, 0)"))
+    docs = docs.withColumn("p", F.expr("1 + (n - a) div (3 + g % 8)"))
+    altered = F.expr(
+        "array_join(slice(concat(slice(words, 1, cast(a AS int)), flatten(array_repeat("
+        "slice(words, cast(a AS int) + 1, cast(p AS int)), cast((n - a) div p AS int) + 1))),"
+        " 1, n), ' ')"
+    )
+    text = F.when(F.col("chosen") & (F.col("n") > 0), altered).otherwise(F.col("text"))
+    return docs.select("doc_id", text.alias("text"))
+
+
+@query("op11_periodic_runs")
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Periodic runs of all documents: how many, the one with the most periods, and digests."""
+    found = periodic.find(_periodic_copy(table(spark, sf_dir, "documents")))
+    # More periods win; of equal ones the first in order stays.
+    best = F.aggregate(
+        F.slice("runs", 2, F.greatest(F.size("runs") - 1, F.lit(0))),
+        F.get("runs", F.lit(0)),
+        lambda top, run: F.when(
+            run["length"] * top["period"] > top["length"] * run["period"], run
+        ).otherwise(top),
+    )
+    lines = F.transform(
+        "runs",
+        lambda run: F.format_string("%d,%d,%d\n", run["start"], run["length"], run["period"]),
+    )
+    found = found.withColumn("best", best)
+    return found.select(
+        F.col("key").alias("doc_id"),
+        F.size("runs").cast("long").alias("n_runs"),
+        "best.start",
+        "best.length",
+        "best.period",
+        F.expr("1000 * best.length div best.period").alias("exponent_milli"),
+        F.sha2(F.array_join(lines, "").cast("binary"), 256).alias("runs_sha256"),
+        F.sha2(F.col("collapsed").cast("binary"), 256).alias("collapsed_sha256"),
+    )
+
+
+@query(
+    "op12_spelling_variants",
+    f"""
+    WITH RECURSIVE found AS (
+        SELECT doc_id, run, count(*) AS c FROM (
+            SELECT doc_id, unnest(regexp_extract_all({_LOWER.format("text")},
+                '[a-z\\x{{00C0}}-\\x{{00FF}}]+')) AS run FROM documents)
+        WHERE length(run) >= 7 GROUP BY ALL),
+    bytes AS (
+        SELECT run, c, hex(encode(coalesce(CAST(doc_id AS VARCHAR), '') || ':' || run)) AS digits
+        FROM found),
+    hashed AS (
+        SELECT run, c, xor(list_reduce(
+            list_prepend(4294967295::BIGINT, list_transform(range(1, length(digits), 2),
+                lambda i: CAST('0x' || substr(digits, i, 2) AS BIGINT))),
+            lambda crc, byte: list_reduce(
+                list_prepend(xor(crc, byte), CAST(range(8) AS BIGINT[])),
+                lambda d, bit: xor(d >> 1, 3988292384::BIGINT * (d & 1)))), 4294967295::BIGINT) AS h
+        FROM bytes),
+    words AS (
+        SELECT word, CAST(sum(c) AS BIGINT) AS n FROM (
+            SELECT c, CASE WHEN h % 31 = 0
+                THEN substr(run, 1, h % length(run)) || substr(run, h % length(run) + 2)
+                ELSE run END AS word FROM hashed)
+        WHERE length(word) >= 7 GROUP BY word HAVING sum(c) >= 2),
+    shorter AS (
+        SELECT word, n, i, substr(word, 1, i - 1) || substr(word, i + 1) AS rest
+        FROM (SELECT word, n, unnest(range(1, length(word) + 1)) AS i FROM words)),
+    near AS (
+        SELECT a.word, b.word AS other, b.n AS other_n FROM shorter a JOIN shorter b
+            ON a.rest = b.rest AND a.i = b.i AND a.word <> b.word
+        UNION SELECT s.word, w.word, w.n FROM shorter s JOIN words w ON s.rest = w.word
+        UNION SELECT w.word, s.word, s.n FROM shorter s JOIN words w ON s.rest = w.word),
+    ranked AS (
+        SELECT word, other, other_n, count(*) OVER (PARTITION BY word) AS n_near,
+            row_number() OVER (PARTITION BY word ORDER BY other_n DESC, encode(other)) AS place
+        FROM near),
+    formed AS (
+        SELECT w.word, w.n, coalesce(r.n_near, 0) AS n_near,
+            CASE WHEN r.other_n >= 10 * w.n THEN r.other END AS form,
+            CASE WHEN r.other_n >= 10 * w.n THEN r.other_n END AS form_n
+        FROM words w LEFT JOIN ranked r ON r.word = w.word AND r.place = 1),
+    led AS (
+        SELECT word, word AS root FROM formed WHERE form IS NULL
+        UNION ALL SELECT f.word, l.root FROM led l JOIN formed f ON f.form = l.word)
+    SELECT word, form, root, n, n_near, form_n FROM formed JOIN led USING (word)
+    """,
+)
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of all documents, some with a letter taken out by the crc32 of document and word,
+    with their near words and the form they lead to."""
+    runs = spelling.runs(table(spark, sf_dir, "documents"), "A-Za-z\u00c0-\u00ff", min_chars=7)
+    named = F.concat(F.coalesce(F.col("key").cast("string"), F.lit("")), F.lit(":"), "word")
+    hashed = F.crc32(named.cast("binary"))
+    short = spelling.without(F.col("word"), hashed % F.length("word"))
+    words = runs.select(F.when(hashed % 31 == 0, short).otherwise(F.col("word")).alias("word"))
+    counted = words.where(F.length("word") >= 7).groupBy("word").agg(F.count("*").alias("n"))
+    return spelling.group(counted.where("n >= 2"))
