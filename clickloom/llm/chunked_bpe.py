@@ -88,7 +88,7 @@ class Coder:
 
     _open: dict[tuple[str, str], "Coder"] = {}
 
-    def __init__(self, ranks: str, pattern: str, room: int = 400_000):
+    def __init__(self, ranks: str, pattern: str, room: int = 200_000):
         with open(ranks, "rb") as lines:
             pairs = (line.split() for line in lines)
             held = {base64.b64decode(token): int(rank) for token, rank in pairs}
@@ -144,11 +144,11 @@ def _whole(docs: DataFrame, ranks: str, pattern: str) -> DataFrame:
     def coded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = Coder.open(ranks, pattern)
         for batch in batches:
-            texts = batch.column(1).to_pylist()
-            ids = [coder.encode(coder.pieces(text)) if text else b"" for text in texts]
-            count = len(texts)
-            keys = batch.column(0).to_pylist()
-            yield _batch(_PARTS, [None] * count, keys, [0] * count, ids)
+            for at in range(0, batch.num_rows, 512):
+                few = batch.slice(at, 512)
+                texts, keys = few.column(1).to_pylist(), few.column(0).to_pylist()
+                ids = [coder.encode(coder.pieces(text)) if text else b"" for text in texts]
+                yield _batch(_PARTS, [None] * len(ids), keys, [0] * len(ids), ids)
 
     return docs.mapInArrow(coded, _PARTS)
 
