@@ -37,8 +37,8 @@ def attempts(spark: SparkSession, sf_dir: str, shape: str = "sparse") -> DataFra
     return attempts_of(table(spark, sf_dir, "events"), shape)
 
 
-def attempts_of(events: DataFrame, shape: str = "sparse") -> DataFrame:
-    """Events (a table or a stream) as click attempts.
+def attempts_of(events: DataFrame, shape: str = "sparse", *more: str) -> DataFrame:
+    """Events (a table or a stream) as click attempts, with ``more`` of their columns.
 
     ``sparse``: 100 ads, 20 of them unknown. ``dense``: 5 ads. ``hot_ad``: as sparse, but a third
     of all attempts are on one ad. ``hot_key``: as dense, but a third are by one user on one ad.
@@ -64,6 +64,7 @@ def attempts_of(events: DataFrame, shape: str = "sparse") -> DataFrame:
         F.col("ts").alias("attempted_at"),
         (F.pmod(event_id, F.lit(97)) != 0).alias("dedup_ok"),
         produce.alias("produce"),
+        *more,
     )
 
 
@@ -71,13 +72,13 @@ def clicks(spark: SparkSession, sf_dir: str, shape: str = "sparse", nulls: bool
     return clicks_of(table(spark, sf_dir, "events"), shape, nulls)
 
 
-def clicks_of(events: DataFrame, shape: str = "sparse", nulls: bool = False) -> DataFrame:
+def clicks_of(events: DataFrame, shape: str = "sparse", nulls: bool = False, *more: str) -> DataFrame:
     """Attempts as click events; with ``nulls`` some lack a salt and so are malformed."""
     event_id = F.col("click_id").cast("long")
     salt = F.pmod(event_id, F.lit(12)).cast("int")
     if nulls:
         salt = F.when(F.pmod(event_id, F.lit(50)) != 0, salt)
-    return attempts_of(events, shape).select(
+    return attempts_of(events, shape, *more).select(
         "click_id",
         "ad_id",
         _owner(F.col("ad_id")).alias("advertiser_id"),
@@ -85,6 +86,7 @@ def clicks_of(events: DataFrame, shape: str = "sparse", nulls: bool = False) ->
         "user_id",
         F.col("attempted_at").alias("clicked_at"),
         F.lit("receiver-0").alias("receiver"),
+        *more,
     )
 
 

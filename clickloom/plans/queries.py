@@ -50,6 +50,7 @@ AD = 47
 
 HOT_RULES = hot.HotRules(bucket_seconds=3600, threshold=36, ttl_seconds=36_000, stretch_buckets=48)
 HOT_AS_OF = "2024-01-20 12:00:00"
+SPARSE_TTL = 86_400
 
 
 def _with_click_id(clicks: DataFrame, **columns: Column) -> DataFrame:
@@ -886,7 +887,7 @@ FROM ({walk_sql(shape, ttl_seconds)}) w LEFT JOIN ({_ACTIVE_SQL}) ad ON w.ad_id
 """
 
 
-@query("classify_attempts", _classified_sql("sparse", 86_400))
+@query("classify_attempts", _classified_sql('sparse', SPARSE_TTL))
 def _classify_attempts(spark: SparkSession, sf_dir: str) -> DataFrame:
     classified = dedup.classify_attempts(
         inputs.attempts(spark, sf_dir), inputs.ads(spark, sf_dir), 86_400
@@ -897,7 +898,7 @@ def _classify_attempts(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     "outcome_counts",
     f"""
-SELECT status, ad_id % 5 = 0 AS hot, count(*) AS attempts FROM ({_classified_sql('sparse', 86_400)}) GROUP BY ALL
+SELECT status, ad_id % 5 = 0 AS hot, count(*) AS attempts FROM ({_classified_sql('sparse', SPARSE_TTL)}) GROUP BY ALL
 """,
 )
 def _outcome_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -1041,17 +1042,17 @@ def _hot_share(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # -- the whole way from attempt to event ------------------------------------------------------
 
-_SPARSE_RULES = hot.HotRules(
+SPARSE_RULES = hot.HotRules(
     bucket_seconds=3600, threshold=4, ttl_seconds=36_000, permanent_after=3, stretch_buckets=48
 )
 _FOLLOWED_SQL = f"""
 SELECT click_id, ad_id, advertiser_id, user_id, attempted_at AS clicked_at, status
-FROM ({_classified_sql('sparse', 86_400)})
+FROM ({_classified_sql('sparse', SPARSE_TTL)})
 """
 _FOLLOWED_HOT_SQL = f"""
 WITH followed AS MATERIALIZED ({_FOLLOWED_SQL}),
      intervals AS MATERIALIZED (
-       {_intervals_sql("SELECT * FROM followed WHERE status = 'accepted'", _SPARSE_RULES)}),
+       {_intervals_sql("SELECT * FROM followed WHERE status = 'accepted'", SPARSE_RULES)}),
      since AS (SELECT ad_id, min(marked_at) AS since FROM intervals WHERE permanent GROUP BY 1)
 SELECT c.*,
        EXISTS (SELECT 1 FROM intervals i WHERE i.ad_id = c.ad_id AND c.clicked_at >= i.marked_at
@@ -1062,7 +1063,7 @@ FROM followed c
 
 
 def _accept(spark: SparkSession, sf_dir: str) -> Accepted:
-    return accept(inputs.attempts(spark, sf_dir), inputs.ads(spark, sf_dir), _SPARSE_RULES, 86_400)
+    return accept(inputs.attempts(spark, sf_dir), inputs.ads(spark, sf_dir), SPARSE_RULES, SPARSE_TTL)
 
 
 @query(

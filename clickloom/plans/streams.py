@@ -9,9 +9,11 @@ from pyspark.sql.streaming import StreamingQuery
 
 from clickloom.operators.hot import HotRules
 from clickloom.plans import inputs
+from clickloom.plans import queries as registry
 from clickloom.plans.queries import HOT_RULES, counts_sql, hot_markings_sql, query, walk_sql
 from clickloom.session import scratch_path
-from clickloom.streaming import counts, sinks, stateful
+from clickloom.streaming import accept, counts, sinks, stateful
+from clickloom.streaming.log import VersionedLog
 
 # Where the month of events is cut.
 CUTS = ("2024-01-08", "2024-01-20")
@@ -35,6 +37,40 @@ def arrive(spark: SparkSession, sf_dir: str, start: Callable[[DataFrame], Stream
         start(stream).awaitTermination()
 
 
+# Arrivals out of order: up to so late, and some long before their own time.
+LATEST = "20 hours"
+AHEAD = "2 days"
+DELAY = "21 hours"
+
+
+def arrive_disordered(
+    spark: SparkSession, sf_dir: str, start: Callable[[DataFrame], StreamingQuery]
+) -> None:
+    """As :func:`arrive`, but by ``arrived_at``: every event is late by its own hash, one in forty
+    is dated ahead. A last row without an event lets the clock go on."""
+    events = inputs.table(spark, sf_dir, "events")
+    spread = F.pmod(F.xxhash64("event_id"), F.lit(72_000))
+    late = F.col("ts").cast("timestamp") + F.make_dt_interval(secs=spread)
+    early = F.col("ts").cast("timestamp") - F.expr(f"INTERVAL {AHEAD}")
+    arrived = F.when(spread % 40 == 0, early).otherwise(late)
+    events = events.withColumn("arrived_at", arrived)
+    folder = scratch_path(spark, "arrivals")
+    bounds = [None, *(F.lit(cut).cast("timestamp") for cut in CUTS), None]
+    for low, high in zip(bounds, bounds[1:]):
+        step = events
+        if low is not None:
+            step = step.where(F.col("arrived_at") >= low)
+        if high is not None:
+            step = step.where(F.col("arrived_at") < high)
+        if high is None:
+            over = F.lit("2024-12-31 00:00:00").cast("timestamp")
+            nothing = [F.lit(None).cast(f.dataType).alias(f.name) for f in events.schema[:-1]]
+            step = step.unionByName(spark.range(1).select(*nothing, over.alias("arrived_at")))
+        step.write.mode("append").parquet(folder)
+        stream = spark.readStream.schema(events.schema).parquet(folder)
+        start(stream).awaitTermination()
+
+
 @query(
     "stream_minute_counts",
     f"""
@@ -62,14 +98,17 @@ def _stream_minute_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _logged(
-    spark: SparkSession, sf_dir: str, job: Callable[[DataFrame], DataFrame], mode: str
+    spark: SparkSession,
+    sf_dir: str,
+    job: Callable[[DataFrame], DataFrame],
+    arrivals: Callable[..., None] = arrive,
 ) -> DataFrame:
     log, checkpoint = scratch_path(spark, "log"), scratch_path(spark, "checkpoint")
 
     def start(events: DataFrame) -> StreamingQuery:
-        return sinks.start_log(job(events), log, checkpoint, mode, available_now=True)
+        return sinks.start_log(job(events), log, checkpoint, "append", available_now=True)
 
-    arrive(spark, sf_dir, start)
+    arrivals(spark, sf_dir, start)
     return spark.read.parquet(log).drop("batch_id")
 
 
@@ -78,7 +117,7 @@ def _stream_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     def job(events: DataFrame) -> DataFrame:
         return stateful.stream_dedup(inputs.attempts_of(events, "dense"), 86_400, 864_000)
 
-    return _logged(spark, sf_dir, job, "append")
+    return _logged(spark, sf_dir, job)
 
 
 @query("stream_hot", hot_markings_sql())
@@ -88,4 +127,66 @@ def _stream_hot(spark: SparkSession, sf_dir: str) -> DataFrame:
     def job(events: DataFrame) -> DataFrame:
         return stateful.stream_hot(inputs.clicks_of(events, "dense"), rules)
 
-    return stateful.latest_markings(_logged(spark, sf_dir, job, "update"), rules)
+    return stateful.latest_markings(_logged(spark, sf_dir, job), rules)
+
+
+@query("stream_dedup_disorder", walk_sql("dense", 86_400))
+def _stream_dedup_disorder(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Statuses of attempts that come late, early and in any order: those of the batch."""
+
+    def job(events: DataFrame) -> DataFrame:
+        attempts = inputs.attempts_of(events, "dense", "arrived_at")
+        return stateful.stream_dedup(
+            attempts, 86_400, 864_000, delay=DELAY, clock="arrived_at", in_order=True
+        )
+
+    return _logged(spark, sf_dir, job, arrive_disordered)
+
+
+@query("stream_hot_disorder", hot_markings_sql())
+def _stream_hot_disorder(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Markings from clicks that come late, early and in any order: those of the batch."""
+    rules: HotRules = HOT_RULES
+
+    def job(events: DataFrame) -> DataFrame:
+        clicks = inputs.clicks_of(events, "dense", False, "arrived_at")
+        return stateful.stream_hot(clicks, rules, delay=DELAY, clock="arrived_at", in_order=True)
+
+    return stateful.latest_markings(_logged(spark, sf_dir, job, arrive_disordered), rules)
+
+
+def _accepting(spark: SparkSession, sf_dir: str) -> VersionedLog:
+    """The log of the accepting job over disordered arrivals and two restarts."""
+    path, checkpoint = scratch_path(spark, "accepted"), scratch_path(spark, "checkpoint")
+    ads = inputs.ads(spark, sf_dir)
+
+    def start(events: DataFrame) -> StreamingQuery:
+        outcomes = accept.stream_outcomes(
+            inputs.attempts_of(events, "sparse", "arrived_at"),
+            ads,
+            rules=registry.SPARSE_RULES,
+            ttl_seconds=registry.SPARSE_TTL,
+            keep_state_seconds=10 * registry.SPARSE_TTL,
+            delay=DELAY,
+            clock="arrived_at",
+        )
+        return accept.start_accepting(outcomes, path, checkpoint, available_now=True)
+
+    arrive_disordered(spark, sf_dir, start)
+    return VersionedLog(spark, path)
+
+
+@query("stream_accepted_events", registry.ORACLES["accepted_events"])
+def _stream_accepted_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Attempt to event in one job: the records of the batch."""
+    return _accepting(spark, sf_dir).read("records", "key string, value string")
+
+
+@query("stream_attempt_outcomes", registry.ORACLES["attempt_outcomes"])
+def _stream_attempt_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The status and the hot tag of every attempt, from the same job."""
+    return _accepting(spark, sf_dir).read(
+        "outcomes",
+        "click_id string, ad_id long, advertiser_id long, user_id string, clicked_at timestamp,"
+        " status string, hot boolean",
+    )

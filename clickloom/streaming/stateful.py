@@ -1,19 +1,28 @@
-"""Keyed state over streams: duplicate clicks and hot ads.
+"""Keyed state over streams: duplicate clicks, hot ads, and the hot tag.
 
-Both follow their batch twins in ``operators`` on input that arrives in time order.
+Each comes in two forms. One answers at once and follows its batch twin on input in time order. The
+other holds input back until the watermark has passed its time and then takes it in order of time
+across micro-batches: it equals the batch result on input as disordered as the watermark's delay.
+
+The watermark runs on the time held back to the clock (when a row arrived), so that what is dated ahead
+waits for its own time and pushes nothing else out. No row is dropped as late: one that comes after
+its time has been answered meets the state as it is then. A row without a time of its own only moves
+the clock, for sources that fall silent. State leaves by timers on the watermark, never by the wall
+clock, so a job that was stopped goes on where it was.
 """
 
 from __future__ import annotations
 
 import sys
-import time
 from bisect import bisect
 from collections.abc import Iterator
+from itertools import groupby
 
 import pandas as pd
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame, Row, functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql.types import StructType
 
 from clickloom.functions.timebuckets import floor_to
 from clickloom.operators.hot import HotRules
@@ -22,31 +31,78 @@ from clickloom.session import ROCKSDB_PROVIDER
 # Executors need not have this package: its classes travel with the job.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
-STATUS_SCHEMA = "click_id string, ad_id long, user_id string, attempted_at timestamp, status string"
 MARKING_SCHEMA = "ad_id long, mark_no long, first long, last long"
+MICROS = 1_000_000
+
+
+def on_clock(stream: DataFrame, time: str, delay: str, clock: str | None = None) -> DataFrame:
+    """The stream under a watermark on ``time`` held back to the clock: the column ``clock``, or
+    the micro-batch's time. Rows without a time go once they have moved it.
+
+    The watermark's column goes too: the state then sees late rows, which Spark would drop.
+    """
+    now = F.current_timestamp() if clock is None else F.col(clock)
+    seen = stream.withColumn("_seen", F.least(F.col(time), now)).withWatermark("_seen", delay)
+    # The test names the watermark's column, so that it stays behind the watermark.
+    return seen.where(F.when(F.col("_seen").isNotNull(), F.col(time).isNotNull())).drop("_seen")
 
 
 class ClaimProcessor(StatefulProcessor):
-    """Holds the claims of one (ad, user) that a click may still meet and labels each attempt.
+    """Holds the claims of one (ad, user) that an attempt may still meet and labels each attempt.
 
     Claims are kept in order of time, however they arrive: neither a click dated ahead nor a late
-    one hides the others. Old ones go by click time, counted from the latest claim that is not
-    ahead of the clock, so a key holds at most ``keep / ttl`` claims and those ahead.
+    one hides the others. A claim goes when the watermark is ``keep`` past it. With ``step_ms``,
+    attempts wait until the watermark has passed the step of time they lie in.
     """
 
-    def __init__(self, ttl_seconds: int, keep_seconds: int, idle_ms: int):
-        self.ttl = ttl_seconds * 1_000_000
-        self.keep = keep_seconds * 1_000_000
-        self.idle_ms = idle_ms
+    def __init__(self, ttl_seconds: int, keep_seconds: int, columns: list[str], schema: str, step_ms: int):
+        self.ttl = ttl_seconds * MICROS
+        self.keep_ms = keep_seconds * 1000
+        self.columns, self.schema = columns, schema
+        self.step = step_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        # The store's own expiry runs on the wall clock and frees keys that have long been idle.
-        self.claims = handle.getValueState("claims", "t array<bigint>", self.idle_ms)
+        self.handle = handle
+        self.claims = handle.getValueState("claims", "t array<bigint>")
+        self.waiting = handle.getListState("waiting", self.schema) if self.step else None
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
+        if not self.step:
+            yield from self._labelled(rows)
+            return
+        held = [tuple(row[name] for name in self.columns) for row in rows]
+        t = self.columns.index("t")
+        for end in {(row[t] // 1000 // self.step + 1) * self.step for row in held}:
+            self.handle.registerTimer(end)
+        self.waiting.appendList(held)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
+        watermark = timerValues.getCurrentWatermarkInMs()
+        if self.step and self.waiting.exists():
+            bound = watermark // self.step * self.step
+            t = self.columns.index("t")
+            every = [tuple(row) for row in self.waiting.get()]
+            due = [row for row in every if row[t] // 1000 < bound]
+            if due:
+                left = [row for row in every if row[t] // 1000 >= bound]
+                if left:
+                    self.waiting.put(left)
+                else:
+                    self.waiting.clear()
+                yield from self._labelled(Row(*self.columns)(*row) for row in due)
+        claims = self._held()
+        kept = [t for t in claims if t // 1000 + self.keep_ms >= watermark]
+        if kept and len(kept) < len(claims):
+            self.claims.update((kept,))
+        elif claims and not kept:
+            self.claims.clear()
+
+    def _held(self) -> list[int]:
         held = self.claims.get()
-        claims = [] if held is None else list(held[0])
-        changed = False
+        return [] if held is None else list(held[0])
+
+    def _labelled(self, rows) -> Iterator[Row]:
+        claims, changed = self._held(), False
         for row in sorted(rows, key=lambda r: (r.t, r.tie)):
             status = "accepted" if row.produce == "ack" else row.produce
             if row.dedup_ok:
@@ -55,123 +111,271 @@ class ClaimProcessor(StatefulProcessor):
                     status = "duplicate"
                 elif row.produce == "ack":
                     claims.insert(place, row.t)
+                    self.handle.registerTimer(row.t // 1000 + self.keep_ms + 1)
                     changed = True
-            yield Row(
-                click_id=row.click_id,
-                ad_id=row.ad_id,
-                user_id=row.user_id,
-                attempted_at=row.attempted_at,
-                status=status,
-            )
+            yield Row(**{name: row[name] for name in self.columns}, status=status)
         if changed:
-            past = bisect(claims, int(time.time() * 1_000_000))
-            bound = claims[past - 1] - self.keep if past else claims[0]
-            self.claims.update(([t for t in claims if t >= bound],))
+            self.claims.update((claims,))
 
     def close(self) -> None:
         pass
 
 
+def stream_statuses(
+    attempts: DataFrame, ttl_seconds: int, keep_state_seconds: int, step_ms: int
+) -> DataFrame:
+    """Attempts (under :func:`on_clock`) with their ``status``, all columns kept; append mode."""
+    if keep_state_seconds <= ttl_seconds:
+        raise ValueError("keep_state_seconds must exceed ttl_seconds")
+    _state_settings(attempts)
+    numbered = attempts.withColumns(
+        {"t": F.unix_micros("attempted_at"), "tie": F.xxhash64("click_id")}
+    ).drop("attempted_at")
+    schema = _ddl(numbered.schema)
+    processor = ClaimProcessor(
+        ttl_seconds, keep_state_seconds, numbered.columns, schema, step_ms
+    )
+    labelled = numbered.groupBy("ad_id", "user_id").transformWithState(
+        processor, f"{schema}, status string", "append", "EventTime"
+    )
+    moment = F.timestamp_micros("t").alias("attempted_at")
+    return labelled.select(*[moment if c == "attempted_at" else c for c in attempts.columns], "status")
+
+
 def stream_dedup(
     attempts: DataFrame,
     ttl_seconds: int = 600,
     keep_state_seconds: int = 86_400,
-    idle_seconds: int = 30 * 86_400,
+    delay: str = "0 seconds",
+    clock: str | None = None,
+    in_order: bool = False,
 ) -> DataFrame:
     """Label a stream of attempts; append mode. Claims are compared by click time.
 
-    An attempt within a ttl of a claim, before or after it, is a duplicate of it. Claims are kept
-    for ``keep_state_seconds`` of click time, which must exceed the ttl by any delay of the stream;
-    a key without any claim for ``idle_seconds`` by the clock is forgotten.
+    An attempt within a ttl of a claim, before or after it, is a duplicate of it. At once, or with
+    ``in_order`` when the watermark, ``delay`` behind the clock, has passed the attempt: then the
+    labels are those of the batch. Claims are kept for ``keep_state_seconds`` behind the watermark,
+    which must exceed the ttl, and the ttl by any lateness beyond the delay.
     """
-    if keep_state_seconds <= ttl_seconds:
-        raise ValueError("keep_state_seconds must exceed ttl_seconds")
-    _state_settings(attempts, expires=True)
-    return (
-        attempts.withColumns({"t": F.unix_micros("attempted_at"), "tie": F.xxhash64("click_id")})
-        .groupBy("ad_id", "user_id")
-        .transformWithState(
-            ClaimProcessor(ttl_seconds, keep_state_seconds, idle_seconds * 1000),
-            STATUS_SCHEMA,
-            "append",
-            "ProcessingTime",
+    timed = on_clock(attempts, "attempted_at", delay, clock)
+    found = stream_statuses(timed, ttl_seconds, keep_state_seconds, 1 if in_order else 0)
+    return found.select("click_id", "ad_id", "user_id", "attempted_at", "status")
+
+
+class AdHeat:
+    """Bucket counts and marks of one ad: each instant adds its clicks and may start or extend a mark."""
+
+    #: Number, first and last instant of the newest mark; the same instants of the mark before;
+    #: when the ad became hot for good. -1 where there is none.
+    NONE = (0, -1, -1, -1, -1, -1)
+    SCHEMA = "mark_no long, first long, last long, old_first long, old_last long, since long"
+
+    def __init__(self, rules: HotRules, counts: dict[int, int], mark: tuple):
+        self.rules, self.counts, self.mark = rules, counts, mark
+        self.touched: set[int] = set()
+        self.changes: dict[int, tuple[int, int]] = {}
+
+    def add(self, t: int, n: int) -> None:
+        rules = self.rules
+        bucket = t // rules.bucket_seconds
+        self.counts[bucket] = self.counts.get(bucket, 0) + n
+        self.touched.add(bucket)
+        total = sum(self.counts.get(bucket - back, 0) for back in range(rules.window_buckets))
+        if total < rules.threshold:
+            return
+        number, first, last, old_first, old_last, since = self.mark
+        if number == 0 or t - last >= rules.ttl_seconds:
+            number, old_first, old_last, first, last = number + 1, first, last, t, t
+            since = t if number == rules.permanent_after else since
+        else:
+            last = max(last, t)
+        self.mark = (number, first, last, old_first, old_last, since)
+        self.changes[number] = (first, last)
+
+    def hot_at(self, micros: int, visible_after: int) -> bool:
+        _, first, last, old_first, old_last, since = self.mark
+        if since >= 0 and micros >= (since + visible_after) * MICROS:
+            return True
+        return any(
+            start >= 0
+            and (start + visible_after) * MICROS <= micros <= (end + self.rules.ttl_seconds) * MICROS
+            for start, end in ((first, last), (old_first, old_last))
         )
-    )
 
 
-class HotProcessor(StatefulProcessor):
-    """Bucket counts and the current marking of one ad."""
+class HotState(StatefulProcessor):
+    """The heat of one ad as state. A bucket goes when the watermark has passed all windows it is
+    in; the marks stay, as their number decides when an ad is hot for good."""
 
-    def __init__(self, bucket_seconds: int, window_buckets: int, threshold: int, ttl_seconds: int):
-        self.bucket_seconds = bucket_seconds
-        self.window_buckets = window_buckets
-        self.threshold = threshold
-        self.ttl = ttl_seconds
+    def __init__(self, rules: HotRules):
+        self.rules = rules
 
     def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
         self.buckets = handle.getMapState("buckets", "bucket long", "n long")
-        self.mark = handle.getValueState("mark", "mark_no long, first long, last long")
+        self.mark = handle.getValueState("mark", AdHeat.SCHEMA)
 
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
+    def heat(self) -> AdHeat:
         counts = {bucket[0]: n[0] for bucket, n in self.buckets.iterator()}
-        known = set(counts)
-        touched = set()
-        mark_no, first, last = self.mark.get() or (0, 0, 0)
-        changed = False
-        finished = []
-        for row in sorted(rows, key=lambda r: r.t):
-            bucket = row.t // self.bucket_seconds
-            counts[bucket] = counts.get(bucket, 0) + row.n
-            touched.add(bucket)
-            total = sum(counts.get(bucket - back, 0) for back in range(self.window_buckets))
-            if total < self.threshold:
-                continue
-            if mark_no == 0 or row.t - last >= self.ttl:
-                if changed:
-                    finished.append((mark_no, first, last))
-                mark_no, first, last = mark_no + 1, row.t, row.t
-            else:
-                last = max(last, row.t)
-            changed = True
-        # Buckets no later window can reach, by the latest click that is not ahead of the clock.
-        present = int(time.time()) // self.bucket_seconds
-        latest = max((bucket for bucket in counts if bucket <= present), default=None)
-        bound = None if latest is None else latest - self.window_buckets
-        expired = {bucket for bucket in counts if bound is not None and bucket <= bound}
-        for bucket in expired & known:
-            self.buckets.removeKey((bucket,))
-        for bucket in touched - expired:
-            self.buckets.updateValue((bucket,), (counts[bucket],))
-        if changed:
-            self.mark.update((mark_no, first, last))
-            finished.append((mark_no, first, last))
-        for number, start, end in finished:
-            yield Row(ad_id=key[0], mark_no=number, first=start, last=end)
+        held = self.mark.get()
+        return AdHeat(self.rules, counts, AdHeat.NONE if held is None else tuple(held))
+
+    def keep(self, heat: AdHeat) -> None:
+        for bucket in heat.touched:
+            self.buckets.updateValue((bucket,), (heat.counts[bucket],))
+            self.handle.registerTimer(self._end(bucket))
+        if heat.changes:
+            self.mark.update(heat.mark)
+
+    def evict(self, watermark: int) -> None:
+        for bucket in [bucket[0] for bucket, _ in self.buckets.iterator()]:
+            if self._end(bucket) <= watermark:
+                self.buckets.removeKey((bucket,))
+
+    def _end(self, bucket: int) -> int:
+        return (bucket + self.rules.window_buckets) * self.rules.bucket_seconds * 1000
 
     def close(self) -> None:
         pass
 
 
+class HotProcessor(HotState):
+    """Marking changes of one ad, from its clicks by instant; at once, or once an instant is over."""
+
+    def __init__(self, rules: HotRules, in_order: bool):
+        super().__init__(rules)
+        self.in_order = in_order
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        super().init(handle)
+        self.waiting = handle.getMapState("waiting", "t long", "n long")
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
+        sums: dict[int, int] = {}
+        for row in rows:
+            sums[row.t] = sums.get(row.t, 0) + row.n
+        if not self.in_order:
+            yield from self._marked(key, sums)
+            return
+        for t, n in sums.items():
+            held = self.waiting.getValue((t,)) if self.waiting.containsKey((t,)) else (0,)
+            self.waiting.updateValue((t,), (held[0] + n,))
+            self.handle.registerTimer((t + self.rules.resolution) * 1000)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
+        watermark = timerValues.getCurrentWatermarkInMs()
+        if self.in_order:
+            over = {
+                t[0]: n[0]
+                for t, n in self.waiting.iterator()
+                if (t[0] + self.rules.resolution) * 1000 <= watermark
+            }
+            for t in over:
+                self.waiting.removeKey((t,))
+            if over:
+                yield from self._marked(key, over)
+        self.evict(watermark)
+
+    def _marked(self, key, sums: dict[int, int]) -> Iterator[Row]:
+        heat = self.heat()
+        for t in sorted(sums):
+            heat.add(t, sums[t])
+        self.keep(heat)
+        for number, (first, last) in heat.changes.items():
+            yield Row(ad_id=key[0], mark_no=number, first=first, last=last)
+
+
 def _combine(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
         yield batch.groupby(["ad_id", "t"], as_index=False)["n"].sum()
 
 
-def stream_hot(clicks: DataFrame, rules: HotRules = HotRules(), at: str = "clicked_at") -> DataFrame:
+def stream_hot(
+    clicks: DataFrame,
+    rules: HotRules = HotRules(),
+    at: str = "clicked_at",
+    delay: str = "0 seconds",
+    clock: str | None = None,
+    in_order: bool = False,
+) -> DataFrame:
     """Markings as they start or extend, ``(ad_id, mark_no, first, last)`` in epoch seconds.
 
-    Update mode; the last row of a mark holds. Clicks of one ad and instant are combined before
-    the shuffle, batch by batch, so a hot ad reaches its state as a few rows.
+    Append mode; the last row of a mark holds. Clicks of one ad and instant are combined before
+    the shuffle, batch by batch, so a hot ad reaches its state as a few rows. With ``in_order`` an
+    instant counts when the watermark, ``delay`` behind the clock, has passed it.
     """
-    _state_settings(clicks, expires=False)
+    _state_settings(clicks)
+    timed = on_clock(clicks, at, delay, clock)
     instant = floor_to(F.unix_seconds(at), rules.resolution)
-    combined = clicks.select("ad_id", instant.alias("t"), F.lit(1).cast("long").alias("n")).mapInPandas(
+    combined = timed.select("ad_id", instant.alias("t"), F.lit(1).cast("long").alias("n")).mapInPandas(
         _combine, "ad_id long, t long, n long"
     )
-    processor = HotProcessor(
-        rules.bucket_seconds, rules.window_buckets, rules.threshold, rules.ttl_seconds
+    return combined.groupBy("ad_id").transformWithState(
+        HotProcessor(rules, in_order), MARKING_SCHEMA, "append", "EventTime"
     )
-    return combined.groupBy("ad_id").transformWithState(processor, MARKING_SCHEMA, "update", "None")
+
+
+class TagProcessor(HotState):
+    """The last step of an attempt: its ad as the catalogue had it then, and whether it was hot.
+
+    Rows are attempts with their status, in order of time across micro-batches, or versions of the
+    ad (``version``), each valid from its own time on. Only accepted attempts on an active ad count.
+    """
+
+    def __init__(self, rules: HotRules, visible_after: int, columns: list[str]):
+        super().__init__(rules)
+        self.visible_after, self.columns = visible_after, columns
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        super().init(handle)
+        self.ads = handle.getListState(
+            "ads", "since long, advertiser_id long, redirect_url string, active boolean"
+        )
+
+    def handleInitialState(self, key, initialState, timerValues) -> None:
+        self.ads.appendValue(
+            (-(2**62), initialState.advertiser_id, initialState.redirect_url, initialState.active)
+        )
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
+        attempts, versions = [], []
+        for row in rows:
+            (versions if row.version else attempts).append(row)
+        ads = [tuple(ad) for ad in self.ads.get()] if self.ads.exists() else []
+        if versions:
+            ads += [(v.t, v.advertiser_id, v.redirect_url, v.active) for v in versions]
+            ads.sort(key=lambda ad: ad[0])
+            # Attempts older than the watermark are answered: of older versions the last is enough.
+            old = timerValues.getCurrentWatermarkInMs() * 1000
+            past = max(bisect([ad[0] for ad in ads], old) - 1, 0)
+            ads = ads[past:]
+            self.ads.put(ads)
+        if not attempts:
+            return
+        since = [ad[0] for ad in ads]
+        heat, resolution = self.heat(), self.rules.resolution
+        attempts.sort(key=lambda row: (row.t, row.tie))
+        for instant, group in groupby(attempts, lambda row: row.t // MICROS // resolution * resolution):
+            answered = []
+            for row in group:
+                place = bisect(since, row.t)
+                ad = ads[place - 1] if place else None
+                known = ad is not None and ad[3]
+                answered.append((row, row.status if known else "not_found", ad if known else None))
+            accepted = sum(status == "accepted" for _, status, _ in answered)
+            if accepted:
+                heat.add(instant, accepted)
+            for row, status, ad in answered:
+                values = {name: row[name] for name in self.columns}
+                values["status"] = status
+                values["advertiser_id"] = ad[1] if ad else None
+                values["redirect_url"] = ad[2] if ad else None
+                yield Row(**values, hot=heat.hot_at(row.t, self.visible_after))
+        self.keep(heat)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
+        self.evict(timerValues.getCurrentWatermarkInMs())
+        return iter(())
 
 
 def latest_markings(changes: DataFrame, rules: HotRules = HotRules()) -> DataFrame:
@@ -194,13 +398,10 @@ def drop_exact_copies(clicks: DataFrame, within: str = "10 minutes") -> DataFram
     return clicks.withWatermark("clicked_at", within).dropDuplicatesWithinWatermark(["click_id"])
 
 
-def _state_settings(stream: DataFrame, expires: bool) -> None:
-    """Session settings the stateful queries need when they start.
+def _ddl(schema: StructType) -> str:
+    return ", ".join(f"`{field.name}` {field.dataType.simpleString()}" for field in schema)
 
-    With state that expires by the wall clock Spark would otherwise run batch after batch
-    without data, and an ``availableNow`` run would never end. Here state expires with the data.
-    """
-    conf = stream.sparkSession.conf
-    conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB_PROVIDER)
-    if expires:
-        conf.set("spark.sql.streaming.noDataMicroBatches.enabled", "false")
+
+def _state_settings(stream: DataFrame) -> None:
+    """The state store that these processors need when they start."""
+    stream.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB_PROVIDER)
