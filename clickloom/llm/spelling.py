@@ -23,6 +23,7 @@ from __future__ import annotations
 
 import itertools
 import math
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -171,7 +172,7 @@ def _verified(left: _Table, i: np.ndarray, right: _Table, j: np.ndarray) -> np.n
 
 def _alike_halves(
     looked: list[str], q: np.ndarray, held: list[str], low: int, high: int
-) -> tuple[np.ndarray, np.ndarray]:
+) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Of words with one vector, the pairs that share their first or their second half: one
     letter leaves one half alone. For a leaf that no group of letters divides."""
     index: dict[tuple, list[int]] = {}
@@ -181,67 +182,75 @@ def _alike_halves(
             half = size // 2
             index.setdefault((size, 0, word[:half]), []).append(s)
             index.setdefault((size, 1, word[len(word) - (size - half) :]), []).append(s)
-    pairs = []
     for at in q.tolist():
         word = looked[at]
         half = len(word) // 2
         found = {*index.get((len(word), 0, word[:half]), ())}
         found.update(index.get((len(word), 1, word[half:]), ()))
-        pairs += [(at, s) for s in found]
-    table = np.array(pairs, np.int64).reshape(-1, 2)
-    return table[:, 0], table[:, 1]
-
-
-def near_pairs(
-    held: list[str], looked: list[str], order: list[int]
-) -> tuple[np.ndarray, np.ndarray]:
-    """All pairs of a word looked for and a word held that are one letter apart."""
-    counts = vectors(held, order)
-    rows = np.ascontiguousarray(counts.astype(">u4")).view(f"S{4 * GROUPS}").ravel()
-    ranked = np.argsort(rows, kind="stable")
-    held = [held[i] for i in ranked.tolist()]
-    trie, wanted = counts[ranked], vectors(looked, order)
-    left, right = _Table(looked), _Table(held)
-    marks, asked, one = _marks(trie), _marks(wanted), np.uint64(1)
-    found = []
-
-    def leaf(low, high, q):
-        if high - low > LEAF:
-            found.append(_alike_halves(looked, q, held, low, high))
-            return
-        # A surplus or deficit of one sets one bit that the other word lacks, or none.
-        bits = marks[low:high]
-        step = max(1, (1 << 16) // (high - low))
-        for at in range(0, len(q), step):
-            part = q[at : at + step]
-            mine = asked[part, None]
-            over, under = bits & ~mine, mine & ~bits
-            fits = ((over & (over - one)) | (under & (under - one))) == 0
-            i, s = np.nonzero(fits)
-            found.append((part[i], s + low))
-
-    nothing = np.zeros(len(looked), bool)
-    stack = [(0, len(held), 0, np.arange(len(looked)), nothing, nothing)]
-    while stack:
-        low, high, depth, q, plus, minus = stack.pop()
-        if high - low <= LEAF or depth == GROUPS:
-            leaf(low, high, q)
-            continue
-        column, mine = trie[low:high, depth], wanted[q, depth]
-        edges = [0, *(np.flatnonzero(np.diff(column)) + 1).tolist(), high - low]
-        for a, b in zip(edges, edges[1:]):
-            gap = column[a] - mine
-            more, less = gap == 1, gap == -1
-            goes = np.flatnonzero((gap == 0) | (more & ~plus) | (less & ~minus))
-            if len(goes):
-                child = (q[goes], plus[goes] | more[goes], minus[goes] | less[goes])
-                stack.append((low + a, low + b, depth + 1, *child))
-    i = np.concatenate([pair[0] for pair in found]) if found else np.zeros(0, np.int64)
-    s = np.concatenate([pair[1] for pair in found]) if found else np.zeros(0, np.int64)
-    step = 1 << 16
-    near = [_verified(left, i[a : a + step], right, s[a : a + step]) for a in range(0, len(i), step)]
-    kept = np.concatenate(near) if near else np.zeros(0, bool)
-    return i[kept], ranked[s[kept]]
+        yield np.full(len(found), at), np.fromiter(found, np.int64, len(found))
+
+
+class Trie:
+    """Words by their counts in one group after another."""
+
+    def __init__(self, words: list[str], order: list[int]):
+        self.order = order
+        counts = vectors(words, order)
+        rows = np.ascontiguousarray(counts.astype(">u4")).view(f"S{4 * GROUPS}").ravel()
+        self.ranked = np.argsort(rows, kind="stable")
+        self.words = [words[i] for i in self.ranked.tolist()]
+        self.counts = counts[self.ranked]
+        self.marks, self.table = _marks(self.counts), _Table(self.words)
+
+    def near(self, looked: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """All pairs of a word looked for and a word held that are one letter apart."""
+        parts = [np.zeros((2, 0), np.int64)]
+        for at in range(0, len(looked), 1 << 15):
+            some = looked[at : at + (1 << 15)]
+            table, held, size = _Table(some), [], 0
+            ends = (np.zeros(0, np.int64),) * 2
+            for found in itertools.chain(self._candidates(some), [None]):
+                if found is not None:
+                    held.append(found)
+                    size += len(found[0])
+                if size > 1 << 16 or found is None:
+                    i, s = map(np.concatenate, zip(*held, ends))
+                    kept = _verified(table, i, self.table, s)
+                    parts.append(np.stack([i[kept] + at, self.ranked[s[kept]]]))
+                    held, size = [], 0
+        return tuple(np.concatenate(parts, axis=1))
+
+    def _candidates(self, looked: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """The search, depth first; what it reaches comes in bounded parts."""
+        wanted = vectors(looked, self.order)
+        asked, one = _marks(wanted), np.uint64(1)
+        nothing = np.zeros(len(looked), bool)
+        stack = [(0, len(self.words), 0, np.arange(len(looked)), nothing, nothing)]
+        while stack:
+            low, high, depth, q, plus, minus = stack.pop()
+            if high - low <= LEAF:
+                # A surplus or deficit of one sets one bit that the other word lacks, or none.
+                bits = self.marks[low:high]
+                for at in range(0, len(q), 1 << 11):
+                    part = q[at : at + (1 << 11)]
+                    mine = asked[part, None]
+                    over, under = bits & ~mine, mine & ~bits
+                    fits = ((over & (over - one)) | (under & (under - one))) == 0
+                    i, s = np.nonzero(fits)
+                    yield part[i], s + low
+                continue
+            if depth == GROUPS:
+                yield from _alike_halves(looked, q, self.words, low, high)
+                continue
+            column, mine = self.counts[low:high, depth], wanted[q, depth]
+            edges = [0, *(np.flatnonzero(np.diff(column)) + 1).tolist(), high - low]
+            for a, b in zip(edges, edges[1:]):
+                gap = column[a] - mine
+                more, less = gap == 1, gap == -1
+                goes = np.flatnonzero((gap == 0) | (more & ~plus) | (less & ~minus))
+                if len(goes):
+                    child = (q[goes], plus[goes] | more[goes], minus[goes] | less[goes])
+                    stack.append((low + a, low + b, depth + 1, *child))
 
 
 def pairs(words: DataFrame, block: int = 1 << 14) -> DataFrame:
@@ -280,7 +289,7 @@ def pairs(words: DataFrame, block: int = 1 << 14) -> DataFrame:
         words, n = table["word"].to_pylist(), table["n"].to_numpy()
         role = table["role"].to_numpy()
         s, q = np.flatnonzero(role == _STORED), np.flatnonzero(role != _STORED)
-        mine, other = near_pairs([words[i] for i in s], [words[i] for i in q], order)
+        mine, other = Trie([words[i] for i in s], order).near([words[i] for i in q])
         mine, other = q[mine], s[other]
         # Inside a shard both words look for each other: the first in order has it.
         kept = [
