@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from datetime import date
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -12,7 +13,7 @@ from clickloom.plans import inputs
 from clickloom.plans import queries as registry
 from clickloom.plans.queries import HOT_RULES, counts_sql, hot_markings_sql, query, walk_sql
 from clickloom.session import scratch_path
-from clickloom.streaming import accept, counts, sinks, stateful
+from clickloom.streaming import accept, counts, durable, sinks, stateful
 from clickloom.streaming.log import VersionedLog
 
 # Where the month of events is cut.
@@ -97,6 +98,40 @@ def _stream_minute_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counts.current_counts(counts.read_versions(spark, log)).drop("updated_at")
 
 
+@query("stream_lost_checkpoint", registry.ORACLES["stream_minute_counts"])
+def _stream_lost_checkpoint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts of a job that loses its checkpoint after the first third, and whose closed days are
+    compacted in between: those of a recount."""
+    path = scratch_path(spark, "durable")
+    lost, kept = scratch_path(spark, "checkpoint"), scratch_path(spark, "checkpoint")
+    checkpoints = iter([lost, kept, kept])
+    config = counts.CountingConfig(cutoff_ms=CUTOFF_DAYS * DAY_MS, state_ttl_ms=(CUTOFF_DAYS + 1) * DAY_MS)
+    log = VersionedLog(spark, path)
+
+    def start(events: DataFrame) -> StreamingQuery:
+        # The days that no click in time can fall on any more, as the job has it.
+        durable.close_days(log, date(2024, 1, 10))
+        clicks = inputs.clicks_of(events, "sparse", True, "event_id").withColumns(
+            {
+                "partition": F.pmod(F.col("event_id"), F.lit(7)),
+                # Arrivals go by time, and so do places in the topic.
+                "offset": F.unix_micros("clicked_at"),
+            }
+        )
+        return durable.start_durable_counts(
+            clicks,
+            path,
+            next(checkpoints),
+            config,
+            as_of=F.lit(inputs.AS_OF).cast("timestamp"),
+            available_now=True,
+        )
+
+    arrive(spark, sf_dir, start)
+    durable.close_days(log, date(2024, 1, 10))
+    return durable.current_counts(log).drop("updated_at")
+
+
 def _logged(
     spark: SparkSession,
     sf_dir: str,

@@ -30,7 +30,7 @@ class CountingConfig:
     cutoff_ms: int | None = LATE_CUTOFF_MS
     state_ttl_ms: int = 2 * LATE_CUTOFF_MS
     trigger_seconds: int = 1
-    files_per_batch: int = 1
+    files_per_batch: int = 4
 
     def __post_init__(self) -> None:
         if self.cutoff_ms is not None and self.state_ttl_ms <= self.cutoff_ms:

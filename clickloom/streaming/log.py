@@ -13,9 +13,10 @@ import uuid
 from collections.abc import Iterable
 
 from pyspark.sql import DataFrame, Row, SparkSession
+from pyspark.sql.types import StructType
 
 MANIFEST = "kind string, run long, first long, last long, part string, folder string"
-BATCH, MERGED = "batch", "merged"
+BATCH, MERGED, RUN = "batch", "merged", "run"
 
 
 class VersionedLog:
@@ -37,9 +38,7 @@ class VersionedLog:
         if files.exists(where):
             return True
         return any(
-            row.run == run and row.first <= batch_id <= row.last
-            for row in self.manifest()
-            if row.kind == MERGED
+            row.run == run and batch_id <= row.last for row in self.manifest() if row.kind == MERGED
         )
 
     def _put(self, entry: str, rows: list[tuple]) -> None:
@@ -67,51 +66,70 @@ class VersionedLog:
         return read.parquet(f"{self.path}/manifest").collect()
 
     def _current(self) -> list[Row]:
-        """The commits that hold: for each run the widest merge and the batches beyond it."""
+        """The commits that hold: the newest merge, and the batches it does not cover."""
         rows = self.manifest()
-        merged: dict[int, int] = {}
-        for row in rows:
-            if row.kind == MERGED:
-                merged[row.run] = max(merged.get(row.run, -1), row.last)
-        return [
-            row
-            for row in rows
-            if (row.last == merged.get(row.run) if row.kind == MERGED else row.last > merged.get(row.run, -1))
-        ]
-
-    def last_batch(self, run: int = 0) -> int:
-        return max((row.last for row in self.manifest() if row.run == run), default=-1)
-
-    def last_run(self) -> int:
-        return max((row.run for row in self.manifest()), default=-1)
+        newest = max((row.first for row in rows if row.kind == MERGED), default=-1)
+        merged = [row for row in rows if row.kind == MERGED and row.first == newest]
+        covered = {row.run: row.last for row in merged}
+        batches = [r for r in rows if r.kind == BATCH and r.last > covered.get(r.run, -1)]
+        return merged + batches
+
+    def last_batches(self) -> dict[int, int]:
+        """The newest batch of every run."""
+        found: dict[int, int] = {}
+        for row in self.manifest():
+            if row.kind in (BATCH, MERGED):
+                found[row.run] = max(found.get(row.run, -1), row.last)
+        return found
+
+    def run_of(self, checkpoint: str) -> int:
+        """The number of the run that a checkpoint belongs to, a new one for a new checkpoint. One
+        that is not the newest is refused: its state lacks what later runs have counted."""
+        runs = {row.folder: row.run for row in self.manifest() if row.kind == RUN}
+        newest = max(runs.values(), default=-1)
+        where, files = self._hadoop(f"{checkpoint}/metadata")
+        if checkpoint in runs and files.exists(where):
+            if runs[checkpoint] < newest:
+                raise ValueError(f"run {newest} has gone on from what {checkpoint} holds")
+            return runs[checkpoint]
+        self._put(self._entry(newest + 1, "start"), [(RUN, newest + 1, -1, -1, "", checkpoint)])
+        return newest + 1
 
     def folders(self, part: str) -> list[str]:
         return sorted({row.folder for row in self._current() if row.part == part})
 
-    def read(self, part: str, schema: str) -> DataFrame:
+    def read(self, part: str, schema: str | StructType) -> DataFrame:
         """One part of all batches that are committed now."""
         folders = self.folders(part)
         if not folders:
             return self.spark.createDataFrame([], schema)
         return self.spark.read.schema(schema).parquet(*folders)
 
-    def merge(self, run: int, last: int, parts: dict[str, Iterable[str]]) -> None:
-        """Let these folders stand for all batches of a run up to ``last``, in one commit."""
-        rows = [(MERGED, run, 0, last, name, place) for name, places in parts.items() for place in places]
-        if not rows:
-            raise ValueError("a merge needs a folder")
-        self._put(self._entry(run, f"merged-{last:012d}-{uuid.uuid4().hex}"), rows)
+    def merge(self, covered: dict[int, int], parts: dict[str, Iterable[str]]) -> None:
+        """Let these folders stand for all batches up to the last one given for each run, and for
+        every merge before, in one commit."""
+        rows = self.manifest()
+        number = max((row.first for row in rows if row.kind == MERGED), default=-1) + 1
+        told = [(MERGED, run, number, last, "", "") for run, last in covered.items()]
+        run, last = max(covered.items())
+        told += [(MERGED, run, number, last, name, place) for name, all_ in parts.items() for place in all_]
+        self._put(f"{self.path}/manifest/merged-{number:012d}", told)
 
     def vacuum(self) -> int:
         """Delete folders and manifest files that no commit in force names. Only for a time when
         no reader older than the last merge is at work; returns the number of folders deleted."""
-        held = {row.folder for row in self._current()}
+        current = self._current()
+        held = {row.folder for row in current}
+        numbers = {row.first for row in current if row.kind == MERGED}
         gone = 0
         for row in self.manifest():
-            if row.folder not in held:
+            if row.folder and row.folder not in held:
                 where, files = self._hadoop(row.folder)
                 gone += bool(files.delete(where, True))
-                if row.kind == BATCH:
-                    entry, files = self._hadoop(self._entry(row.run, f"batch-{row.last:012d}"))
-                    files.delete(entry, True)
+            if row.kind == BATCH and row not in current:
+                entry, files = self._hadoop(self._entry(row.run, f"batch-{row.last:012d}"))
+                files.delete(entry, True)
+            elif row.kind == MERGED and row.first not in numbers:
+                entry, files = self._hadoop(f"{self.path}/manifest/merged-{row.first:012d}")
+                files.delete(entry, True)
         return gone

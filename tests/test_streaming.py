@@ -276,3 +276,213 @@ def test_progress_is_reported(spark, tmp_path):
     topic = {"id": "q", "batchId": 1, "timestamp": "t", "numInputRows": 2, "sources": [
         {"metrics": {"maxOffsetsBehindLatest": "17"}}, {"metrics": {"maxOffsetsBehindLatest": "3.0"}}]}
     assert progress_row(topic)[-1] == 17
+
+
+# -- disordered input, the whole path, and the log of commits ---------------------------------
+
+LATE_ATTEMPT = ATTEMPT + ", arrived_at timestamp"
+
+
+def _stepped(spark, source, schema, parts, start):
+    """The job over each part in turn; the progress of every batch."""
+    progress = []
+    for part in parts:
+        _rows(spark, source, part, schema)
+        job = start(spark.readStream.schema(schema).parquet(source))
+        job.awaitTermination()
+        progress += job.recentProgress
+    return progress
+
+
+def _shuffled(pick, rows, seconds):
+    """Rows ``(time, ...)`` by an arrival up to so late; one in ten comes a day before its time."""
+    late = [
+        (*row, row[3] + timedelta(seconds=-86_400 if pick.random() < 0.1 else pick.randrange(seconds)))
+        for row in rows
+    ]
+    return sorted(late, key=lambda row: row[-1])
+
+
+def test_disordered_attempts_get_the_labels_of_the_batch(spark, tmp_path):
+    pick = random.Random(21)
+    start = utc(2026, 9, 26)
+    attempts = [
+        (
+            f"{n:04d}",
+            pick.randint(1, 2),
+            pick.choice(["bot", "bot", "u1"]),
+            start + timedelta(seconds=pick.randrange(8000)),
+            pick.random() > 0.1,
+            pick.choices(["ack", "rejected", "shed"], [8, 1, 1])[0],
+        )
+        for n in range(300)
+    ]
+    rows = _shuffled(pick, attempts, 900)
+    tick = (None, None, None, None, None, None, start + timedelta(days=3))
+    source, log, checkpoint = (str(tmp_path / n) for n in ("in", "log", "ck"))
+
+    def job(stream):
+        labelled = stateful.stream_dedup(
+            stream, 600, 1200, delay="900 seconds", clock="arrived_at", in_order=True
+        )
+        return sinks.start_log(labelled, log, checkpoint, "append", available_now=True)
+
+    progress = _stepped(spark, source, LATE_ATTEMPT, (rows[:90], rows[90:200], [*rows[200:], tick]), job)
+    got = {r.click_id: r.status for r in spark.read.parquet(log).collect()}
+    assert got == follow(spark, attempts, 600)
+    assert "duplicate" in got.values()
+    # Nothing is kept once the watermark is past the last claim.
+    state = [p.stateOperators[0].numRowsTotal for p in progress]
+    assert max(state) > 5 and state[-1] == 0
+
+
+def test_an_attempt_after_its_answer_is_still_answered(spark, tmp_path):
+    start = utc(2026, 9, 26)
+
+    def row(name, second, arrives):
+        moments = (start + timedelta(seconds=s) for s in (second, arrives))
+        t, arrived = moments
+        return (name, 1, "u", t, True, "ack", arrived)
+
+    parts = [
+        [row("a", 1000, 1000), row("later", 5000, 5000)],
+        [row("near", 990, 5000), row("free", 100, 5000), row("end", 9000, 9000)],
+        [(None,) * 6 + (start + timedelta(days=1),)],
+    ]
+    source, log, checkpoint = (str(tmp_path / n) for n in ("in", "log", "ck"))
+
+    def job(stream):
+        labelled = stateful.stream_dedup(stream, 600, 7200, clock="arrived_at", in_order=True)
+        return sinks.start_log(labelled, log, checkpoint, "append", available_now=True)
+
+    _stepped(spark, source, LATE_ATTEMPT, parts, job)
+    got = {r.click_id: r.status for r in spark.read.parquet(log).collect()}
+    assert got == {
+        "a": "accepted",
+        "later": "accepted",
+        "near": "duplicate",
+        "free": "accepted",
+        "end": "accepted",
+    }
+
+
+def test_buckets_of_idle_ads_leave_the_state(spark, tmp_path):
+    rules = hot.HotRules(threshold=5)
+    start = utc(2026, 9, 26)
+    schema = "ad_id long, clicked_at timestamp, arrived_at timestamp"
+    clicks = [(ad, start + timedelta(seconds=7 * n + ad)) for ad in range(1, 4) for n in range(4)]
+    clicks += [(9, start + timedelta(seconds=n)) for n in range(6)]
+    source, log, checkpoint = (str(tmp_path / n) for n in ("in", "log", "ck"))
+
+    def job(stream):
+        changes = stateful.stream_hot(stream, rules, clock="arrived_at", in_order=True)
+        return sinks.start_log(changes, log, checkpoint, "append", available_now=True)
+
+    parts = [[(*c, c[1]) for c in clicks], [(None, None, start + timedelta(hours=2))]]
+    progress = _stepped(spark, source, schema, parts, job)
+    state = [p.stateOperators[0].numRowsTotal for p in progress]
+    # Only the number of marks of the ad that was hot stays.
+    assert max(state) > 5 and state[-1] == 1
+    found = stateful.latest_markings(spark.read.parquet(log), rules).collect()
+    assert [(r.ad_id, r.mark_no) for r in found] == [(9, 1)]
+
+
+def _accepted(spark, tmp_path, parts, ads, changes=None):
+    from clickloom.streaming import accept
+    from clickloom.streaming.log import VersionedLog
+
+    source, path, checkpoint = (str(tmp_path / n) for n in ("in", "log", "ck"))
+    feed = str(tmp_path / "ads")
+    ad = "id long, advertiser_id long, redirect_url string, active boolean"
+    if changes:
+        _rows(spark, feed, changes, ad + ", changed_at timestamp, arrived_at timestamp")
+
+    def job(stream):
+        versions = None
+        if changes:
+            versions = spark.readStream.schema(
+                ad + ", changed_at timestamp, arrived_at timestamp"
+            ).parquet(feed)
+        outcomes = accept.stream_outcomes(
+            stream, spark.createDataFrame(ads, ad), versions, delay="0 seconds", clock="arrived_at"
+        )
+        return accept.start_accepting(outcomes, path, checkpoint, available_now=True)
+
+    progress = _stepped(spark, source, LATE_ATTEMPT, parts, job)
+    return VersionedLog(spark, path), checkpoint, job, source, progress
+
+
+OUTCOME = "click_id string, ad_id long, advertiser_id long, status string, hot boolean"
+REJECT = "click_id string, broken_rules array<string>"
+
+
+def test_the_catalogue_at_the_time_of_the_click(spark, tmp_path):
+    start = utc(2026, 9, 26)
+
+    def at(second):
+        return start + timedelta(seconds=second)
+
+    attempts = [
+        (f"{ad}-{s}", ad, f"u{s}", at(s), True, "ack", at(s)) for ad in (1, 2, 3) for s in (10, 100, 200)
+    ]
+    attempts += [("bad", 0, "u", at(50), True, "ack", at(50)), ("null", None, None, at(60), True, "ack", at(60))]
+    tick = (None,) * 6 + (at(90_000),)
+    ads = [(1, 7, "https://a", True), (2, 7, "https://b", True)]
+    # Ad 2 is switched off at 100, ad 3 made at 150; then the feed is silent.
+    changes = [
+        (2, 7, "https://b", False, at(100), at(0)),
+        (3, 8, "https://c", True, at(150), at(150)),
+        (None, None, None, None, None, at(90_000)),
+    ]
+    early = [a for a in attempts if a[3] < at(100)]
+    late = [a for a in attempts if a[3] >= at(100)]
+    log, checkpoint, job, source, progress = _accepted(spark, tmp_path, [early, [*late, tick]], ads, changes)
+    found = {r.click_id: (r.status, r.advertiser_id) for r in log.read("outcomes", OUTCOME).collect()}
+    gone = ("not_found", None)
+    assert found == {
+        "1-10": ("accepted", 7),
+        "1-100": ("accepted", 7),
+        "1-200": ("accepted", 7),
+        "2-10": ("accepted", 7),
+        "2-100": gone,
+        "2-200": gone,
+        "3-10": gone,
+        "3-100": gone,
+        "3-200": ("accepted", 8),
+    }
+    rejects = {r.click_id: len(r.broken_rules) for r in log.read("rejects", REJECT).collect()}
+    assert set(rejects) == {"bad", "null"} and all(rejects.values())
+    assert log.read("records", "key string, value string").count() == 5
+
+    # The last batch again, as after a crash before Spark's own commit: nothing changes.
+    commits = os.path.join(checkpoint, "commits")
+    last = max(int(n) for n in os.listdir(commits) if n.isdigit())
+    for name in os.listdir(commits):
+        if name in (str(last), f".{last}.crc"):
+            os.remove(os.path.join(commits, name))
+    before = log.folders("records")
+    job(spark.readStream.schema(LATE_ATTEMPT).parquet(source)).awaitTermination()
+    assert log.folders("records") == before
+    assert log.read("outcomes", OUTCOME).count() + len(rejects) == len(attempts)
+
+
+def test_the_log_shows_commits_only(spark, tmp_path):
+    from clickloom.streaming.log import VersionedLog
+
+    log = VersionedLog(spark, str(tmp_path / "log"))
+    assert log.read("n", "id long").count() == 0 and log.last_batches() == {}
+    assert log.commit(0, {"n": spark.range(5), "m": spark.range(1)})
+    seen = log.read("n", "id long")
+    # Again, and an attempt that died before its commit: neither is seen.
+    assert not log.commit(0, {"n": spark.range(50), "m": spark.range(1)})
+    spark.range(9).write.parquet(f"{log.path}/data/dead/n")
+    assert log.commit(1, {"n": spark.range(5, 7)})
+    assert log.read("n", "id long").count() == 7 and seen.count() == 5
+    # One commit in place of two; what a reader holds stays until the vacuum.
+    spark.range(7).write.parquet(f"{log.path}/data/merged/n")
+    log.merge({0: 1}, {"n": [f"{log.path}/data/merged/n"]})
+    assert log.folders("n") == [f"{log.path}/data/merged/n"] and seen.count() == 5
+    assert log.committed(0) and log.committed(1) and not log.commit(1, {"n": spark.range(1)})
+    assert log.commit(2, {"n": spark.range(7, 8)}) and log.last_batches() == {0: 2}
+    assert log.vacuum() == 3
+    assert sorted(r.id for r in log.read("n", "id long").collect()) == list(range(8))
