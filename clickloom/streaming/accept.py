@@ -59,9 +59,10 @@ def stream_outcomes(
     """Every attempt with ``status``, ``hot`` and its ad's owner and target; append mode.
 
     ``ads`` is the catalogue when the job first starts; ``changes`` a stream of later versions of
-    its rows. Both are whole rows; the newest at the time of an attempt holds. An outcome is out
-    when the watermark, ``delay`` behind the clock, has passed the second the attempt lies in. All
-    attempts of one ad in a micro-batch meet in one task: bound it with ``maxOffsetsPerTrigger``.
+    its rows. Both are whole rows; the newest at the time of an attempt holds, if it has come by
+    the time the attempt is answered: when the watermark, ``delay`` behind the clock, has passed the
+    second the attempt lies in. All attempts of one ad in a micro-batch meet in one task: bound it
+    with ``maxOffsetsPerTrigger``.
     """
     checked = validate_attempts(stateful.on_clock(attempts, "attempted_at", delay, clock))
     valid = checked.where(F.size("broken_rules") == 0).drop("broken_rules")
@@ -81,7 +82,8 @@ def stream_outcomes(
         F.lit(False).alias("version"),
     )
     if changes is not None:
-        rows = rows.unionByName(_as_versions(stateful.on_clock(changes, "changed_at", delay, clock)))
+        # No watermark of its own: a catalogue that does not change must not hold the clicks up.
+        rows = rows.unionByName(_as_versions(changes))
     start = ads.select(F.col("id").alias("ad_id"), "advertiser_id", "redirect_url", "active")
     tagged = rows.groupBy("ad_id").transformWithState(
         stateful.TagProcessor(rules, visible_after, list(_COLUMNS)),
@@ -134,6 +136,7 @@ def start_accepting(
 
     def sink(batch: DataFrame, batch_id: int) -> None:
         if log.committed(batch_id):
+            log.pass_over(batch)
             return
         batch = batch.persist()
         try:

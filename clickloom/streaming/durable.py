@@ -194,6 +194,7 @@ def start_durable_counts(
 
     def sink(batch: DataFrame, batch_id: int) -> None:
         if log.committed(batch_id, run):
+            log.pass_over(batch)
             return
         batch = batch.persist()
         try:

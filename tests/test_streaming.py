@@ -395,14 +395,12 @@ def _accepted(spark, tmp_path, parts, ads, changes=None):
     feed = str(tmp_path / "ads")
     ad = "id long, advertiser_id long, redirect_url string, active boolean"
     if changes:
-        _rows(spark, feed, changes, ad + ", changed_at timestamp, arrived_at timestamp")
+        _rows(spark, feed, changes, ad + ", changed_at timestamp")
 
     def job(stream):
         versions = None
         if changes:
-            versions = spark.readStream.schema(
-                ad + ", changed_at timestamp, arrived_at timestamp"
-            ).parquet(feed)
+            versions = spark.readStream.schema(ad + ", changed_at timestamp").parquet(feed)
         outcomes = accept.stream_outcomes(
             stream, spark.createDataFrame(ads, ad), versions, delay="0 seconds", clock="arrived_at"
         )
@@ -430,9 +428,8 @@ def test_the_catalogue_at_the_time_of_the_click(spark, tmp_path):
     ads = [(1, 7, "https://a", True), (2, 7, "https://b", True)]
     # Ad 2 is switched off at 100, ad 3 made at 150; then the feed is silent.
     changes = [
-        (2, 7, "https://b", False, at(100), at(0)),
-        (3, 8, "https://c", True, at(150), at(150)),
-        (None, None, None, None, None, at(90_000)),
+        (2, 7, "https://b", False, at(100)),
+        (3, 8, "https://c", True, at(150)),
     ]
     early = [a for a in attempts if a[3] < at(100)]
     late = [a for a in attempts if a[3] >= at(100)]
