@@ -4,10 +4,11 @@ from __future__ import annotations
 
 import os
 import re
-import sys
-from array import array
+import struct
+from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
@@ -17,7 +18,7 @@ from tokenizers import Tokenizer  # noqa: E402  (reads the variable above)
 # The public splitting rule of byte-level vocabularies, here for ASCII and Latin
 # letters alone, and the letters that stand for bytes in their files.
 PARTS = re.compile(
-    r"'s|'t|'re|'ve|'m|'ll|'d| ?[A-Za-z\xc0-\xd6\xd8-\xf6\xf8-\u024f]+| ?[0-9]+"
+    r"\n|'s|'t|'re|'ve|'m|'ll|'d| ?[A-Za-z\xc0-\xd6\xd8-\xf6\xf8-\u024f]+| ?[0-9]+"
     r"| ?[^\sA-Za-z\xc0-\xd6\xd8-\xf6\xf8-\u024f0-9]+"
 )
 PLAIN = re.compile(r"[\x21-\x7e\xc0-\xd6\xd8-\xf6\xf8-\u024f]+")
@@ -25,18 +26,10 @@ _SAME = [*range(33, 127), *range(161, 173), *range(174, 256)]
 SHOWN = {b: chr(b) for b in _SAME} | {
     b: chr(256 + i) for i, b in enumerate(b for b in range(256) if b not in _SAME)
 }
-
-
-class _Held(dict):
-    """Values by key, each made when it is first asked for."""
-
-    def __init__(self, made):
-        super().__init__()
-        self.made = made
-
-    def __missing__(self, key):
-        value = self[key] = self.made(key)
-        return value
+_LETTERS = {b: letter for b, letter in SHOWN.items() if b != 10}
+#: Stands between lines: no id of any vocabulary.
+_END = 0xFFFFFFFF
+_BREAK = {"\n": struct.pack("<I", _END)}
 
 
 class Encoder:
@@ -44,30 +37,33 @@ class Encoder:
 
     A byte-level vocabulary with the usual splitting rule never merges across a space or a line
     break that stands between two characters that are no white space: what follows is then
-    encoded by itself. So a text is cut there and each distinct piece is encoded once, as long as
-    ``room`` pieces fit; the merges of a piece of ASCII and Latin letters are asked of the model
-    itself. A text with another run of white space, or with the text of a special
-    token, goes to the library whole. Either way the ids are the library's for the whole text.
+    encoded by itself. So texts are cut there and each distinct piece is encoded once, as long as
+    about ``room`` of them are remembered. New pieces of ASCII and Latin letters are split together,
+    and the library's model merges each run of letters, digits or signs; others go to the library
+    as they are. A text with another run of white space, or with the text of a special token, goes
+    there whole. Either way the ids are the library's for the whole text.
     """
 
+    #: Texts whose new pieces are learned together.
+    TEXTS = 256
+
     _open: dict[str, "Encoder"] = {}
 
-    def __init__(self, path: str, room: int = 500_000):
+    def __init__(self, path: str, room: int = 1_000_000):
         self.tokenizer = Tokenizer.from_file(path)
         self.room = room
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.model = self.tokenizer.model
-        self.pieces = _Held(self._piece)
-        self.parts = _Held(self._part)
+        self.merge = self.tokenizer.model.tokenize
+        self.pieces: dict[str, bytes | None] = {}
+        self.parts: dict[str, bytes] = dict(_BREAK)
         self.line = self._whole("\n")
-        # The cut needs a line break that is one id and stays one between pieces.
-        probe = " It's a1b, zweiß\n.d\u00e9j\u00e0-vu we'll 'tis #!x_y 12ab"
-        self.cut = len(self.line) == 4 and self._whole(" a\n b") == (
-            self._whole(" a") + self.line + self._whole(" b")
-        )
-        self.plain = self.cut and self._whole(probe) == self.line.join(
-            b"".join(map(self.parts.__getitem__, PARTS.findall(half))) for half in probe.split("\n")
+        # The cut needs a line break that is one id and stays one between pieces, and the split a
+        # vocabulary with the usual rule.
+        self.cut = len(self.line) == 4 and self._whole(" a\n b\nc d") == self.line.join(
+            [self._whole(" a"), self._whole(" b"), self._whole("c") + self._whole(" d")]
         )
+        probe = " It's", "a1b,", " zwei\xdf", " .d\u00e9j\u00e0-vu", "we'll", " 'tis", " #!x_y", "12ab"
+        self.plain = self.cut and self._lines(list(probe)) == [*map(self._whole, probe)]
 
     @classmethod
     def open(cls, path: str) -> "Encoder":
@@ -86,37 +82,66 @@ class Encoder:
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """The ids of each text; a null text has none."""
-        return [self._ids(text) if text else b"" for text in texts]
+        found: list[bytes] = []
+        for at in range(0, len(texts), self.TEXTS):
+            found += self._some(texts[at : at + self.TEXTS])
+        return found
+
+    def column(self, texts: pa.Array) -> Iterator[bytes]:
+        """The ids of a column's texts, a few hundred texts at a time."""
+        for at in range(0, len(texts), self.TEXTS):
+            yield from self._some(texts.slice(at, self.TEXTS).to_pylist())
+
+    def _some(self, texts: list[str | None]) -> list[bytes]:
+        split = [self._split(text) if text else None for text in texts]
+        if len(self.pieces) > self.room:
+            self.pieces.clear()
+        self._learn({piece for pieces in split if pieces for piece in pieces}.difference(self.pieces))
+        return [
+            b"" if not text else self._ids(text, pieces) for text, pieces in zip(texts, split)
+        ]
 
-    def _ids(self, text: str) -> bytes:
+    def _split(self, text: str) -> list[str] | None:
+        """The pieces of a text, each with the line break before it; none if it cannot be cut."""
         if not self.cut or any(mark in text for mark in self.special):
+            return None
+        # A line break is put before the first piece, which has no space there.
+        return ("\n" + text).replace("\n", " \n").split(" ")[1:]
+
+    def _ids(self, text: str, pieces: list[str] | None) -> bytes:
+        if pieces is None:
             return self._whole(text)
-        if len(self.pieces) > self.room:
-            self.pieces.clear()
-        pieces = ("\n" + text).replace("\n", " \n").split(" ")
         try:
-            # The line break put before the first piece goes again.
-            return b"".join(map(self.pieces.__getitem__, pieces[1:]))[4:]
+            return b"".join(map(self.pieces.__getitem__, pieces))[4:]
         except TypeError:  # a piece that cannot stand alone
             return self._whole(text)
 
-    def _piece(self, piece: str) -> bytes | None:
-        """The ids of a piece; nothing if white space ties it to the piece before."""
-        starts = piece[:1] == "\n"
-        word = piece[1:] if starts else piece
-        if not word or word[0].isspace():
-            return None
-        if not self.plain or PLAIN.fullmatch(word) is None:
-            return self._whole(piece if starts else " " + word)
-        parts = PARTS.findall(word if starts else " " + word)
-        return (self.line if starts else b"") + b"".join(map(self.parts.__getitem__, parts))
-
-    def _part(self, part: str) -> bytes:
-        """The ids of one run of letters, digits or signs, with the space before it."""
+    def _learn(self, pieces: set[str]) -> None:
+        """The ids of new pieces; nothing for one that white space ties to the piece before."""
+        lines, shown = [], []
+        for piece in pieces:
+            starts = piece[:1] == "\n"
+            word = piece[1:] if starts else piece
+            if not word or word[0].isspace():
+                self.pieces[piece] = None
+            elif self.plain and PLAIN.fullmatch(word):
+                lines.append(piece)
+                shown.append(word if starts else " " + word)
+            else:
+                self.pieces[piece] = self._whole(piece if starts else " " + word)
+        for piece, ids in zip(lines, self._lines(shown)):
+            self.pieces[piece] = self.line + ids if piece[0] == "\n" else ids
+
+    def _lines(self, lines: list[str]) -> list[bytes]:
+        """The ids of plain pieces, split and merged together."""
         if len(self.parts) > self.room // 2:
-            self.parts.clear()
-        tokens = self.model.tokenize(part.encode().decode("latin-1").translate(SHOWN))
-        ids = array("I", [token.id for token in tokens])
-        if sys.byteorder == "big":
-            ids.byteswap()
-        return ids.tobytes()
+            self.parts = dict(_BREAK)
+        parts = PARTS.findall("\n".join(lines) + "\n") if lines else []
+        new = list(set(parts).difference(self.parts))
+        letters = "\n".join(new).encode().decode("latin-1").translate(_LETTERS).split("\n")
+        for part, spelled in zip(new, letters):
+            ids = [token.id for token in self.merge(spelled)]
+            self.parts[part] = struct.pack(f"<{len(ids)}I", *ids)
+        raw = b"".join(map(self.parts.__getitem__, parts))
+        ends = (4 * np.flatnonzero(np.frombuffer(raw, "<u4") == _END)).tolist()
+        return [raw[low:high] for low, high in zip([0, *(end + 4 for end in ends)], ends)]

@@ -76,8 +76,8 @@ def items(
         end = end_id.to_bytes(4, "little")
         for batch in batches:
             first, pieces, crcs, kept = [], [], [], []
-            for value in batch.column(1):
-                ids = encoder.encode([value.as_py()])[0] + end
+            for ids in encoder.column(batch.column(1)):
+                ids += end
                 size = len(ids) // 4
                 head = (size - 1) % length + 1
                 cuts = [0, *range(4 * head, len(ids) + 1, 4 * length)]

@@ -147,8 +147,8 @@ def write(
             )
 
         for batch in batches:
-            for name, value in zip(batch.column(0).to_pylist(), batch.column(1)):
-                ids = np.frombuffer(encoder.encode([value.as_py()])[0] + end, "<u4")
+            for name, coded in zip(batch.column(0).to_pylist(), encoder.column(batch.column(1))):
+                ids = np.frombuffer(coded + end, "<u4")
                 if held and size + len(ids) > file_ids:
                     yield done()
                     shard, keys, held, size = shard + 1, [], [], 0

@@ -157,3 +157,17 @@ def test_packing_of_odd_rows_and_of_none(spark, tricky):
     assert sum(r.length for r in rows) == sum(len(ids_of(t, 0)) for t in texts)
     assert sum(r.piece == 0 for r in rows) == len(texts)
     assert packing.pack(tricky.limit(0), PATH).count() == 0
+
+
+def test_ids_are_the_librarys_whatever_stands_between_two_letters():
+    """Every character below the last one that is split here, and some above, in many places."""
+    encoder = Encoder(PATH)
+    assert encoder.cut and encoder.plain
+    characters = [chr(c) for c in range(0x300)] + list("ͅ؀٣　中​😀  ")
+    forms = ["a{}b", " {}", "{} a", "a {}{} b", "'{}", "1{}2 {}", "a\n{}", "{}\n{}b", "it's{}'ll {}'re", ".{}!"]
+    texts = [" x ".join(form.replace("{}", c) for form in forms) for c in characters]
+    expected = [np.array(TOKENIZER.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t in texts]
+    assert encoder.encode(texts) == expected
+    # Pieces that are forgotten are learned again.
+    small = Encoder(PATH, room=3)
+    assert small.encode(texts) == expected
