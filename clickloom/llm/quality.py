@@ -145,7 +145,7 @@ ADDED = (
 def judge(docs: DataFrame, text: str = "text") -> DataFrame:
     """The documents with their base figures, ``clean_text`` (without failing lines) and ``kept``."""
     body = F.coalesce(F.col(f"`{text}`"), F.lit(""))
-    bare = F.regexp_replace(body, rf"\A{SPACE}+|{SPACE}+\z", "")
+    bare = F.trim(body, F.lit(" \t\n\x0b\x0c\r"))
     empty = F.array().cast("array<string>")
     rest = [F.col(f"`{c}`") for c in docs.columns if c not in ADDED]
     frame = (

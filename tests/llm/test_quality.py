@@ -93,3 +93,14 @@ def test_labels_agree(spark, sf_dir, documents):
 def test_no_python_in_the_plan(documents):
     plan = quality.judge(documents)._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan and "Exchange" not in plan
+
+
+def test_a_million_spaces_take_seconds(spark):
+    import time
+
+    docs = spark.range(1).select(
+        F.lit(1).alias("doc_id"), F.expr("concat('a b', repeat(' ', 1000000), 'c', repeat('\t', 1000000))").alias("text")
+    )
+    started = time.perf_counter()
+    assert quality.judge(docs).select("n_words").first().n_words == 3
+    assert time.perf_counter() - started < 20
