@@ -161,8 +161,9 @@ def scan(
     return kept.mapInArrow(scanned, f"{schema}, found {FOUND}")
 
 
-def clean(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
+def clean(docs: DataFrame, benchmark: DataFrame, text: str = "text", **options) -> DataFrame:
     """The documents that hold no passage of the benchmark, columns as they came."""
-    columns = docs.columns
-    found = scan(docs, benchmark, **options).filter("found.n_hit = 0")
-    return found.select(*(F.col(f"`{c}`") for c in columns))
+    names = [f"__c{i}" for i in range(len(docs.columns))]
+    at = names[docs.columns.index(text)]
+    found = scan(docs.toDF(*names), benchmark, text=at, **options).filter("found.n_hit = 0")
+    return found.select(*names).toDF(*docs.columns)

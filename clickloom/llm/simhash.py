@@ -6,7 +6,8 @@ all of them into shards of near distance; a point whose ball crosses a border go
 (only from the inner to the outer one, which suffices for pairs), so that every pair within the
 radius meets in a shard. There the same rule splits on until a few hundred points are left, which
 are compared in full. Shards give links to the least point of each group, never all pairs, and
-alternating stars join these over shards.
+alternating stars join these over shards. Points may carry a sketch of their texts' shingles besides:
+then a pair is linked only if the sketches agree too.
 
 Defined cases: a null text or one without words has fingerprint zero, linked like any other; fewer
 words than a shingle are one shingle; a text of any length is hashed whole; equal rows are linked by
@@ -35,6 +36,9 @@ _CHUNK = 1 << 16
 #: A shard of more than so many times the wanted points is dealt in pairs of blocks.
 OVERFULL = 4
 
+#: The place of a row, under a name that no table has.
+_PLACE = "near copies: place"
+
 _MIX = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9))
 
 
@@ -76,8 +80,33 @@ def fingerprint(
     return found
 
 
-def _names(words: int) -> list[str]:
-    return [f"p{i}" for i in range(words)]
+def _multipliers(count: int) -> np.ndarray:
+    """Odd numbers that tell the hashes of a sketch's parts apart."""
+    return np.random.default_rng(7).integers(0, 1 << 63, count, np.uint64) * np.uint64(2) + np.uint64(1)
+
+
+def sketch(text: bytes | None, shingle: int, words: int) -> list[int]:
+    """A sketch of a text's set of shingles, in so many words of sixteen four-bit parts.
+
+    Each part holds four bits of the shingle with the least hash, under a hash of its own: of two
+    texts alike by s about s + (1 - s) / 16 of the parts are equal, in whatever order words come.
+    """
+    held = (text or b"").translate(LOWER).split()
+    grams = zip(*(held[i:] for i in range(shingle))) if len(held) >= shingle else [held]
+    digest = xxhash.xxh64_intdigest
+    hashes = np.fromiter((digest(b" ".join(gram), 42) for gram in grams), "<u8")
+    factors = _multipliers(16 * words)
+    least = np.full(len(factors), np.iinfo(np.uint64).max, np.uint64)
+    for at in range(0, len(hashes), 1 << 12):
+        mixed = hashes[at : at + (1 << 12), None] * factors
+        np.minimum(least, mixed.min(0), out=least)
+    parts = ((least >> np.uint64(24)) ^ least) & np.uint64(15)
+    shifts = np.arange(16, dtype=np.uint64) * np.uint64(4)
+    return np.bitwise_or.reduce(parts.reshape(words, 16) << shifts, axis=1).tolist()
+
+
+def _names(words: int, sketch_words: int = 0) -> list[str]:
+    return [f"p{i}" for i in range(words)] + [f"s{i}" for i in range(sketch_words)]
 
 
 def fingerprints(
@@ -88,21 +117,27 @@ def fingerprints(
     words: int = 1,
     distinct: bool = False,
     mark: Column | None = None,
+    sketched: tuple[int, int] | None = None,
 ) -> DataFrame:
     """Key, mark, the words of the fingerprint (as signed numbers) and its point's number, of every
     row.
 
-    The number of a point is its only word, or a 64-bit hash of its words. The mark is a text column
-    over ``docs``, null if none is given.
+    The number of a point is its only word, or a 64-bit hash of its words; the words of a sketch,
+    ``sketched`` by its shingle and size, are among them. The mark is a text column over ``docs``,
+    null if none is given.
     """
+    names = _names(words, sketched[1] if sketched else 0)
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [fingerprint(v, shingle, words, distinct) for v in as_bytes(batch.column(1))]
-            signed = np.array(found, np.uint64).reshape(-1, words).view(np.int64)
-            columns = [pa.array(np.ascontiguousarray(signed[:, i])) for i in range(words)]
+            texts = as_bytes(batch.column(1))
+            found = [fingerprint(v, shingle, words, distinct) for v in texts]
+            if sketched:
+                found = [own + sketch(v, *sketched) for own, v in zip(found, texts)]
+            signed = np.array(found, np.uint64).reshape(-1, len(names)).view(np.int64)
+            columns = [pa.array(np.ascontiguousarray(signed[:, i])) for i in range(len(names))]
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(2), *columns], ["key", "mark", *_names(words)]
+                [batch.column(0), batch.column(2), *columns], ["key", "mark", *names]
             )
 
     named = docs.select(
@@ -110,9 +145,9 @@ def fingerprints(
         F.col(f"`{text}`").alias("text"),
         (F.lit(None).cast("string") if mark is None else mark).alias("mark"),
     )
-    schema = ", ".join(f"{name} long" for name in _names(words))
+    schema = ", ".join(f"{name} long" for name in names)
     found = named.mapInArrow(hashed, f"key long, mark string, {schema}")
-    return found.withColumn("point", F.xxhash64(*_names(words)) if words > 1 else F.col("p0"))
+    return found.withColumn("point", F.xxhash64(*names) if len(names) > 1 else F.col("p0"))
 
 
 def paired(
@@ -139,12 +174,19 @@ def paired(
 
 
 def linked(
-    points: DataFrame, words: int, radius: int, most: int, shard_points: int, sample_points: int
+    points: DataFrame,
+    words: int,
+    radius: int,
+    most: int,
+    shard_points: int,
+    sample_points: int,
+    sketch_words: int = 0,
+    differing: int = 0,
 ) -> DataFrame:
     """For distinct points (point, p0, ...): links (a, b) that connect all that are near.
 
-    Two are near if any word differs in at most ``radius`` bits and all in at most ``most``. Each
-    word has a tree of its own. A shard that the tree left far over ``shard_points`` (a dense cluster
+    Two are near if any word differs in at most ``radius`` bits and all in at most ``most``, and in
+    at most ``differing`` parts of their sketches, if they have any. Each word has a tree of its own. A shard that the tree left far over ``shard_points`` (a dense cluster
     that no border parts) is dealt in blocks of that size, every two of which meet in a task.
     """
     spark = points.sparkSession
@@ -155,10 +197,11 @@ def linked(
         for_size = math.log(max(1.0, count / shard_points)) / math.log(1 / 0.65)
         for_cores = math.log2(2 * spark.sparkContext.defaultParallelism)
         depth = math.ceil(max(for_size, for_cores))
-    names = _names(words)
+    names = _names(words, sketch_words)
+    compared = (words, differing) if sketch_words else None
     sample = lowest(points, "point", sample_points if depth else 0, count)
     fitted = np.array([row[:] for row in sample.select(*names).collect()], np.int64)
-    fitted = fitted.reshape(-1, words).view(np.uint64)
+    fitted = fitted.reshape(-1, len(names)).view(np.uint64)
     trees = [
         vptree.plan(np.ascontiguousarray(fitted[:, i]), depth, radius) for i in range(words)
     ]
@@ -207,7 +250,7 @@ def linked(
     def met(here: pd.DataFrame) -> pd.DataFrame:
         word, numbers = int(here["word"].iloc[0]), here["point"].to_numpy()
         held = np.ascontiguousarray(here[names].to_numpy()).view(np.uint64)
-        groups = vptree.joined(vptree.links(held, numbers, radius, word, most))
+        groups = vptree.joined(vptree.links(held, numbers, radius, word, most, compared))
         pairs = [(a, b) for a, b in groups.items() if a != b]
         found = np.array(pairs, np.int64).reshape(-1, 2)
         return pd.DataFrame({"a": found[:, 0], "b": found[:, 1]})
@@ -233,16 +276,21 @@ def _grouped(
     shard_points: int = 200_000,
     sample_points: int = 8192,
     mark: Column | None = None,
+    sketched: tuple[int, int] | None = None,
+    differing: int = 0,
 ) -> tuple[DataFrame, DataFrame]:
     """The fingerprints, and every point's component as (point, first): the rank of its first row."""
-    found = fingerprints(docs, key, text, shingle, words, distinct, mark)
+    found = fingerprints(docs, key, text, shingle, words, distinct, mark, sketched)
     found = stored(found, "prints")
-    names = _names(words)
+    sketch_words = sketched[1] if sketched else 0
+    names = _names(words, sketch_words)
     classes = found.groupBy("point").agg(
         *(F.first(name).alias(name) for name in names), F.min(_rank()).alias("first")
     )
     classes = stored(classes, "print-classes")
-    links = linked(classes, words, radius, most, shard_points, sample_points)
+    links = linked(
+        classes, words, radius, most, shard_points, sample_points, sketch_words, differing
+    )
     roots = components(stored(links, "print-links")).withColumnRenamed("node", "point")
     members = stored(classes.select("point", "first").join(roots, "point"), "print-members")
     groups = members.groupBy("root").agg(F.min("first").alias("least"))
@@ -265,16 +313,14 @@ def near_copies(docs: DataFrame, **options) -> DataFrame:
 def one_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text", **options) -> DataFrame:
     """One document of every group, the one with the least key; columns as they came.
 
-    A row is known by its key and its text's MD5, whatever other rows share its key: rows with both
-    equal have one fingerprint, so they are of one group. Of a group's rows with the least key the
-    one with the least digest stays.
+    Of a group's rows with the least key the one with the least MD5 of its text stays, of equal ones
+    the first by file and row. A row is known by its place in the files that ``docs`` reads, and only
+    by that: rows may share keys and texts. What is not just a read of files is written first.
     """
+    if docs._jdf.queryExecution().analyzed().nodeName() != "LogicalRelation":
+        docs = stored(docs, "near-rows")
+    place = F.concat_ws(":", "_metadata.file_path", "_metadata.row_index")
     digest = F.md5(F.coalesce(F.col(f"`{text}`"), F.lit("")).cast("binary"))
-    _, known = _grouped(docs, key, text, mark=digest, **options)
-    first = known.select(F.col("first.key").alias("least"), F.col("first.mark").alias("one"))
-    named = docs.select(
-        F.struct("*").alias("row"), F.col(f"`{key}`").cast("long").alias("key"), digest.alias("mark")
-    )
-    same = F.expr("mark = one and key <=> least")
-    kept = named.join(first.distinct(), same, "left_semi")
-    return kept.dropDuplicates(["key", "mark"]).select("row.*")
+    _, known = _grouped(docs, key, text, mark=F.concat(digest, place), **options)
+    first = known.select(F.substring("first.mark", 33, 1 << 30).alias("place")).distinct()
+    return docs.withColumn(_PLACE, place).join(first, F.col(_PLACE) == first["place"], "left_semi").drop(_PLACE)

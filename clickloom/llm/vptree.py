@@ -66,12 +66,24 @@ def routed(points: np.ndarray, tree, radius: int) -> tuple[np.ndarray, np.ndarra
     return np.concatenate(shards), np.concatenate(held)
 
 
-def _total(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Distance over all words of fingerprints that have several."""
-    return np.bitwise_count(a ^ b).sum(-1, dtype=np.int64)
+#: The lowest bit of each of a sketch word's sixteen parts.
+_PARTS = np.uint64(0x1111111111111111)
+
+
+def _alike(a: np.ndarray, b: np.ndarray, most: int, sketch: tuple[int, int] | None) -> np.ndarray:
+    """Whether rows differ in at most ``most`` bits over the words of the fingerprint and, if the
+    words from ``sketch[0]`` on are a sketch, in at most ``sketch[1]`` of its four-bit parts."""
+    words = a.shape[1] if sketch is None else sketch[0]
+    near = np.bitwise_count(a[:, :words] ^ b[:, :words]).sum(-1, dtype=np.int64) <= most
+    if sketch is not None:
+        differ = a[:, words:] ^ b[:, words:]
+        differ |= differ >> np.uint64(2)
+        differ |= differ >> np.uint64(1)
+        near &= np.bitwise_count(differ & _PARTS).sum(-1, dtype=np.int64) <= sketch[1]
+    return near
 
 
-def _groups(points: np.ndarray, names: np.ndarray, radius: int, word: int, most: int):
+def _groups(points: np.ndarray, names: np.ndarray, radius: int, word: int, most: int, sketch=None):
     """Of a few points, those with a neighbour, and for each the least name of its group."""
     first = points[:, word]
     near = np.bitwise_count(first[:, None] ^ first[None, :]) <= radius
@@ -81,7 +93,7 @@ def _groups(points: np.ndarray, names: np.ndarray, radius: int, word: int, most:
     near = near[np.ix_(linked, linked)]
     if points.shape[1] > 1:
         a, b = np.nonzero(near)
-        near[a, b] = _total(points[linked[a]], points[linked[b]]) <= most
+        near[a, b] = _alike(points[linked[a]], points[linked[b]], most, sketch)
     members = names[linked]
     least = members
     while True:
@@ -91,16 +103,16 @@ def _groups(points: np.ndarray, names: np.ndarray, radius: int, word: int, most:
         least = lower
 
 
-def _near(points: np.ndarray, a: np.ndarray, b: np.ndarray, radius: int, word: int, most: int):
+def _near(points: np.ndarray, a: np.ndarray, b: np.ndarray, radius: int, word: int, most: int, sketch):
     """Which of the points ``a`` (rows) are near which of ``b`` (columns)."""
     near = np.bitwise_count(points[a, word][:, None] ^ points[b, word][None, :]) <= radius
     if points.shape[1] > 1:
         x, y = np.nonzero(near)
-        near[x, y] = _total(points[a[x]], points[b[y]]) <= most
+        near[x, y] = _alike(points[a[x]], points[b[y]], most, sketch)
     return near
 
 
-def _dense(points: np.ndarray, names: np.ndarray, radius: int, word: int, most: int):
+def _dense(points: np.ndarray, names: np.ndarray, radius: int, word: int, most: int, sketch=None):
     """As ``_groups``, for any number of points that nothing parts.
 
     Pairs are compared in blocks of LEAF by LEAF; each block is folded into the groups before the
@@ -120,7 +132,7 @@ def _dense(points: np.ndarray, names: np.ndarray, radius: int, word: int, most:
             parent[:] = parent[parent]
 
     def fold(a: np.ndarray, b: np.ndarray) -> None:
-        near = _near(points, a, b, radius, word, most)
+        near = _near(points, a, b, radius, word, most, sketch)
         if not near.any():
             return
         held = np.concatenate([[root(x) for x in a.tolist()], [root(x) for x in b.tolist()]])
@@ -146,7 +158,7 @@ def _dense(points: np.ndarray, names: np.ndarray, radius: int, word: int, most:
         pivot = alone[len(alone) // 2 : len(alone) // 2 + 1]
         for start in range(0, len(points), LEAF * LEAF):
             part = everyone[start : start + LEAF * LEAF]
-            near = part[_near(points, pivot, part, radius, word, most)[0]]
+            near = part[_near(points, pivot, part, radius, word, most, sketch)[0]]
             for x in np.unique(parent[near]).tolist():
                 x, y = root(x), root(pivot[0])
                 parent[max(x, y)] = min(x, y)
@@ -168,12 +180,18 @@ def _dense(points: np.ndarray, names: np.ndarray, radius: int, word: int, most:
 
 
 def links(
-    points: np.ndarray, names: np.ndarray, radius: int, word: int = 0, most: int = 64
+    points: np.ndarray,
+    names: np.ndarray,
+    radius: int,
+    word: int = 0,
+    most: int = 64,
+    sketch: tuple[int, int] | None = None,
 ) -> list[tuple[np.ndarray, np.ndarray]]:
     """Links that connect exactly what near pairs connect: (names, least names).
 
     Points have a row each and a column for every word of the fingerprint. A pair is near if one
-    ``word`` differs in at most ``radius`` bits, and all words together in at most ``most``.
+    ``word`` differs in at most ``radius`` bits, and all words together in at most ``most``; the
+    columns from ``sketch[0]`` on may be a sketch, of whose parts at most ``sketch[1]`` differ.
     """
     found, todo = [], [np.arange(len(points))]
     while todo:
@@ -183,9 +201,9 @@ def links(
             inside, outside = sides(points[here, word], *parting, radius)
             todo += [here[inside], here[outside]]
         elif len(here) <= 4 * LEAF:
-            found.append(_groups(points[here], names[here], radius, word, most))
+            found.append(_groups(points[here], names[here], radius, word, most, sketch))
         else:  # nothing parts them
-            found.append(_dense(points[here], names[here], radius, word, most))
+            found.append(_dense(points[here], names[here], radius, word, most, sketch))
     return found
 
 

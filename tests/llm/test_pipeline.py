@@ -70,4 +70,18 @@ def test_odd_rows_extra_columns_and_empty_tables(spark, sf_dir, tricky):
             found = stage(spark, docs, sf_dir)
             if name != "pack":
                 assert found.columns == docs.columns
+                others = [c for c in docs.columns if c not in ("doc_id", "text", "n_chars")]
+                assert others == [] or {tuple(r) for r in found.select(*others).collect()} <= {
+                    tuple(r) for r in docs.select(*others).collect()
+                }
             assert found.count() <= max(1, 2000 * docs.count())
+
+
+def test_equal_words_in_five_orders_are_five_documents(spark, sf_dir):
+    import random
+
+    words = [f"word{i}" for i in range(200)]
+    docs = [(i, " ".join(random.Random(i % 5).sample(words, 200))) for i in range(15)]
+    frame = spark.createDataFrame(docs, "doc_id long, text string")
+    kept = pipeline.near_dedup_stage(spark, frame, sf_dir)
+    assert sorted(r.doc_id for r in kept.collect()) == [0, 1, 2, 3, 4]

@@ -9,6 +9,7 @@ import xxhash
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
+import corpus_pipeline as pipeline
 from clickloom.llm import simhash, vptree
 from clickloom.llm.components import components
 
@@ -241,3 +242,35 @@ def test_an_overfull_shard_is_dealt_in_bounded_parts(spark):
     root = joined(len(points), [(r.a, r.b) for r in links])
     found = {i: r for i, r in enumerate(root) if root.count(r) > 1}
     assert found == wanted_groups(points, 24)
+
+
+def test_words_in_another_order_are_no_copies(spark):
+    """One set of words in five orders, three times each, and one of them with two words changed."""
+    rng = random.Random(8)
+    words = [f"word{i}" for i in range(200)]
+    orders = [rng.sample(words, len(words)) for _ in range(5)]
+    changed = list(orders[0])
+    changed[50] = changed[150] = "other"
+    texts = [" ".join(order) for order in orders for _ in range(3)] + [" ".join(changed)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    kept = simhash.one_of_each(docs, **pipeline.NEAR)
+    assert sorted(r.doc_id for r in kept.collect()) == [0, 3, 6, 9, 12]
+
+
+def test_sketches_tell_how_alike_texts_are():
+    rng = random.Random(9)
+    for share in (0.5, 0.7, 0.8, 0.9, 1.0):
+        equal = []
+        for _ in range(60):
+            words = [f"w{rng.randrange(10**6)}" for _ in range(400)]
+            other = list(words)
+            # Blocks of words changed at one end leave about this share of all shingles alike.
+            for i in range(round(400 * (1 - share) / (1 + share))):
+                other[i] = f"x{rng.randrange(10**6)}"
+            a, b = (simhash.sketch(" ".join(t).encode(), 5, 8) for t in (words, other))
+            differ = sum((x >> s) & 15 != (y >> s) & 15 for x, y in zip(a, b) for s in range(0, 64, 4))
+            equal.append(128 - differ)
+        expected = 128 * (share + (1 - share) / 16)
+        assert abs(sum(equal) / len(equal) - expected) < 4
+    for odd in (None, b"", b"one", b"a b c d"):
+        assert len(simhash.sketch(odd, 5, 8)) == 8
