@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from clickloom.functions.rules import ad_rules, advertiser_rules, broken
 from clickloom.operators.filtering import as_of_column
-from clickloom.operators.skew import salted_lookup
+from clickloom.operators.skew import splittable_lookup
 from clickloom.schemas import ADS
 
 # Fixed value.
@@ -157,62 +157,57 @@ def soft_delete_ads(ads: DataFrame, deletes: DataFrame, now: datetime | Column |
     )
 
 
-def apply_ad_changes(ads: DataFrame, changes: DataFrame, advertisers: DataFrame) -> DataFrame:
-    """Apply an ordered feed of create, update and delete; ``seq`` is unique and gives the order.
+def _outcomes(changes: DataFrame, births: DataFrame) -> DataFrame:
+    """What a feed comes to for each (id, advertiser_id): the last edit with its ``seq``, and when the
+    first delete after it (and after the ad was made) came.
 
-    The outcome per ad follows from its last update and, after that, its first delete: later
-    deletes change nothing, and an update that leaves the ad inactive makes them void too.
-    Both are plain aggregates, so an ad with very many changes stays spread over tasks.
+    The feed is reduced to a row for each ad before it meets the catalogue; the deletes of one ad
+    are split between tasks at run time.
     """
-    made = changes.where("op = 'create'")
-    created = new_ads(made, advertisers, F.col("changed_at"))
-    births = made.select("id", F.col("seq").alias("born"))
-    base = ads.withColumn("born", F.lit(None).cast("long")).unionByName(
-        created.join(births, "id")
-    )
-    owners = base.select("id", "advertiser_id", "born")
-
-    later = changes.where(
-        (F.col("op") == "delete")
-        | ((F.col("op") == "update") & (F.size(broken(_rules(changes))) == 0))
-    )
-    valid = salted_lookup(later, owners, ["id", "advertiser_id"], F.col("seq")).where(
-        F.col("born").isNull() | (F.col("seq") > F.col("born"))
-    )
+    key = ["id", "advertiser_id"]
     edit = F.struct("content", "img_url", "redirect_url", "active", "changed_at")
     updates = (
-        valid.where("op = 'update'")
-        .groupBy("id")
+        changes.where((F.col("op") == "update") & (F.size(broken(_rules(changes))) == 0))
+        .groupBy(*key)
         .agg(F.max_by(edit, F.col("seq")).alias("edit"), F.max("seq").alias("edited"))
     )
-    deletes = (
-        salted_lookup(
-            valid.where("op = 'delete'").select("id", "seq", "changed_at"),
-            updates.select("id", "edited"),
-            ["id"],
-            F.col("seq"),
-            "left",
-        )
-        .where(F.col("edited").isNull() | (F.col("seq") > F.col("edited")))
-        .groupBy("id")
+    deletes = changes.where("op = 'delete'").select(*key, "seq", "changed_at")
+    after = splittable_lookup(deletes, updates.select(*key, "edited"), key, "id").join(
+        births, "id", "left"
+    )
+    since = F.greatest("edited", "born")
+    gone = (
+        after.where(since.isNull() | (F.col("seq") > since))
+        .groupBy(*key)
         .agg(F.min_by("changed_at", "seq").alias("deleted_at"))
     )
-    edited = F.col("edit").isNotNull()
+    return updates.join(gone, key, "full")
+
+
+def apply_ad_changes(ads: DataFrame, changes: DataFrame, advertisers: DataFrame) -> DataFrame:
+    """Apply an ordered feed of create, update and delete; ``seq`` is unique and gives the order.
+
+    The outcome per ad follows from its last update and, after that, its first delete: later
+    deletes change nothing, and an update that leaves the ad inactive makes them void too. The
+    catalogue is read once and joined once, to one row for each ad that the feed names: while those
+    are small they are broadcast and the catalogue stays where it is.
+    """
+    made = changes.where("op = 'create'")
+    births = made.select("id", F.col("seq").alias("born"))
+    created = new_ads(made, advertisers, F.col("changed_at")).join(births, "id")
+    base = ads.withColumn("born", F.lit(None).cast("long")).unionByName(created)
+    edited = F.col("edit").isNotNull() & (F.col("born").isNull() | (F.col("edited") > F.col("born")))
     live = F.when(edited, F.col("edit.active")).otherwise(F.col("active"))
     stamped = F.when(edited, F.col("edit.changed_at")).otherwise(F.col("updated_at"))
     deleted = F.col("deleted_at").isNotNull()
-    return (
-        base.join(updates, "id", "left")
-        .join(deletes, "id", "left")
-        .select(
-            "id",
-            "advertiser_id",
-            *[
-                F.when(edited, F.col(f"edit.{name}")).otherwise(F.col(name)).alias(name)
-                for name in ("content", "img_url", "redirect_url")
-            ],
-            (live & ~deleted).alias("active"),
-            "created_at",
-            F.when(deleted & live, F.col("deleted_at")).otherwise(stamped).alias("updated_at"),
-        )
+    return base.join(_outcomes(changes, births), ["id", "advertiser_id"], "left").select(
+        "id",
+        "advertiser_id",
+        *[
+            F.when(edited, F.col(f"edit.{name}")).otherwise(F.col(name)).alias(name)
+            for name in ("content", "img_url", "redirect_url")
+        ],
+        (live & ~deleted).alias("active"),
+        "created_at",
+        F.when(deleted & live, F.col("deleted_at")).otherwise(stamped).alias("updated_at"),
     )

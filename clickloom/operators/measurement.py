@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from clickloom.functions.keys import TOPIC_PARTITIONS, topic_partition
 from clickloom.functions.timebuckets import floor_div, floor_to, minute_floor
 from clickloom.operators.percentiles import percentiles, values_at_ranks, nearest_rank
+from clickloom.sources.samples import select_series
 
 # Fixed values.
 OK_STATUS = "302"
@@ -63,6 +64,33 @@ def reconcile_verdict(reconciled: DataFrame, ambiguous: int | Column) -> DataFra
     )
 
 
+# The metrics of a load run.
+ACCEPTED_METRIC = "clicks_accepted_adv"
+UNKNOWN_METRICS = ("clicks_503", "clicks_other")
+
+
+def reconcile_run(
+    series: DataFrame, counts: DataFrame, run: str, stretch: str = "30 minutes"
+) -> DataFrame:
+    """The verdict on one run, all of it from the run's own series.
+
+    What it expects is its accepted clicks; what may come on top are its answers of unknown outcome;
+    and the clicks counted are those since ``stretch`` before its last sample, in whole hours. The
+    bound is worked out first, by a subquery, and reaches the scan of the counts.
+    """
+    accepted = select_series(series, ACCEPTED_METRIC, testid=run)
+    ended = last_sample(accepted).scalar()
+    since = F.date_trunc("hour", ended - F.expr(f"INTERVAL {stretch}"))
+    held = counts.where(F.col("minute") >= since)
+    if "day" in counts.columns:
+        held = held.where(F.col("day") >= F.to_date(since))
+    of_run = (F.col("labels")["testid"] == run) & F.col("metric").isin(*UNKNOWN_METRICS)
+    unknown = series.where(of_run).agg(
+        F.coalesce(F.sum("value"), F.lit(0.0)).cast("long").alias("ambiguous")
+    )
+    return reconcile_verdict(reconcile(expected_from_series(accepted), held), unknown.scalar())
+
+
 # -- latency timeline -------------------------------------------------------------------------
 
 

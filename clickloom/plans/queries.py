@@ -390,13 +390,17 @@ def _all_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counting.recount(inputs.clicks(spark, sf_dir), _minute_after())
 
 
-# Where the counts of a folder of events are kept, by application and folder.
-_COUNTS_AT: dict[tuple[str, str], str] = {}
+# Where the counts of a folder's events are kept, by application, folder and state of its files.
+_COUNTS_AT: dict[tuple, str] = {}
 
 
 def _stored_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All counts, written once for each application and read by day, owner and minute."""
-    place = (spark.sparkContext.applicationId, sf_dir)
+    """All counts, written once while the events stay as they are, and read by day, owner, minute."""
+    files = inputs.table(spark, sf_dir, "events").select("_metadata.*").groupBy("file_path").agg(
+        F.max("file_size").alias("size"), F.max("file_modification_time").alias("changed")
+    )
+    state = tuple(sorted(map(tuple, files.collect())))
+    place = (spark.sparkContext.applicationId, sf_dir, state)
     if place not in _COUNTS_AT:
         path = scratch_path(spark, "click-counts")
         write_counts(_all_counts(spark, sf_dir), path)
@@ -1132,18 +1136,71 @@ def _reconcile(spark: SparkSession, sf_dir: str) -> DataFrame:
     return measurement.reconcile(measurement.expected_from_series(run), _stored_counts(spark, sf_dir))
 
 
+# A load run of the last two days: what it sent, in whole hours.
+_RUN_DAYS = "2 days"
+_RUN_SQL = f"""
+SELECT *, (ad_id - 1) % 10 + 1 AS advertiser_id FROM ({inputs.attempts_sql()})
+WHERE attempted_at >= (SELECT date_trunc('hour', max(ts) - INTERVAL {_RUN_DAYS}) FROM events)
+"""
+
+
+def _run_series(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The series of a load run: accepted clicks per advertiser (and one that none was counted for),
+    and answers of unknown outcome. Another run's series are beside them."""
+    attempts = inputs.attempts(spark, sf_dir)
+    ended = attempts.agg(F.max("attempted_at").alias("ended"))
+    since = F.date_trunc("hour", F.col("ended") - F.expr(f"INTERVAL {_RUN_DAYS}"))
+    sent = attempts.where(F.col("attempted_at") >= ended.select(since).scalar())
+    owner = (F.pmod(F.col("ad_id") - 1, F.lit(10)) + 1).cast("string")
+    metric = (
+        F.when(F.col("produce") == "ack", measurement.ACCEPTED_METRIC)
+        .when(F.col("produce") == "ambiguous", "clicks_503")
+        .otherwise("clicks_other")
+    )
+    per = sent.groupBy(metric.alias("metric"), owner.alias("advertiser")).agg(
+        F.count(F.lit(1)).cast("double").alias("value"), F.max("attempted_at").alias("ts")
+    )
+    accepted = per.where(F.col("metric") == measurement.ACCEPTED_METRIC)
+    absent = accepted.agg((F.sum("value") % 7 + 1).alias("value"), F.max("ts").alias("ts")).select(
+        F.lit(measurement.ACCEPTED_METRIC).alias("metric"), F.lit("999").alias("advertiser"), "value", "ts"
+    )
+    own = per.unionByName(absent).withColumn("run", F.lit("run-2"))
+    other = per.withColumns({"run": F.lit("run-1"), "value": F.col("value") + 1000})
+    return own.unionByName(other).select(
+        "metric",
+        F.create_map(F.lit("advertiser"), "advertiser", F.lit("testid"), "run").alias("labels"),
+        "ts",
+        "value",
+    )
+
+
 @query(
     "reconcile_verdict",
     f"""
+WITH run AS ({_RUN_SQL}),
+expected AS (
+  SELECT advertiser_id, count(*) AS accepted FROM run WHERE produce = 'ack' GROUP BY 1
+  UNION ALL SELECT CAST(999 AS BIGINT), count(*) % 7 + 1 FROM run WHERE produce = 'ack'),
+counted AS (
+  SELECT advertiser_id, sum(click_count) AS counted FROM ({_ALL_COUNTS_SQL})
+  WHERE minute >= (SELECT date_trunc('hour', max(attempted_at) - INTERVAL {_RUN_DAYS}) FROM run
+                   WHERE produce = 'ack')
+  GROUP BY 1),
+compared AS (
+  SELECT coalesce(counted, 0) - accepted AS diff
+  FROM expected LEFT JOIN counted USING (advertiser_id))
 SELECT *, lost = 0 AND over <= ambiguous AS pass FROM (
   SELECT CAST(coalesce(sum(greatest(-diff, 0)), 0) AS BIGINT) AS lost,
          CAST(coalesce(sum(greatest(diff, 0)), 0) AS BIGINT) AS over,
-         count(*) FILTER (diff <> 0) AS mismatched, CAST(500 AS BIGINT) AS ambiguous
-  FROM ({_RECONCILED_SQL}))
+         count(*) FILTER (diff <> 0) AS mismatched,
+         (SELECT count(*) FROM run WHERE produce <> 'ack') AS ambiguous
+  FROM compared)
 """,
 )
 def _reconcile_verdict(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return measurement.reconcile_verdict(_reconcile(spark, sf_dir), 500)
+    return measurement.reconcile_run(
+        _run_series(spark, sf_dir), _stored_counts(spark, sf_dir), "run-2", _RUN_DAYS
+    )
 
 
 _BUCKET = 3600

@@ -72,47 +72,3 @@ AD_CHANGES = T.StructType(
         T.StructField("changed_at", T.TimestampType()),
     ]
 )
-
-ATTEMPTS = T.StructType(
-    [
-        T.StructField("click_id", T.StringType()),
-        T.StructField("ad_id", T.LongType()),
-        T.StructField("user_id", T.StringType()),
-        T.StructField("attempted_at", T.TimestampType()),
-        T.StructField("dedup_ok", T.BooleanType()),
-        T.StructField("produce", T.StringType()),
-    ]
-)
-
-HOT_INTERVALS = T.StructType(
-    [
-        T.StructField("ad_id", T.LongType()),
-        T.StructField("mark_no", T.LongType()),
-        T.StructField("marked_at", T.TimestampType()),
-        T.StructField("hot_until", T.TimestampType()),
-        T.StructField("permanent", T.BooleanType()),
-    ]
-)
-
-REQUEST_SAMPLES = T.StructType(
-    [
-        T.StructField("metric_name", T.StringType()),
-        T.StructField("name", T.StringType()),
-        T.StructField("status", T.StringType()),
-        T.StructField("timestamp", T.LongType()),
-        T.StructField("metric_value", T.DoubleType()),
-        T.StructField("runner", T.StringType()),
-        T.StructField("kind", T.StringType()),
-        T.StructField("scenario", T.StringType()),
-        T.StructField("testid", T.StringType()),
-    ]
-)
-
-METRIC_SERIES = T.StructType(
-    [
-        T.StructField("metric", T.StringType()),
-        T.StructField("labels", T.MapType(T.StringType(), T.StringType())),
-        T.StructField("ts", T.TimestampType()),
-        T.StructField("value", T.DoubleType()),
-    ]
-)

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from clickloom.operators import catalog, skew
 from clickloom.schemas import AD_CHANGES, ADS, ADVERTISERS
-from helpers import naive, utc
+from helpers import naive, plan_of, utc
 
 BORN, NOW = utc(2026, 1, 1), utc(2026, 2, 1)
 
@@ -185,3 +185,16 @@ def test_hosts_in_brackets(spark):
     }
     frame = spark.createDataFrame([(u,) for u in urls], "u string")
     assert {r.u: r.ok for r in frame.select("u", http_url(F.col("u")).alias("ok")).collect()} == urls
+
+
+def test_the_catalogue_is_read_once_and_never_copied(spark, tmp_path, advertisers):
+    from clickloom.schemas import AD_CHANGES, ADS
+
+    spark.createDataFrame([], ADS).write.parquet(str(tmp_path / "catalogue"))
+    spark.createDataFrame([], AD_CHANGES).write.parquet(str(tmp_path / "feed"))
+    stored_ads = spark.read.schema(ADS).parquet(str(tmp_path / "catalogue"))
+    feed = spark.read.schema(AD_CHANGES).parquet(str(tmp_path / "feed"))
+    plan = plan_of(catalog.apply_ad_changes(stored_ads, feed, advertisers))
+    scans = [line for line in plan.splitlines() if line.startswith("Location") and "/catalogue]" in line]
+    assert len(scans) == 1
+    assert "_salt" not in plan

@@ -211,3 +211,64 @@ def test_infinity_and_not_a_number_are_ranked_last(spark):
     assert (found[1].low, found[1].p40, found[1].p80) == (-inf, 2.0, inf)
     assert found[1].top != found[1].top and found[1]["max"] != found[1]["max"]
     assert (found[2].low, found[2].top) == (5.0, inf)
+
+
+def test_a_bin_that_holds_most_values_is_divided(spark):
+    """Nine tenths of the values within one part in a thousand of each other: one bin, at first."""
+    pick = random.Random(12)
+    rows = [("g", 1000.0 + pick.random()) for _ in range(20_000)]
+    rows += [("g", pick.expovariate(0.001)) for _ in range(2_000)]
+    frame = spark.createDataFrame(rows, "g string, v double")
+    values = [v for _, v in rows]
+    wanted = {"p5": 5, "p50": 50, "p90": 90}
+    for rounds in (0, 1, 3):
+        ranks = {name: percentiles.nearest_rank(p) for name, p in wanted.items()}
+        row = percentiles.values_at_ranks(frame, ["g"], "v", ranks, rounds=rounds).first()
+        assert [row[name] for name in wanted] == [nearest(values, p) for p in wanted.values()]
+    counted = frame.groupBy("g", percentiles.value_bin(F.col("v")).alias("bin"), F.col("v").alias("value")).agg(
+        F.count("*").alias("times")
+    )
+    heavy = counted.groupBy("g", "bin").agg(
+        F.count("*").alias("held"), F.min("value").alias("low"), F.max("value").alias("high")
+    ).orderBy(F.desc("held")).limit(1)
+    held = heavy.first().held
+    assert held > 15_000
+    target = heavy.selectExpr(
+        "g", "bin", "'m' AS name", "0L AS n", "0D AS top", "low", "high", "held div 2 AS offset"
+    )
+    # What is left to be put in order after one round is a share of it, set by the width alone.
+    left = percentiles._inside(counted, percentiles._narrowed(counted, target, ["g"]), ["g"])
+    assert 0 < left.count() < held / 100
+
+
+def test_a_run_is_judged_by_its_own_series(spark):
+    def at(hour, minute):
+        return utc(2031, 5, 6, hour, minute)
+
+    def sample(metric, run, value, when, advertiser="7"):
+        return (metric, {"advertiser": advertiser, "testid": run}, when, float(value))
+
+    schema = "metric string, labels map<string,string>, ts timestamp, value double"
+    series = [
+        sample("clicks_accepted_adv", "a", 90, at(11, 50)),
+        sample("clicks_accepted_adv", "a", 10, at(11, 40), "8"),
+        sample("clicks_503", "a", 2, at(11, 50)),
+        sample("clicks_other", "a", 1, at(11, 50)),
+        sample("clicks_accepted_adv", "b", 5, at(15, 0)),
+    ]
+    counts = [
+        (1, 7, at(10, 59), 1000, at(11, 0)),
+        (1, 7, at(11, 0), 50, at(11, 1)),
+        (2, 7, at(11, 59), 43, at(12, 0)),
+        (3, 8, at(11, 30), 10, at(11, 31)),
+    ]
+    frame = spark.createDataFrame(series, schema)
+    counted = spark.createDataFrame(
+        counts, "ad_id long, advertiser_id long, minute timestamp, click_count long, updated_at timestamp"
+    )
+    row = measurement.reconcile_run(frame, counted, "a").first()
+    assert (row.lost, row.over, row.mismatched, row.ambiguous, row["pass"]) == (0, 3, 1, 3, True)
+    late = measurement.reconcile_run(frame, counted.where("ad_id <> 3"), "a").first()
+    assert (late.lost, late["pass"]) == (10, False)
+    none = measurement.reconcile_run(frame, counted, "absent").first()
+    assert none["pass"] is False
