@@ -119,8 +119,15 @@ def _sample(docs: DataFrame, labels: DataFrame, key: str, text: str, most_rows:
     known = lowest(known, "key", most_rows, known.count())
     texts = docs.select(F.col(f"`{key}`").alias("key"), F.col(f"`{text}`").alias("text"))
     # At most most_rows keys with a flag: small whatever the corpus, so the texts stay in place.
-    rows = texts.join(F.broadcast(known), "key").select("text", F.col("toxic").cast("int").alias("toxic"))
-    return stored(rows, "toxic-sample")
+    flagged = F.broadcast(known)
+    rows = texts.join(flagged, "key").select(
+        F.xxhash64("key", "text").alias("mark"), "text", F.col("toxic").cast("int").alias("toxic")
+    )
+    # Rows may share a key, so they are bounded once more.
+    held = texts.select("key").join(flagged, "key").count()
+    if held > most_rows:
+        rows = lowest(rows, "mark", most_rows, held)
+    return stored(rows.select("text", "toxic"), "toxic-sample")
 
 
 def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

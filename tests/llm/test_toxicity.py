@@ -87,3 +87,14 @@ def test_odd_rows_extra_columns_and_empty_tables(spark, tricky):
         blank = toxicity.fit(tricky, few)
         assert {r.score for r in toxicity.score(tricky, blank).collect()} == {0.0}
     assert toxicity.score(tricky.limit(0), model).count() == 0
+
+
+def test_a_labelled_key_that_many_rows_share_is_bounded(spark):
+    docs = spark.range(5000).selectExpr(
+        "if(id < 4000, 1L, id) AS key", "concat('text number ', id) AS text"
+    )
+    labels = docs.select("key").distinct().selectExpr("key", "key % 2 = 0 AS toxic")
+    sample = toxicity._sample(docs, labels, "key", "text", 300)
+    assert sample.count() == 300
+    again = toxicity._sample(docs.repartition(7), labels, "key", "text", 300)
+    assert sorted(map(tuple, again.collect())) == sorted(map(tuple, sample.collect()))
