@@ -9,7 +9,17 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from clickloom.functions import timebuckets as tb
 from clickloom.functions.spans import Span
-from clickloom.operators import catalog, counting, dedup, filtering, hot, measurement, percentiles, series
+from clickloom.operators import (
+    catalog,
+    counting,
+    dedup,
+    filtering,
+    hot,
+    measurement,
+    percentiles,
+    series,
+    sketches,
+)
 from clickloom.plans import inputs
 from clickloom.plans.accept import Accepted, accept
 from clickloom.session import scratch_path, stored
@@ -1261,6 +1271,33 @@ def _runner_p95(spark: SparkSession, sf_dir: str) -> DataFrame:
     return measurement.runner_p95(inputs.samples(spark, sf_dir))
 
 
+@query(
+    "runner_p95_sketch",
+    f"""
+SELECT runner, count(*) AS n, true AS within FROM (
+  SELECT runner, metric_value FROM ({inputs.SAMPLES_SQL})
+  UNION ALL SELECT 'all', metric_value FROM ({inputs.SAMPLES_SQL})) WHERE metric_value IS NOT NULL GROUP BY 1
+""",
+)
+def _runner_p95_sketch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The p95 of every runner and of all, merged from stored hourly sketches; within the stated
+    error if the share of samples up to it is, which the samples themselves decide."""
+    samples = inputs.samples(spark, sf_dir)
+    hourly = stored(sketches.latency_sketches(samples, 3600), "latency-sketches")
+    every = sketches.merged(hourly, "runner").unionByName(sketches.merged(hourly, F.lit("all").alias("runner")))
+    found = sketches.with_quantiles(every, {"p95": 95})
+    both = samples.select("runner", "metric_value").unionByName(
+        samples.select(F.lit("all").alias("runner"), "metric_value")
+    )
+    ranks = both.join(found, "runner").groupBy("runner", "n").agg(
+        F.count_if(F.col("metric_value") < F.col("p95")).alias("below"),
+        F.count_if(F.col("metric_value") <= F.col("p95")).alias("upto"),
+    )
+    margin = 4 * sketches.rank_error()
+    near = (F.col("below") <= (0.95 + margin) * F.col("n")) & (F.col("upto") >= (0.95 - margin) * F.col("n"))
+    return ranks.select("runner", "n", near.alias("within"))
+
+
 @query(
     "runner_p95_interpolated",
     f"""
