@@ -13,7 +13,7 @@ from clickloom.plans import inputs
 from clickloom.plans import queries as registry
 from clickloom.plans.queries import HOT_RULES, counts_sql, hot_markings_sql, query, walk_sql
 from clickloom.session import scratch_path
-from clickloom.streaming import accept, counts, durable, sinks, stateful
+from clickloom.streaming import accept, counts, durable, ingest, sinks, stateful
 from clickloom.streaming.log import VersionedLog
 
 # Where the month of events is cut.
@@ -225,3 +225,21 @@ def _stream_attempt_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
         "click_id string, ad_id long, advertiser_id long, user_id string, clicked_at timestamp,"
         " status string, hot boolean",
     )
+
+
+@query("stream_dead_letters", registry.ORACLES["validate_events"])
+def _stream_dead_letters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Good records and rejects of a job that starts three times: every record once, with the rules
+    it breaks."""
+    path, checkpoint = scratch_path(spark, "ingested"), scratch_path(spark, "checkpoint")
+    folder = scratch_path(spark, "records")
+    records = registry.event_records(spark, sf_dir)
+    third = F.pmod(F.xxhash64("record_id"), F.lit(3))
+    for step in range(3):
+        records.where(third == step).write.mode("append").parquet(folder)
+        stream = spark.readStream.schema(records.schema).parquet(folder)
+        ingest.start_ingest(stream, path, checkpoint, available_now=True).awaitTermination()
+    log = VersionedLog(spark, path)
+    good = log.read(ingest.EVENTS, "record_id string").withColumn("broken_rules", F.lit(""))
+    bad = log.read(ingest.REJECTS, "record_id string, broken_rules array<string>")
+    return good.unionByName(bad.withColumn("broken_rules", F.array_join("broken_rules", ",")))
