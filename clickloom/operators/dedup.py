@@ -268,6 +268,24 @@ def dedup_outcomes(
     return joined.withColumn("status", status).select(*attempts.columns, "status")
 
 
+def outcomes_of_deliveries(
+    attempts: DataFrame, ttl_seconds: int = DEDUP_TTL_SECONDS, chunk_ttls: int = CHUNK_TTLS
+) -> DataFrame:
+    """As :func:`dedup_outcomes` for attempts that may be delivered more than once.
+
+    Of equal rows the first is answered like any attempt. The others meet its claim: an accepted one
+    has been counted, so they are duplicates; one that was not recorded gave its claim back, and while
+    the state is unreachable nobody knows of the first. Equal rows are combined before they
+    shuffle, however many there are.
+    """
+    counted = attempts.groupBy(*attempts.columns).agg(F.count(F.lit(1)).cast("int").alias("_copies"))
+    outcomes = dedup_outcomes(counted, ttl_seconds, chunk_ttls)
+    met = F.col("dedup_ok") & (F.col("status") == "accepted")
+    again = F.when(met, "duplicate").otherwise(F.col("status"))
+    answers = F.concat(F.array("status"), F.array_repeat(again, F.col("_copies") - 1))
+    return outcomes.withColumn("status", F.explode(answers)).select(*attempts.columns, "status")
+
+
 def dedup_clicks(
     clicks: DataFrame, ttl_seconds: int = DEDUP_TTL_SECONDS, chunk_ttls: int = CHUNK_TTLS
 ) -> DataFrame:

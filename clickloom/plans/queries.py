@@ -878,6 +878,26 @@ def _dedup(spark: SparkSession, sf_dir: str, shape: str, ttl_seconds: int) -> Da
     return dedup.dedup_clicks(attempts, ttl_seconds)
 
 
+@query(
+    "dedup_clicks_copies",
+    f"""
+SELECT click_id, ad_id, user_id, attempted_at,
+       CASE WHEN i > 1 AND status = 'accepted' AND CAST(click_id AS BIGINT) % 97 <> 0 THEN 'duplicate'
+            ELSE status END AS status
+FROM ({walk_sql('dense', 86_400)}) JOIN (SELECT unnest(range(1, 4)) AS i)
+  ON i = 1 OR CAST(click_id AS BIGINT) % 3 = 0
+""",
+)
+def _dedup_clicks_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A third of all attempts delivered three times: one answer counts."""
+    times = F.when(F.pmod(F.col("click_id").cast("long"), F.lit(3)) == 0, 3).otherwise(1)
+    delivered = inputs.attempts(spark, sf_dir, "dense").withColumn(
+        "delivery", F.explode(F.sequence(F.lit(1), times))
+    )
+    found = dedup.outcomes_of_deliveries(delivered.drop("delivery"), 86_400)
+    return found.select("click_id", "ad_id", "user_id", "attempted_at", "status")
+
+
 @query("dedup_clicks", walk_sql("dense", 600, plain=True))
 def _dedup_clicks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _dedup(spark, sf_dir, "dense", 600)
