@@ -1,6 +1,6 @@
 """Counting that outlives its checkpoint.
 
-The job keeps the clicks of every (ad, minute) as state and commits, with each batch's absolute
+The job keeps the clicks of every (ad, minute) as state, an hour of an ad together, and commits, with each batch's absolute
 counts, how far it has read each partition of the source. A job whose checkpoint is lost starts a new
 run: its state is seeded from the counts in the log, and records up to the places in the log are
 passed over. So a minute goes on from where it was, and none is counted twice.
@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import sys
 import uuid
+from collections import defaultdict
 from collections.abc import Iterator
 from datetime import date, datetime
 
@@ -31,7 +32,7 @@ from clickloom.streaming.stateful import _state_settings, on_clock
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
-_PARTIAL = "ad_id long, minute long, advertiser_id long, n long, partition long, offset long"
+_PARTIAL = "ad_id long, hour long, minute long, advertiser_id long, n long, partition long, offset long"
 _CHANGED = (
     "ad_id long, minute long, advertiser_id long, click_count long,"
     " ends array<struct<partition: bigint, offset: bigint>>"
@@ -40,42 +41,48 @@ _ENDS = "partition long, offset long, run_seq long"
 
 
 class MinuteProcessor(StatefulProcessor):
-    """The clicks of one ad and minute (in epoch seconds), kept until no click can be in time."""
+    """The clicks of one ad and hour by minute (in epoch seconds), kept until no click can be in time.
+
+    The minutes of an hour, at most sixty, are read together and have one timer.
+    """
 
     def __init__(self, keep_ms: int):
         self.keep_ms = keep_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.count = handle.getValueState("count", "advertiser_id long, n long")
+        self.counts = handle.getMapState("counts", "minute long", "advertiser_id long, n long")
 
-    def _last(self, minute: int) -> int:
-        return (minute + 60) * 1000 + self.keep_ms
+    def _wake(self, hour: int) -> None:
+        self.handle.registerTimer((hour + 3600) * 1000 + self.keep_ms)
 
     def handleInitialState(self, key, initialState, timerValues) -> None:
-        self.count.update((initialState.advertiser_id, initialState.click_count))
-        self.handle.registerTimer(self._last(key[1]))
+        for minute, *count in zip(initialState.minute, initialState.owner, initialState.n):
+            self.counts.updateValue((minute,), tuple(count))
+        self._wake(key[1])
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
-        held = self.count.get()
-        owner, total = (None, 0) if held is None else held
-        ends: dict[int, int] = {}
+        minutes = {minute[0]: tuple(count) for minute, count in self.counts.iterator()}
+        ends: dict[int, dict[int, int]] = defaultdict(dict)
         for row in rows:
-            owner = row.advertiser_id if owner is None else max(owner, row.advertiser_id)
-            total += row.n
-            ends[row.partition] = max(ends.get(row.partition, -1), row.offset)
-        self.count.update((owner, total))
-        self.handle.registerTimer(self._last(key[1]))
-        yield Row(
-            ad_id=key[0],
-            minute=key[1],
-            advertiser_id=owner,
-            click_count=total,
-            ends=[Row(partition=p, offset=o) for p, o in sorted(ends.items())],
-        )
+            owner, total = minutes.get(row.minute, (row.advertiser_id, 0))
+            minutes[row.minute] = (max(owner, row.advertiser_id), total + row.n)
+            read = ends[row.minute]
+            read[row.partition] = max(read.get(row.partition, -1), row.offset)
+        for minute in ends:
+            self.counts.updateValue((minute,), minutes[minute])
+        self._wake(key[1])
+        for minute, read in ends.items():
+            yield Row(
+                ad_id=key[0],
+                minute=minute,
+                advertiser_id=minutes[minute][0],
+                click_count=minutes[minute][1],
+                ends=[Row(partition=p, offset=o) for p, o in sorted(read.items())],
+            )
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
-        self.count.clear()
+        self.counts.clear()
         return iter(())
 
     def close(self) -> None:
@@ -84,11 +91,15 @@ class MinuteProcessor(StatefulProcessor):
 
 def _partial(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
-        groups = batch.groupby(["ad_id", "minute", "partition"], as_index=False)
+        groups = batch.groupby(["ad_id", "hour", "minute", "partition"], as_index=False)
         summed = groups.agg(
             advertiser_id=("advertiser_id", "max"), n=("offset", "size"), offset=("offset", "max")
         )
-        yield summed[["ad_id", "minute", "advertiser_id", "n", "partition", "offset"]]
+        yield summed[["ad_id", "hour", "minute", "advertiser_id", "n", "partition", "offset"]]
+
+
+def _hour(minute: Column) -> Column:
+    return minute - F.pmod(minute, F.lit(3600))
 
 
 def read_places(log: VersionedLog, before_run: int) -> dict[int, int]:
@@ -151,7 +162,7 @@ def start_durable_counts(
 
     A checkpoint that the log does not know is a new run, seeded as above; the source is then read
     from its beginning or, by its ``startingOffsets``, from :func:`read_places`. Minutes leave the
-    state, and the seed, ``state_ttl_ms`` after their end; what is later than the cutoff is dropped.
+    seed ``state_ttl_ms`` after their end, the state as long after their hour's end; what is later than the cutoff is dropped.
     """
     if config.cutoff_ms is None:
         raise ValueError("state that expires needs a cutoff")
@@ -171,9 +182,11 @@ def start_durable_counts(
         DROP_COUNTERS, *drop_metrics(F.col("label"))
     )
     timed = on_clock(labelled.where("label = 'kept'").withColumn("_now", now), "clicked_at", "0 seconds", "_now")
+    minute = F.unix_seconds(F.date_trunc("minute", "clicked_at"))
     partial = timed.select(
         "ad_id",
-        F.unix_seconds(F.date_trunc("minute", "clicked_at")).alias("minute"),
+        _hour(minute).alias("hour"),
+        minute.alias("minute"),
         "advertiser_id",
         F.col("partition").cast("long").alias("partition"),
         F.col("offset").cast("long").alias("offset"),
@@ -184,11 +197,12 @@ def start_durable_counts(
         held = upsert_latest(log.read("counts", COUNT_VERSIONS).where(F.col("run_seq") < run))
         seconds = F.unix_seconds("minute")
         alive = (seconds + 60) * 1000 + config.state_ttl_ms >= F.unix_millis(now)
-        alive_counts = held.where(alive).select(
-            "ad_id", seconds.alias("minute"), "advertiser_id", "click_count"
-        )
-        seed = alive_counts.groupBy("ad_id", "minute")
-    changed = partial.groupBy("ad_id", "minute").transformWithState(
+        minutes = F.collect_list(F.struct(seconds.alias("minute"), "advertiser_id", "click_count"))
+        alive_counts = held.where(alive).groupBy("ad_id", _hour(seconds).alias("hour"))
+        names = {"minute": "minute", "advertiser_id": "owner", "click_count": "n"}
+        lists = [F.col(f"m.{old}").alias(new) for old, new in names.items()]
+        seed = alive_counts.agg(minutes.alias("m")).select("ad_id", "hour", *lists).groupBy("ad_id", "hour")
+    changed = partial.groupBy("ad_id", "hour").transformWithState(
         MinuteProcessor(config.state_ttl_ms), _CHANGED, "update", "EventTime", seed
     )
 
