@@ -1,7 +1,7 @@
 """The accepting path as one stream: attempts in, outcomes and events for the topic out.
 
 Two stateful operators in one query. The first labels the attempts of each (ad, user), in order of
-time; the second holds, for each ad, its versions in the catalogue and its heat, and answers what the
+time; the second holds, for each ad in a shard of ads, its versions in the catalogue and its heat, and answers what the
 ad was at the time of the click. It starts from a snapshot of the catalogue and follows its changes
 as a second stream, so an ad counts from the instant it is made and ends when it is switched off,
 wherever the job stands. Attempts that break a rule pass both by and come out with their reasons.
@@ -31,7 +31,7 @@ _OUTCOMES = (
 def _as_versions(changes: DataFrame) -> DataFrame:
     """Catalogue rows ``(id, advertiser_id, redirect_url, active, changed_at)`` as input rows."""
     nothing = F.lit(None)
-    return changes.select(
+    return changes.where("id IS NOT NULL").select(
         nothing.cast("string").alias("click_id"),
         F.col("id").alias("ad_id"),
         nothing.cast("string").alias("user_id"),
@@ -84,13 +84,19 @@ def stream_outcomes(
     if changes is not None:
         # No watermark of its own: a catalogue that does not change must not hold the clicks up.
         rows = rows.unionByName(_as_versions(changes))
+    shard = F.pmod(F.xxhash64("ad_id"), F.lit(stateful.SHARDS)).alias("_shard")
     start = ads.select(F.col("id").alias("ad_id"), "advertiser_id", "redirect_url", "active")
-    tagged = rows.groupBy("ad_id").transformWithState(
+    # A row for each shard: a large catalogue is not taken in ad by ad.
+    kept = F.collect_list(F.struct(*stateful.TagProcessor.CATALOGUE)).alias("ads")
+    start = start.where("ad_id IS NOT NULL").groupBy(shard).agg(kept).select(
+        "_shard", *(F.col(f"ads.{name}").alias(name) for name in stateful.TagProcessor.CATALOGUE)
+    )
+    tagged = rows.select("*", shard).groupBy("_shard").transformWithState(
         stateful.TagProcessor(rules, visible_after, list(_COLUMNS)),
         _OUTCOMES,
         "append",
         "EventTime",
-        start.groupBy("ad_id"),
+        start.groupBy("_shard"),
     )
     outcomes = tagged.select(
         "click_id",
