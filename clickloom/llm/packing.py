@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from clickloom.llm.bpe import Encoder
+from clickloom.llm.bpe import ROOM, Encoder
 from clickloom.session import stored
 
 _ITEMS = "key long, first int, pieces int, crcs array<long>, ids binary"
@@ -67,12 +67,19 @@ class Bins:
 
 
 def items(
-    docs: DataFrame, vocabulary: str, end_id: int, length: int, key: str, text: str, with_ids: bool
+    docs: DataFrame,
+    vocabulary: str,
+    end_id: int,
+    length: int,
+    key: str,
+    text: str,
+    with_ids: bool,
+    room: int = ROOM,
 ) -> DataFrame:
     """For each document the length of its first piece, the number of pieces and their crc32."""
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder.open(vocabulary)
+        encoder = Encoder.open(vocabulary, room)
         end = end_id.to_bytes(4, "little")
         for batch in batches:
             first, pieces, crcs, kept = [], [], [], []
@@ -112,10 +119,11 @@ def pack(
     key: str = "doc_id",
     text: str = "text",
     with_ids: bool = False,
+    room: int = ROOM,
 ) -> DataFrame:
     """A row for each piece: key, piece, start in the document, length, crc32 of its ids, the
     sequence and the offset there; with its ids (little-endian 32-bit) if asked for."""
-    counted = items(docs, vocabulary, end_id, length, key, text, with_ids)
+    counted = items(docs, vocabulary, end_id, length, key, text, with_ids, room)
     kept = stored(counted.withColumn("row", F.monotonically_increasing_id()), "pack-items")
     groups = max(1, round(kept.count() / group_rows))
     dealt = (

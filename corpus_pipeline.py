@@ -46,6 +46,10 @@ NEAR = {
 }
 
 
+#: Pieces of text whose ids a worker of the last stage remembers.
+ROOM = 100_000
+
+
 def _recounted(docs: DataFrame, columns: list[str]) -> DataFrame:
     """The columns as named, with n_chars (if there) of the text as it is now."""
     if "n_chars" in columns:
@@ -73,16 +77,24 @@ def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     return simhash.one_of_each(docs, **NEAR)
 
 
+def _small_batches(spark: SparkSession) -> None:
+    """Fewer texts at a time between Spark and Python. The last stages run in workers that keep the
+    memory of those before; their rows are independent of the batch they come in."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
+
+
 def decontaminate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold no passage of the benchmark."""
+    _small_batches(spark)
     benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
     return contamination.clean(docs, benchmark, window=10)
 
 
 def pack_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents as pieces of sequences."""
+    _small_batches(spark)
     vocabulary = public_tokenizers.path("byte_bpe_50k.json")
-    placed = packing.pack(docs, vocabulary, end_id=0, length=2048)
+    placed = packing.pack(docs, vocabulary, end_id=0, length=2048, room=ROOM)
     return placed.withColumnRenamed("key", "doc_id")
 
 
