@@ -171,3 +171,35 @@ def test_ids_are_the_librarys_whatever_stands_between_two_letters():
     # Pieces that are forgotten are learned again.
     small = Encoder(PATH, room=3)
     assert small.encode(texts) == expected
+
+
+class Asked(dict):
+    """A dictionary that counts how often it is asked."""
+
+    times = 0
+
+    def get(self, *args):
+        self.times += 1
+        return super().get(*args)
+
+    def __getitem__(self, key):
+        self.times += 1
+        return super().__getitem__(key)
+
+
+def test_repeated_pieces_are_looked_up_once():
+    encoder = Encoder(PATH)
+    encoder.pieces = asked = Asked(encoder.pieces)
+    texts = ["one two three\nfour " * 500 + str(i) for i in range(20)]
+    expected = [ids_of(t, 0)[:-1].tobytes() for t in texts]
+    assert encoder.encode(texts) == expected
+    # Every piece is asked for, and once more if it is new.
+    assert asked.times < 100
+
+
+@pytest.mark.parametrize("size", [1, 40, 1 << 22])
+def test_texts_taken_a_few_at_a_time(monkeypatch, size):
+    monkeypatch.setattr(Encoder, "BYTES", size)
+    texts = [None, "", "a b\nc", "  two  spaces", "x" * 100, None, "<|endoftext|> z", "déjà\tvu", "\n", ""]
+    expected = [ids_of(t, 0)[:-1].tobytes() for t in texts]
+    assert Encoder(PATH).encode(texts) == expected
