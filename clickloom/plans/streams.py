@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from datetime import date
+from datetime import datetime, timedelta
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -98,19 +98,35 @@ def _stream_minute_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counts.current_counts(counts.read_versions(spark, log)).drop("updated_at")
 
 
-@query("stream_lost_checkpoint", registry.ORACLES["stream_minute_counts"])
+@query(
+    "stream_lost_checkpoint",
+    f"""
+SELECT ad_id, advertiser_id, minute, click_count FROM ({counts_sql(f'''
+  SELECT * FROM ({inputs.clicks_sql(nulls=True)}) WHERE salt IS NOT NULL AND clicked_at IS NOT NULL''')})
+""",
+)
 def _stream_lost_checkpoint(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Counts of a job that loses its checkpoint after the first third, and whose closed days are
-    compacted in between: those of a recount."""
+    compacted in between: those of a recount. The clock goes on with the arrivals, so that none is late."""
     path = scratch_path(spark, "durable")
     lost, kept = scratch_path(spark, "checkpoint"), scratch_path(spark, "checkpoint")
     checkpoints = iter([lost, kept, kept])
-    config = counts.CountingConfig(cutoff_ms=CUTOFF_DAYS * DAY_MS, state_ttl_ms=(CUTOFF_DAYS + 1) * DAY_MS)
+    clocks = [datetime.fromisoformat(at) for at in (*CUTS, inputs.AS_OF)]
+    cutoff_ms = CUTOFF_DAYS * DAY_MS
+    # The first start finds all that is older, and reaches back to it.
+    first = F.unix_millis(F.lit(CUTS[0]).cast("timestamp"))
+    backlog = first - F.unix_millis(F.min(F.col("ts").cast("timestamp")))
+    oldest = inputs.table(spark, sf_dir, "events").agg(backlog).first()[0] or 0
+    starts = iter(zip(clocks, [max(cutoff_ms, oldest), cutoff_ms, cutoff_ms]))
     log = VersionedLog(spark, path)
 
-    def start(events: DataFrame) -> StreamingQuery:
+    def close(clock: datetime) -> None:
         # The days that no click in time can fall on any more, as the job has it.
-        durable.close_days(log, date(2024, 1, 10))
+        durable.close_days(log, (clock - timedelta(days=CUTOFF_DAYS)).date())
+
+    def start(events: DataFrame) -> StreamingQuery:
+        clock, reach = next(starts)
+        close(clock)
         clicks = inputs.clicks_of(events, "sparse", True, "event_id").withColumns(
             {
                 "partition": F.pmod(F.col("event_id"), F.lit(7)),
@@ -122,13 +138,13 @@ def _stream_lost_checkpoint(spark: SparkSession, sf_dir: str) -> DataFrame:
             clicks,
             path,
             next(checkpoints),
-            config,
-            as_of=F.lit(inputs.AS_OF).cast("timestamp"),
+            counts.CountingConfig(cutoff_ms=reach, state_ttl_ms=reach + DAY_MS),
+            as_of=F.lit(clock.isoformat()).cast("timestamp"),
             available_now=True,
         )
 
     arrive(spark, sf_dir, start)
-    durable.close_days(log, date(2024, 1, 10))
+    close(clocks[-1])
     return durable.current_counts(log).drop("updated_at")
 
 

@@ -1,11 +1,14 @@
 """Counting over lost checkpoints, and compaction of its log."""
 
 import random
-from datetime import date, timedelta
+from datetime import date, datetime, timedelta
 
 import pytest
 from pyspark.sql import functions as F
 
+from clickloom.plans import streams  # noqa: F401  (registers the streaming queries)
+from clickloom.plans.queries import QUERIES
+from clickloom.sources.tables import read_counts
 from clickloom.streaming import counts, durable
 from clickloom.streaming.log import VersionedLog
 from helpers import naive, utc
@@ -139,3 +142,32 @@ def test_a_batch_run_again_after_its_commit_changes_nothing(spark, tmp_path):
     job.add(rows[80:])
     job.run("a")
     assert job.current() == walked(rows)
+
+
+def test_the_query_loses_a_checkpoint_with_counts_and_closes_days_with_rows(spark, tmp_path, monkeypatch):
+    began, pick = datetime(2024, 1, 1), random.Random(10)
+    # Every hour of January, what is much older, what is dated ahead, and what has no time.
+    times = [began + timedelta(hours=n, minutes=pick.randrange(3)) for n in range(720)] * 2
+    times += [datetime(2023, 11, 5), datetime(2024, 2, 20), None]
+    events = [(n, at, pick.randrange(50), '{"k": %d}' % pick.randrange(4)) for n, at in enumerate(times)]
+    made = spark.createDataFrame(events, "event_id long, ts timestamp_ntz, user_id long, props string")
+    made.write.parquet(str(tmp_path / "events.parquet"))
+    plain, logs, places = durable.read_places, [], []
+
+    def spied(log, run):
+        logs.append(log)
+        places.append(plain(log, run))
+        return places[-1]
+
+    monkeypatch.setattr(durable, "read_places", spied)
+    found = QUERIES["stream_lost_checkpoint"](spark, str(tmp_path)).collect()
+    wanted = {}
+    for n, at, _, props in events:
+        if n % 50 and at is not None:
+            key = int(props[6:-1]) + 1, at.replace(second=0)
+            wanted[key] = wanted.get(key, 0) + 1
+    assert {(r.ad_id, naive(r.minute)): r.click_count for r in found} == wanted
+    # The lost checkpoint had read all partitions, and each restart knows it.
+    assert [len(read) for read in places] == [0, 7, 7]
+    closed = [naive(r.minute) for part in logs[-1].folders("days") for r in read_counts(spark, part).collect()]
+    assert min(closed) == datetime(2023, 11, 5) and max(closed).date() == date(2024, 1, 10)
