@@ -187,3 +187,110 @@ def test_cut_texts_equal_plain_words():
             for first, size in zip(words.firsts.tolist(), words.sizes.tolist()):
                 found.append([words.spelled[i].decode() for i in words.numbers[first : first + size]])
         assert found == [tokens(text) for text in texts]
+
+
+def numbered(spark):
+    """More texts than any sample of 1,024, each of five words, one of them its own."""
+    rows = [(i, f"the cat number{i} sat {'here' if i % 3 else 'there'}") for i in range(1300)]
+    return spark.createDataFrame(rows, "doc_id long, text string"), [tokens(text) for _, text in rows]
+
+
+def test_weights_are_fitted_to_every_decision_of_every_training_text(spark, monkeypatch):
+    docs, texts = numbered(spark)
+    plain, model, seen, trees = sequence.fitted, sequence.Model.of, [], []
+    monkeypatch.setattr(sequence, "fitted", lambda counts, values: (seen.append(counts), plain(counts, values))[1])
+    monkeypatch.setattr(sequence.Model, "of", lambda tree, *rest: (trees.append(tree), model(tree, *rest))[1])
+    assert lm.score(docs, F.lit(True), sample_rows=20).count() == 1300
+    counts = Counter(word for text in texts for word in text)
+    order = sorted(counts, key=lambda word: (-counts[word], word.encode()))
+    assert len(trees[0].depth) == len(order) + 1
+    assert seen[0].sum() == sum(int(trees[0].depth[i]) * counts[word] for i, word in enumerate(order))
+
+
+def test_classes_are_the_middles_of_all_training_texts(spark, monkeypatch):
+    docs, texts = numbered(spark)
+    plain, found = lm.Gate.moved, []
+    monkeypatch.setattr(lm.Gate, "moved", lambda gate, sums: (found.append((gate, sums)), plain(gate, sums))[1])
+    moved = lm._gate(lm._texts(docs, "doc_id", "text", F.col("doc_id") % 2 == 0), 20)
+    (gate, sums), train = found[0], [" ".join(text) for text in texts[::2]]
+    assert sums == pytest.approx(gate.sums(lm.Words.of(pa.array(train))))
+    own = gate.of(lm.Words.of(pa.array(train)))
+    for k in set(own.tolist()):
+        assert moved.centers[:, k] == pytest.approx(sums[k] / np.linalg.norm(sums[k]), abs=1e-6)
+
+
+def test_the_longest_context_holds_every_word(spark):
+    words = [(f"w{i}".encode(), 1) for i in range(500)] + [(b"often", 7)]
+    tables = lm._tables(spark.createDataFrame(words, "word binary, c long"), 200)
+    bits = sum(8 * (len(word) + 1) * c for word, c in words)
+    assert [int(table.sum(dtype=np.int64)) for table in tables] == [bits] * mixing.ORDERS
+
+
+def test_the_mixer_learns_from_every_word_as_often_as_it_comes():
+    words, counts = [b"w%d" % i for i in range(5000)], np.arange(1, 5001)
+    tables = [mixing.squeezed(t) for t in mixing.counted(words, counts, np.ones(5000, bool))]
+    mixer = mixing.learned(tables, words, counts, None, 1)
+    bits = sum(8 * (len(word) + 1) * c for word, c in zip(words, counts.tolist()))
+    assert (mixer.refine - mixing.Mixer.fresh().refine).sum() == pytest.approx(bits / 2)
+
+
+def test_equally_frequent_words_are_taken_by_hash_and_not_left_out(spark):
+    words = spark.range(1000).select(F.concat(F.lit("w"), "id").cast("binary").alias("word"), F.lit(10).alias("c"))
+    words = words.unionByName(spark.createDataFrame([(b"top", 99)], "word binary, c int"))
+    taken = {bytes(row.word) for row in words.filter(lm._frequent(words, 100)).collect()}
+    assert b"top" in taken and 60 < len(taken) < 140
+    assert words.filter(lm._frequent(words, 1001)).count() == 1001
+    assert words.filter(lm._frequent(words, 0)).count() == 0
+
+
+def test_lessons_leave_out_what_a_text_put_into_the_tables_itself():
+    rng = np.random.default_rng(6)
+    masses = rng.integers(1, 50, (7, lm.CLASSES)).astype(float)
+    tree = sequence.Tree.of(masses.sum(1))
+    names, firsts = rng.integers(0, 7, 300), np.array([0, 40, 41, 180])
+    text = np.repeat(np.arange(4), np.diff(firsts, append=300))
+    hashed, kinds = sequence.contexts(names, firsts), rng.integers(0, lm.CLASSES, 300)
+    counts = sequence.empty()
+    sequence.add(counts, tree, names, hashed)
+    tables = [mixing.squeezed(t.reshape(-1, 2)) for t in counts]
+    held = sequence.Lessons.of(tables, tree.odds(masses))
+    found = sequence.lessons(held, tree, names, hashed, kinds, text)
+
+    def ways():
+        for t, leaf in enumerate(names):
+            part = slice(tree.first[leaf], tree.first[leaf] + tree.depth[leaf])
+            for node, bit in zip(tree.nodes[part].tolist(), tree.bits[part].tolist()):
+                spread = node * 0xC2B2AE3D27D4EB4F % 2**64
+                yield t, node, bit, [((int(h[t]) ^ spread) * 0x165667B19E3779F9 % 2**64) >> (64 - sequence.BITS) for h in hashed]
+
+    own = Counter((text[t], i, slot, bit) for t, _, bit, slots in ways() for i, slot in enumerate(slots))
+    wanted = Counter()
+    for t, node, bit, slots in ways():
+        cell = int(held.odds[node * lm.CLASSES + kinds[t]])
+        for i, slot in enumerate(slots):
+            left = [np.array([int(tables[i][slot, b]) - own[text[t], i, slot, b]]) for b in (0, 1)]
+            cell = cell * sequence.SEEN + int(sequence._kinds(*left, sequence._LOG[left[1]] - sequence._LOG[left[0]])[0])
+        wanted[cell * 2 + bit] += 1
+    assert {int(i): int(found[i]) for i in np.flatnonzero(found)} == dict(wanted)
+
+
+def test_fitted_weights_are_likelier_than_any_beside_them():
+    rng = np.random.default_rng(8)
+    values = [np.linspace(-6, 6, sequence.ODDS), np.linspace(-5, 5, sequence.SEEN), np.linspace(-5, 5, sequence.SEEN)]
+    counts = np.zeros(sequence.CELLS, np.int64)
+    cells = rng.integers(0, sequence.CELLS // 2, 4000)
+    rest, two = np.divmod(cells, sequence.SEEN)
+    odds, one = np.divmod(rest, sequence.SEEN)
+    inputs = np.stack([values[0][odds], values[1][one], values[2][two], np.full(4000, 0.3)], 1)
+    came = rng.random(4000) < 1 / (1 + np.exp(-inputs @ [0.7, 0.3, 0.2, 0.5]))
+    np.add.at(counts, cells * 2 + came, 1)
+    weights = sequence.fitted(counts, values).astype(float)
+    gates = sequence._BUCKET_OF[one] * 4 + sequence._BUCKET_OF[two]
+
+    def cost(w):
+        mixed = np.einsum("ij,ij->i", inputs, w[gates])
+        return np.logaddexp(0, np.where(came, -mixed, mixed)).sum() + 2 * ((w - sequence._start()) ** 2).sum()
+
+    for step in rng.normal(0, 0.02, (20, *weights.shape)):
+        assert cost(weights) < cost(weights + step)
+    assert weights[15] == pytest.approx([0.7, 0.3, 0.2, 0.5], abs=0.25)
